@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, sharding, token_counts, warc
+from tidemark.llm import decontaminate, html_extract, mixing, quality, sharding, token_counts, warc
 from tidemark.llm.common import table, text_or_empty
 
 
+def held_out() -> Column:
+    """Rows that labels must not be learned from."""
+    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 4 == 2
+
+
+def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return quality.score_documents(docs, model, threshold=0.7).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +33,16 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "item_ids")
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -30,8 +52,11 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_scores": op1_quality_scores,
     "op2_token_counts": op2_token_counts,
     "op4_histogram_shards": op4_histogram_shards,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
+    "op8_source_mix": op8_source_mix,
     "op9_html_main_text": op9_html_main_text,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
