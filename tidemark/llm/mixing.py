@@ -90,6 +90,52 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def calibrate(
+    rows: DataFrame,
+    targets: tuple[dict[str, float] | None, dict[str, float] | None, dict[str, float] | None],
+    temperature: tuple[float, float, float],
+    budget: float,
+    most_sources: int,
+    most_langs: int,
+) -> tuple[Column, Column, DataFrame]:
+    """Rake the slim ``rows``: the level columns of source and language, and the cells' probabilities."""
+    spark = rows.sparkSession
+    named = {"source": heaviest(rows, "source", most_sources), "lang": heaviest(rows, "lang", most_langs)}
+    source, lang = (F.when(level(c).isin(sorted(names)), level(c)).otherwise(OTHER) if names else F.lit(OTHER) for c, names in named.items())
+    # At most (most_sources + 1) x (most_langs + 1) x topics cells.
+    sums = rows.groupBy(source.alias("_source"), lang.alias("_lang"), "topic").agg(F.sum("n_tokens").alias("n")).collect()
+    cells = {(r["_source"], r["_lang"], r["topic"]): float(r["n"]) for r in sums}
+    goals = []
+    for axis, given in enumerate(targets):
+        observed: dict[str, float] = {}
+        for k, v in cells.items():
+            observed[k[axis]] = observed.get(k[axis], 0.0) + v
+        goals.append(given if given is not None else tempered(observed, temperature[axis]))
+    weights, total = rake(cells, goals), sum(cells.values())
+    values = ",".join(f"({quoted(k[0])}, {quoted(k[1])}, {quoted(k[2])}, {weights.get(k, 0.0) * budget * total / v if v else 0.0!r}D)" for k, v in sorted(cells.items())) or "('', '', '', 0D)"
+    return source, lang, spark.sql(f"SELECT * FROM VALUES {values} AS t(_source, _lang, _topic, probability)")
+
+
+def level(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(NONE))
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
+
+
+def drawn(n_tokens: Column, seed: int) -> tuple[Column, Column]:
+    """(probability, copies) of a row that has met its cell's probability."""
+    expected = F.when(n_tokens > 0, F.col("probability")).otherwise(0.0)
+    draw = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
+    return expected, (F.floor(expected) + (draw < expected - F.floor(expected)).cast("long")).cast("int")
+
+
+def slim_rows(docs: DataFrame, topic: Column | None) -> DataFrame:
+    text = text_or_empty("text")
+    return materialize(docs.select("doc_id", level("source").alias("source"), level("lang").alias("lang"), (form_of(text) if topic is None else topic).alias("topic"), tokens(text).alias("n_tokens")))
+
+
 def mix(
     docs: DataFrame,
     source_targets: dict[str, float] | None = None,
@@ -107,37 +153,17 @@ def mix(
     ``budget``: tokens to draw, as a share of all tokens. ``probability`` is the
     expected number of copies; above 1 a document is repeated.
     """
-    spark = docs.sparkSession
+    rows = slim_rows(docs, topic)
+    source, lang, factors = calibrate(rows, (source_targets, lang_targets, topic_targets), temperature, budget, most_sources, most_langs)
+    probability, copies = drawn(F.col("n_tokens"), seed)
+    met = rows.withColumn("_source", source).withColumn("_lang", lang).join(F.broadcast(factors.withColumnRenamed("_topic", "topic")), ["_source", "_lang", "topic"])
+    return met.select("doc_id", "source", "lang", "topic", "n_tokens", probability.alias("probability"), copies.alias("copies"))
+
+
+def sample(docs: DataFrame, budget: float = 1.0, temperature: tuple[float, float, float] = (0.7, 0.8, 1.0), seed: int = 11, most_sources: int = 200, most_langs: int = 50) -> DataFrame:
+    """The documents drawn at least once, each once, with their own columns; texts are not exchanged."""
+    source, lang, factors = calibrate(slim_rows(docs, None), (None, None, None), temperature, budget, most_sources, most_langs)
     text = text_or_empty("text")
-    rows = materialize(
-        docs.select(
-            "doc_id",
-            F.coalesce("source", F.lit(NONE)).alias("source"),
-            F.coalesce("lang", F.lit(NONE)).alias("lang"),
-            (form_of(text) if topic is None else topic).alias("topic"),
-            F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n_tokens"),
-        )
-    )
-    named = {"source": heaviest(rows, "source", most_sources), "lang": heaviest(rows, "lang", most_langs)}
-    level = {c: F.when(F.col(c).isin(sorted(names)), F.col(c)).otherwise(OTHER) if names else F.lit(OTHER) for c, names in named.items()}
-    rows = rows.withColumn("_source", level["source"]).withColumn("_lang", level["lang"])
-    # At most (most_sources + 1) x (most_langs + 1) x topics cells.
-    sums = rows.groupBy("_source", "_lang", "topic").agg(F.sum("n_tokens").alias("n")).collect()
-    cells = {(r["_source"], r["_lang"], r["topic"]): float(r["n"]) for r in sums}
-    targets = []
-    for axis, given in enumerate((source_targets, lang_targets, topic_targets)):
-        observed: dict[str, float] = {}
-        for k, v in cells.items():
-            observed[k[axis]] = observed.get(k[axis], 0.0) + v
-        targets.append(given if given is not None else tempered(observed, temperature[axis]))
-    weights, total = rake(cells, targets), sum(cells.values())
-    values = ",".join(f"({quoted(k[0])}, {quoted(k[1])}, {quoted(k[2])}, {weights.get(k, 0.0) * budget * total / v if v else 0.0!r}D)" for k, v in sorted(cells.items())) or "('', '', '', 0D)"
-    factors = spark.sql(f"SELECT * FROM VALUES {values} AS t(_source, _lang, topic, probability)")
-    draw = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
-    expected = F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(0.0)
-    return (
-        rows.join(F.broadcast(factors), ["_source", "_lang", "topic"])
-        .withColumn("probability", expected)
-        .withColumn("copies", (F.floor("probability") + (draw < F.col("probability") - F.floor("probability")).cast("long")).cast("int"))
-        .select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "copies")
-    )
+    held = docs.select("*", source.alias("_source"), lang.alias("_lang"), form_of(text).alias("_topic"))
+    _, copies = drawn(tokens(text), seed)
+    return held.join(F.broadcast(factors), ["_source", "_lang", "_topic"]).where(copies >= 1).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_extract, mixing, quality, sharding, token_counts, warc
+from tidemark.llm import decontaminate, html_extract, imatch, mixing, near_dups, quality, repeated_spans, sharding, token_counts, warc
 from tidemark.llm.common import table, text_or_empty
 
 
@@ -29,10 +29,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -54,7 +66,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_scores": op1_quality_scores,
     "op2_token_counts": op2_token_counts,
+    "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_histogram_shards": op4_histogram_shards,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_repeated_spans": op6_repeated_spans,
     "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_source_mix": op8_source_mix,
     "op9_html_main_text": op9_html_main_text,
