@@ -6,5 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Make a query known under a name; ``sql`` is the same query for DuckDB, where SQL can say it."""
+
+    def add(query: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = query
+        if sql:
+            ORACLE[name] = sql
+        return query
+
+    return add
+
+
+from tidemark.plans import queries_ingest, queries_models, queries_relational, queries_series, queries_statistics  # noqa: E402, F401
