@@ -274,9 +274,9 @@ def a18(spark, sf):
 @register(
     "x1_resample_months",
     with_sql(SERIES_SQL)
-    + """SELECT metric_key, CAST(date_trunc('month', date) AS DATE) AS date, round(CASE metric_key WHEN '1-URGENT' THEN sum(value) WHEN '2-HIGH' THEN max(value) WHEN '3-MEDIUM' THEN arg_max(value, date) ELSE avg(value) END, 10) AS value
+    + """SELECT metric_key, CAST(date_trunc('month', date) AS DATE) AS date, round(CASE metric_key WHEN '1-URGENT' THEN sum(value) WHEN '2-HIGH' THEN max(value) WHEN '3-MEDIUM' THEN arg_max(value, date) ELSE avg(value) END, 12) AS value
     FROM series GROUP BY 1, 2""",
 )
 def x1(spark, sf):
     defs = spark.createDataFrame([("1-URGENT", "sum"), ("2-HIGH", "max"), ("3-MEDIUM", "last")], "key string, agg string")
-    return rounded(T.resample(V.series(spark, sf), "month", defs, ("metric_key",)), "value", digits=10)
+    return rounded(T.resample(V.series(spark, sf), "month", defs, ("metric_key",)), "value", digits=12)
