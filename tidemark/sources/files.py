@@ -24,7 +24,7 @@ def read_csv(spark: SparkSession, path: str, order: str | None = None) -> DataFr
     first = spark.read.text(path).limit(1).collect()
     line = first[0][0].lstrip("﻿") if first else ""
     cells = spark.read.csv(path, header=True, sep=sniff_delimiter(line), quote='"', escape='"', multiLine=True, inferSchema=False, mode="PERMISSIVE", encoding="UTF-8")
-    names = [c.lstrip("﻿").strip() for c in cells.columns]
+    names = [c.lstrip("﻿").strip().strip('"') for c in cells.columns]
     cells = cells.toDF(*names)
     if names:
         cells = cells.where(reduce(lambda a, b: a | b, [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) != "" for c in names]))
