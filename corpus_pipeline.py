@@ -18,7 +18,7 @@ from tidemark.llm.queries import held_out
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts good."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return quality.score_documents(docs, model, threshold=0.7).where("predicted = 1").select(*docs.columns)
+    return docs.where(quality.scorer(spark, model)(F.col("text")) >= 0.7)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    found = decontaminate.found_items(spark, F.col("text"), table(spark, sf_dir, "benchmark"))
+    return docs.where(F.size(found) == 0)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

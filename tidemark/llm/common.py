@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,24 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more.
+
+    The driver's garbage is collected as well, upon which Spark's cleaner drops the
+    shuffle files of the steps that are over.
+    """
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
@@ -201,10 +201,15 @@ def matcher(spark: SparkSession, block: list[tuple[int, str]], edits: float, sha
     return find
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, edits: float = 0.06, share: float = 0.5, least: int = 50, block_chars: int = 1 << 20) -> DataFrame:
-    """``docs`` with ``item_ids`` (the items found, ascending) and ``contaminated``."""
-    spark = docs.sparkSession
+def found_items(spark: SparkSession, text: Column, benchmark: DataFrame, edits: float = 0.06, share: float = 0.5, least: int = 50, block_chars: int = 1 << 20) -> Column:
+    """The ids of the items found in a text, ascending."""
     ids = F.array().cast("array<bigint>")
     for block in blocks(benchmark, block_chars):
-        ids = F.concat(ids, matcher(spark, block, edits, share, least)(F.col("text")))
-    return docs.withColumn("item_ids", F.array_sort(F.array_distinct(ids))).withColumn("contaminated", F.size("item_ids") > 0)
+        ids = F.concat(ids, matcher(spark, block, edits, share, least)(text))
+    return F.array_sort(F.array_distinct(ids))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+    """``docs`` with ``item_ids`` (the items found, ascending) and ``contaminated``."""
+    found = docs.withColumn("item_ids", found_items(docs.sparkSession, F.col("text"), benchmark, **parameters))
+    return found.withColumn("contaminated", F.size("item_ids") > 0)

@@ -164,6 +164,7 @@ def sample(docs: DataFrame, budget: float = 1.0, temperature: tuple[float, float
     """The documents drawn at least once, each once, with their own columns; texts are not exchanged."""
     source, lang, factors = calibrate(slim_rows(docs, None), (None, None, None), temperature, budget, most_sources, most_langs)
     text = text_or_empty("text")
-    held = docs.select("*", source.alias("_source"), lang.alias("_lang"), form_of(text).alias("_topic"))
-    _, copies = drawn(tokens(text), seed)
-    return held.join(F.broadcast(factors), ["_source", "_lang", "_topic"]).where(copies >= 1).select(*docs.columns)
+    # The documents' own columns stay together, whatever their names.
+    held = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", tokens(text).alias("_tokens"), source.alias("_source"), lang.alias("_lang"), form_of(text).alias("_topic"))
+    _, copies = drawn(F.col("_tokens"), seed)
+    return held.join(F.broadcast(factors), ["_source", "_lang", "_topic"]).where(copies >= 1).select("document.*")
