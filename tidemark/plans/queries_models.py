@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import fisher_p_sql
 from tidemark.functions.vocab import ANCHORS, DECADES, HIGHER_IS_BETTER, LIFTS, PERCENTILES, PLAUSIBLE_RANGES
 from tidemark.operators import goals as G
 from tidemark.operators import series as S
@@ -14,7 +15,7 @@ from tidemark.plans import derive, report, tools
 from tidemark.plans import views as V
 from tidemark.plans.queries_series import ONE, rounded
 from tidemark.plans.views import DENSE_SQL, EVENTS_TODAY, SERIES_SQL, SETS_SQL, SETS_TODAY, WORKOUTS_SQL, with_sql
-from tidemark.registry import register
+from tidemark.registry import ORACLE, register
 
 USER = ["user_id"]
 
@@ -331,7 +332,20 @@ def c12(spark, sf):
     return rounded(P.best_lifts(best, P.lift_anchors(spark), USER), "e1rm").select("user_id", "lift", "exercise", "e1rm")
 
 
-@register("k20_relative_strength")
+LIFT_ANCHOR_SQL = "anchors AS (SELECT lift, sex, CAST(pct AS DOUBLE) AS pct, CAST(value AS DOUBLE) AS value FROM (VALUES " + values([(k, sex, p, v) for k, (_, by) in LIFTS.items() for sex, vs in by.items() for p, v in zip(PERCENTILES, vs, strict=True)]) + ") v(lift, sex, pct, value))"
+
+
+@register(
+    "k20_relative_strength",
+    with_sql(SETS_SQL, LIFT_SQL, LIFT_ANCHOR_SQL)
+    + f""", b AS (SELECT user_id, {LIFT_NAMES} AS exercise, max(weight_kg * (1 + reps / 30.0E0)) AS e1rm FROM sets WHERE weight_kg > 0 AND reps BETWEEN 1 AND 12 GROUP BY 1, 2),
+    p AS (SELECT user_id, lift, exercise, e1rm / 80.0 AS measured, CASE WHEN user_id % 2 = 0 THEN 'male' ELSE 'female' END AS sex FROM (SELECT b.*, lift, row_number() OVER (PARTITION BY user_id, lift ORDER BY regexp_matches(exercise, '(?i)barbell') DESC, e1rm DESC, exercise) AS k FROM b JOIN lifts ON regexp_matches(exercise, pattern)) t WHERE k = 1),
+    lim AS (SELECT lift, sex, min(value) AS lo, max(value) AS hi, min(pct) AS plo, max(pct) AS phi FROM anchors GROUP BY 1, 2), seg AS (SELECT *, lead(value) OVER w AS v2, lead(pct) OVER w AS p2 FROM anchors WINDOW w AS (PARTITION BY lift, sex ORDER BY value)),
+    r AS (SELECT user_id, p.lift, exercise, measured, CASE WHEN measured <= lo THEN plo WHEN measured >= hi THEN phi ELSE s.pct + (measured - s.value) / (s.v2 - s.value) * (s.p2 - s.pct) END AS raw, CASE WHEN measured <= lo THEN 'low' WHEN measured >= hi THEN 'high' END AS capped
+      FROM p JOIN lim ON lim.lift = p.lift AND lim.sex = p.sex LEFT JOIN seg s ON s.lift = p.lift AND s.sex = p.sex AND measured > lo AND measured < hi AND s.v2 IS NOT NULL AND measured >= s.value AND measured < s.v2),
+    q AS (SELECT user_id, lift, exercise, round(measured, 6) AS measured, CAST(floor(raw + 0.5) AS INTEGER) AS percentile, capped FROM r)
+    SELECT *, {BAND_SQL} AS band FROM q""",
+)
 def k20(spark, sf):
     best = K.heavy_sets(V.sets(spark, sf)).withColumn("exercise", F.expr(LIFT_NAMES)).groupBy("user_id", "exercise").agg(F.max(K.e1rm()).alias("e1rm"))
     lifts = P.best_lifts(best, P.lift_anchors(spark), USER).withColumn("measured", F.col("e1rm") / 80.0).withColumn("sex", F.when(F.col("user_id") % 2 == 0, "male").otherwise("female"))
@@ -377,15 +391,22 @@ def k22(spark, sf):
     return report.snapshots(V.dense(spark, sf), ONE, EVENTS_TODAY)
 
 
-@register("t_list_metrics")
+@register("t_list_metrics", ORACLE["d1_inventory"].replace("SELECT s.user_id, s.metric_key,", "SELECT s.user_id, s.metric_key, s.metric_key AS label, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS category,"))
 def t1(spark, sf):
     store = V.store(spark, sf)
     return tools.list_metrics(store, T.definitions(spark), EVENTS_TODAY)
 
 
-@register("t_describe_metric")
+@register(
+    "t_describe_metric",
+    with_sql(DENSE_SQL)
+    + f"""SELECT metric_key, count(*) AS n, round(avg(value), 8) AS mean, round(median(value), 8) AS median, round(stddev_samp(value), 8) AS sd, round(quantile_cont(value, 0.1), 8) AS p10, round(quantile_cont(value, 0.9), 8) AS p90, round(min(value), 8) AS min, round(max(value), 8) AS max,
+      round(arg_max(value, date), 8) AS latest, max(date) AS latest_date, round(avg(CASE WHEN date > DATE '{EVENTS_TODAY}' - 7 AND date < DATE '{EVENTS_TODAY}' THEN value END), 8) AS avg7, round(avg(CASE WHEN date > DATE '{EVENTS_TODAY}' - 28 AND date < DATE '{EVENTS_TODAY}' THEN value END), 8) AS avg28,
+      round(avg(CASE WHEN date > DATE '{EVENTS_TODAY}' - 90 AND date < DATE '{EVENTS_TODAY}' THEN value END), 8) AS avg90, min(date) AS first, max(date) < DATE '{EVENTS_TODAY}' - 10 AS stale FROM dense GROUP BY 1""",
+)
 def t2(spark, sf):
-    return tools.describe_metric(V.dense(spark, sf), ONE, EVENTS_TODAY)
+    found = tools.describe_metric(V.dense(spark, sf), ONE, EVENTS_TODAY)
+    return rounded(found, "mean", "median", "sd", "p10", "p90", "min", "max", "latest", "avg7", "avg28", "avg90", digits=8)
 
 
 @register("t_analyse_metric")
@@ -393,9 +414,15 @@ def t3(spark, sf):
     return tools.analyse_metric(V.series(spark, sf), ONE, "2001-08-01", 365)["trend"]
 
 
-@register("t_compare_metrics")
+LAGS_SQL = """l AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS lag),
+al AS (SELECT 'view' AS driver, 'click' AS target, l.lag, x.value AS x, y.value AS y FROM dense x, l, dense y WHERE y.date = x.date + CAST(l.lag AS INTEGER) AND x.metric_key = 'view' AND y.metric_key = 'click'),
+rk AS (SELECT driver, target, lag, rank() OVER (PARTITION BY lag ORDER BY x) + (count(*) OVER (PARTITION BY lag, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY lag ORDER BY y) + (count(*) OVER (PARTITION BY lag, y) - 1) / 2.0 AS ry FROM al),
+co AS (SELECT driver, target, lag, count(*) AS n, corr(rx, ry) AS r FROM rk GROUP BY 1, 2, 3 HAVING count(*) >= 10)"""
+
+
+@register("t_compare_metrics", with_sql(DENSE_SQL, LAGS_SQL) + f"SELECT target, driver, lag, n, round(r, 6) AS r, round({fisher_p_sql('r', 'n')}, 6) AS p, {fisher_p_sql('r', 'n')} < 0.05 AS significant FROM co")
 def t4(spark, sf):
-    return tools.compare_metrics(V.dense(spark, sf), "click", "view", EVENTS_TODAY, 180)["lags"]
+    return rounded(tools.compare_metrics(V.dense(spark, sf), "click", "view", EVENTS_TODAY, 180)["lags"], "r", "p")
 
 
 @register("t_find_drivers")
@@ -423,9 +450,9 @@ def t8(spark, sf):
     return rounded(tools.get_workouts(V.workouts(spark, sf), K.daily_load(loaded(spark, sf)), "2001-08-01", 60), "load").select("user_id", "date", "type", "external_id", "load")
 
 
-@register("t_get_strength")
+@register("t_get_strength", ORACLE["d7_exercise_progress"])
 def t9(spark, sf):
-    return tools.get_strength(V.sets(spark, sf), USER, SETS_TODAY, 180)
+    return rounded(rounded(tools.get_strength(V.sets(spark, sf), USER, SETS_TODAY, 180), "best_e1rm", "heaviest"), "volume", digits=3)
 
 
 @register(
