@@ -111,6 +111,50 @@ def to_long(rows: DataFrame, plan: ImportPlan, keep: tuple[str, ...] = ()) -> Da
     return long.select(*keep, "date", "c.metric_key", "c.value", F.lit("csv").alias("source")).where("date IS NOT NULL AND value IS NOT NULL")
 
 
+def _fields(rows: DataFrame, plan: ImportPlan, texts: tuple[str, ...], order: str) -> DataFrame:
+    """One column for each mapped field: dates parsed, ``texts`` trimmed, the rest numbers."""
+    def field(c: ColumnPlan) -> Column:
+        cell = F.col(c.header).cast("string")
+        if c.metric == "date":
+            return parse_date(cell)
+        return F.nullif(F.trim(cell), F.lit("")) if c.metric in texts else cell_value(c, cell, is_duration(c.metric))
+
+    return rows.select(order, *[field(c).alias(c.metric) for c in plan.columns if c.metric])
+
+
+WORKOUT_NUMBERS = ("duration_min", "distance_km", "avg_hr", "max_hr", "calories", "elevation_m", "rpe")
+SET_NUMBERS = ("set_order", "weight_kg", "reps", "rpe", "distance_km", "duration_s", "session_min")
+
+
+def to_workouts(rows: DataFrame, plan: ImportPlan, order: str) -> DataFrame:
+    """Session rows with a date, each with an id of its content; missing fields are null."""
+    found = _fields(rows, plan, ("type", "name"), order).where("date IS NOT NULL")
+    for c in ("type", "name"):
+        found = found if c in found.columns else found.withColumn(c, F.lit(None).cast("string"))
+    for c in WORKOUT_NUMBERS:
+        found = found if c in found.columns else found.withColumn(c, F.lit(None).cast("double"))
+    named = occurrence_ids(found, ["date", "type", "name", "duration_min", "distance_km"], order)
+    return named.select(order, "date", "type", "name", *WORKOUT_NUMBERS, F.lit("csv").alias("source"), F.col("content_id").alias("external_id"))
+
+
+def to_sets(rows: DataFrame, plan: ImportPlan, order: str) -> DataFrame:
+    """Set rows with a date and an exercise, each with an id of its content; missing fields are null."""
+    found = _fields(rows, plan, ("exercise", "session_name"), order)
+    for c in ("exercise", "session_name"):
+        found = found if c in found.columns else found.withColumn(c, F.lit(None).cast("string"))
+    for c in SET_NUMBERS:
+        found = found if c in found.columns else found.withColumn(c, F.lit(None).cast("double"))
+    named = occurrence_ids(found.where("date IS NOT NULL AND exercise IS NOT NULL"), ["date", "session_name", "exercise", "set_order", "weight_kg", "reps"], order)
+    return named.select(order, "date", "session_name", "exercise", *SET_NUMBERS, F.lit("csv").alias("source"), F.col("content_id").alias("external_id"))
+
+
+def logged_values(entries: DataFrame, source: str) -> DataFrame:
+    """Entries with a map of metric to typed text as long rows; what is not a number is left out."""
+    long = entries.select("user_id", "date", F.explode("values").alias("metric_key", "raw"))
+    number = F.regexp_extract(F.trim("raw"), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0).try_cast("double")
+    return long.select("user_id", "date", "metric_key", number.alias("value"), F.lit(source).alias("source")).where("value IS NOT NULL AND abs(value) < double('infinity')")
+
+
 def implausible(rows: DataFrame, plan: ImportPlan, order: str) -> DataFrame:
     """Mapped columns whose upper median over the sample is out of range, and a conversion that would bring it in."""
     columns = [c for c in plan.columns if c.metric in PLAUSIBLE_RANGES]

@@ -48,6 +48,16 @@ def heatmap(series: DataFrame, keys: list[str], today: str, weeks: int) -> DataF
     return joined.withColumn("shade", (F.col("value") - low) / F.when(span == 0, 1.0).otherwise(span))
 
 
+def sparkline(series: DataFrame, keys: list[str], width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """Each point's place in a box: by its number along, by least and most value up."""
+    w = Window.partitionBy(*keys)
+    at = F.row_number().over(w.orderBy("date")) - 1
+    steps = F.greatest(F.count("*").over(w) - 1, F.lit(1))
+    span = F.max("value").over(w) - F.min("value").over(w)
+    up = (F.col("value") - F.min("value").over(w)) / F.when(span == 0, 1.0).otherwise(span)
+    return series.withColumn("x", at / steps * width).withColumn("y", up * height)
+
+
 def domain(series: DataFrame, keys: list[str], margin: float = 0.12) -> DataFrame:
     """Least and most value with a margin; a flat series gets a tenth of its value, or 1."""
     ends = series.groupBy(*keys).agg(F.min("value").alias("a"), F.max("value").alias("z"))

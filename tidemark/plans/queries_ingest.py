@@ -219,3 +219,44 @@ def a18(spark, sf):
     from tidemark.operators.store import definitions
 
     return definitions(spark).select("key", "label", "category", "precision")
+
+
+SESSION_PLAN = N.ImportPlan("workouts", (N.ColumnPlan("When", "date"), N.ColumnPlan("Sport", "type"), N.ColumnPlan("Time", "duration_min"), N.ColumnPlan("Miles", "distance_km", "mi_to_km"), N.ColumnPlan("Pulse", "avg_hr")))
+
+
+@register(
+    "a10_import_workouts",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS type, CAST(60 + o_orderkey % 60 AS DOUBLE) AS duration_min, round((o_orderkey % 20) * CAST(1.609344 AS DOUBLE), 6) AS distance_km, CASE WHEN o_orderkey % 2 = 0 THEN CAST(100 + o_orderkey % 80 AS DOUBLE) END AS avg_hr,
+      CAST(NULL AS DOUBLE) AS rpe, 'csv' AS source FROM orders WHERE o_orderkey % 9 <> 0""",
+)
+def a10(spark, sf):
+    k = F.col("o_orderkey")
+    rows = V.table(spark, sf, "orders").select(
+        k, F.expr("CASE WHEN o_orderkey % 9 = 0 THEN '?' ELSE date_format(o_orderdate, 'dd.MM.yyyy') END").alias("When"), F.col("o_orderpriority").alias("Sport"), F.concat(F.lit("1h "), k % 60, F.lit("m")).alias("Time"),
+        (k % 20).alias("Miles"), F.when(k % 2 == 0, F.concat((100 + k % 80).cast("string"), F.lit(" bpm"))).alias("Pulse"),
+    )
+    found = N.to_workouts(rows, SESSION_PLAN, "o_orderkey")
+    return rounded(found, "distance_km").select("o_orderkey", "date", "type", "duration_min", "distance_km", "avg_hr", "rpe", "source")
+
+
+SET_PLAN = N.ImportPlan("sets", (N.ColumnPlan("Date", "date"), N.ColumnPlan("Exercise", "exercise"), N.ColumnPlan("Lb", "weight_kg", "lb_to_kg"), N.ColumnPlan("Reps", "reps")))
+
+
+@register(
+    "a11_import_sets",
+    "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_shipdate AS DATE) AS date, 'lift ' || l_suppkey % 7 AS exercise, round(l_quantity * 10 * 0.45359237, 6) AS weight_kg, CAST(l_linenumber AS DOUBLE) AS reps FROM lineitem WHERE l_suppkey % 11 <> 0",
+)
+def a11(spark, sf):
+    rows = V.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"), F.when(F.col("l_suppkey") % 11 != 0, F.concat(F.lit(" lift "), F.col("l_suppkey") % 7)).otherwise(" ").alias("Exercise"),
+        F.concat((F.col("l_quantity") * 10).cast("string"), F.lit(" lb")).alias("Lb"), F.concat("l_linenumber", F.lit(" reps")).alias("Reps"),
+    )
+    return rounded(N.to_sets(rows, SET_PLAN, "id"), "weight_kg").select("id", "date", "exercise", "weight_kg", "reps")
+
+
+@register("a27_manual_entries", "SELECT c_custkey AS user_id, DATE '2024-01-01' AS date, k AS metric_key, v AS value, 'manual' AS source FROM (SELECT c_custkey, 'weight_kg' AS k, c_custkey + 0.5::DOUBLE AS v FROM customer UNION ALL SELECT c_custkey, 'mood', CAST(c_custkey % 10 AS DOUBLE) FROM customer WHERE c_custkey % 2 = 0) t")
+def a27(spark, sf):
+    k = F.col("c_custkey")
+    values = F.create_map(F.lit("weight_kg"), F.concat(k.cast("string"), F.lit(".5 kg")), F.lit("mood"), F.when(k % 2 == 0, (k % 10).cast("string")).otherwise("fine"))
+    entries = V.table(spark, sf, "customer").select(k.alias("user_id"), F.lit("2024-01-01").cast("date").alias("date"), values.alias("values"))
+    return N.logged_values(entries, "manual")

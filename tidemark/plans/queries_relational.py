@@ -244,3 +244,19 @@ def h10(spark, sf):
 @register("h18_rounding", "SELECT c_custkey, floor(c_acctbal / 10 + 0.5) AS whole, floor(c_acctbal / 10 * 10 + 0.5) / 10 AS tenth FROM customer")
 def h18(spark, sf):
     return V.table(spark, sf, "customer").select("c_custkey", half_up(F.col("c_acctbal") / 10).alias("whole"), half_up(F.col("c_acctbal") / 10, 1).alias("tenth"))
+
+
+@register(
+    "o5_sparkline",
+    with_sql(DENSE_SQL)
+    + """SELECT metric_key, date, round((row_number() OVER (PARTITION BY metric_key ORDER BY date) - 1) / CAST(greatest(1, count(*) OVER (PARTITION BY metric_key) - 1) AS DOUBLE), 9) AS x,
+      round((value - min(value) OVER (PARTITION BY metric_key)) / (max(value) OVER (PARTITION BY metric_key) - min(value) OVER (PARTITION BY metric_key)), 9) AS y FROM dense""",
+)
+def o5(spark, sf):
+    return rounded(L.sparkline(V.dense(spark, sf), ONE), "x", "y", digits=9).select("metric_key", "date", "x", "y")
+
+
+@register("h23_display", "SELECT p_partkey, printf('%.2f', p_retailprice) AS shown, strftime(DATE '2024-01-01' + CAST(p_partkey % 300 AS INTEGER), '%d/%m/%Y') AS day FROM part")
+def h23(spark, sf):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int"))
+    return V.table(spark, sf, "part").select("p_partkey", F.format_string("%.2f", "p_retailprice").alias("shown"), F.date_format(day, "dd/MM/yyyy").alias("day"))
