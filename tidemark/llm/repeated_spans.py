@@ -5,7 +5,7 @@ repeat if the same bytes also start earlier: in a document of smaller id, or bef
 it in the same one. Every byte that a repeat covers is removed. Whether windows are
 repeats is judged on the input alone; windows never cross documents.
 
-Comparing every window of a corpus would shuffle a row a byte. Three exact steps
+Comparing every window of a corpus would shuffle a row a byte. Four exact steps
 leave few of them, each a pre-aggregated group by content and a join back to the
 contents that occur more than once:
 
@@ -17,15 +17,20 @@ contents that occur more than once:
 2. Anchors. The least hash of the ``GRAM``-byte strings inside a window is a function
    of the window's content. A window whose anchor occurs at one position only is no
    repeat. Each anchor is one row, however many windows share it.
-3. Windows. The windows left are grouped by a hash of all their bytes; all but the
-   earliest of each group are repeats.
+3. Blocks. Windows with a repeated anchor are put together, ``BLOCK`` neighbouring
+   starts at a fixed distance from their anchor. If a block's whole string has
+   occurred before, all its windows are repeats. The bytes that all windows of a block
+   share are its core: if no block with another string has this core, no other window
+   of the block is a repeat.
+4. Windows. The windows left (at the ends of repeated passages) are grouped by a hash
+   of all their bytes; all but the earliest of each group are repeats.
 
 Strings are compared by 96 bits: a 64-bit polynomial hash of all their bytes and a
 32-bit mix of bytes from three places and the length.
 
-Nulls are empty. Texts shorter than WINDOW keep all bytes. Rows that share a doc_id are not earlier
-or later than one another at equal starts, so copies under one id all stay; rows
-without an id come before all others. Extra columns are not carried; an empty table
+Nulls are empty. Texts shorter than WINDOW keep all bytes. Rows that repeat both id and
+text are one document, each with its result; texts that share an id are different
+documents, ordered by a hash; rows without an id come before all others. Extra columns are not carried; an empty table
 gives no rows.
 """
 
@@ -39,11 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_or_empty
+from tidemark.llm.common import discard, global_rank, materialize, text_or_empty
 from tidemark.llm.dart_minhash import BASE, GOLD, GROUP, INVERSE, MIX_A, MIX_B, mix, powers
 
 U = np.uint64
-WINDOW, UNIT, GRAM = 100, 128, 24
+WINDOW, UNIT, GRAM, BLOCK = 100, 128, 24, 16
+#: Bytes that all windows of a block share.
+CORE = WINDOW - BLOCK + 1
 #: k-gram positions in a window.
 SPAN = WINDOW - GRAM + 1
 #: Ids up to this many are broadcast to tell apart the documents that a table speaks of.
@@ -175,19 +182,45 @@ def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table_of({"h": grams[at].view(np.int64), "doc_id": ids[doc], "at": (at - b.starts[doc]).astype(np.int32)})
 
 
-def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def anchored(b: Block, known: list, repeated: list) -> tuple[np.ndarray, np.ndarray]:
+    """(start, anchor position) of the wanted windows whose anchor is repeated."""
+    wanted = wanted_windows(b, known)
+    grams, least, marked = b.anchors(wanted)
+    own = np.sort(np.concatenate([grams[s + np.array(r, dtype=np.int64)] for s, r in zip(b.starts, repeated, strict=True) if r] or [np.empty(0, dtype=U)]))
+    at = np.flatnonzero(wanted[: len(least)])
+    if not len(own) or not len(at):
+        return at[:0], at[:0]
+    place = np.minimum(np.searchsorted(own, least[at]), len(own) - 1)
+    at = at[own[place] == least[at]]
+    # The anchor is the first marked position of the window that has its least hash.
+    k = np.searchsorted(marked, at)
+    while (miss := grams[marked[k]] != least[at]).any():
+        k[miss] += 1
+    return at, marked[k]
+
+
+def emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, texts, (known, repeated) in in_groups(batch):
             b = Block(texts)
-            wanted = wanted_windows(b, known)
-            grams, least, _ = b.anchors(wanted)
-            own = np.sort(np.concatenate([grams[s + np.array(r, dtype=np.int64)] for s, r in zip(b.starts, repeated, strict=True) if r] or [np.empty(0, dtype=U)]))
-            at = np.flatnonzero(wanted[: len(least)])
-            if len(own) and len(at):
-                place = np.minimum(np.searchsorted(own, least[at]), len(own) - 1)
-                at = at[own[place] == least[at]]
-            else:
-                at = at[:0]
+            at, anchor = anchored(b, known, repeated)
+            last = np.unique(anchor - (anchor - at) // BLOCK * BLOCK)
+            doc = b.document(last)
+            start = np.maximum(last - BLOCK + 1, b.starts[doc])
+            end = np.minimum(last, b.starts[doc] + b.sizes[doc] - WINDOW) + 1
+            k, kc = b.hashes(last, last + CORE)
+            h, c = b.hashes(start, end + WINDOW - 1)
+            yield table_of({"k": k, "kc": kc, "h": h, "c": c, "doc_id": ids[doc], "at": (start - b.starts[doc]).astype(np.int32), "size": (end - start).astype(np.int32)})
+
+
+def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, texts, (known, repeated, look) in in_groups(batch):
+            b = Block(texts)
+            at, _ = anchored(b, known, repeated)
+            looked = np.zeros(b.n, dtype=bool)
+            b.cover(look, looked, True)
+            at = at[looked[at]]
             h, c = b.hashes(at, at + WINDOW)
             doc = b.document(at)
             yield table_of({"h": h, "c": c, "doc_id": ids[doc], "at": (at - b.starts[doc]).astype(np.int32), "size": np.ones(len(at), dtype=np.int32)})
@@ -195,10 +228,10 @@ def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, texts, (units, windows) in in_groups(batch):
+        for ids, texts, (units, blocks, windows) in in_groups(batch):
             removed, spans, digests = [], [], []
-            for text, a, b in zip(texts, units, windows, strict=True):
-                pairs = np.array((a or []) + (b or []), dtype=np.int64).reshape(-1, 2)
+            for text, *found in zip(texts, units, blocks, windows, strict=True):
+                pairs = np.array([x for f in found for x in f or ()], dtype=np.int64).reshape(-1, 2)
                 gone = merged(pairs[:, 0], pairs[:, 1] + WINDOW - 1)
                 sha, at = hashlib.sha256(), 0
                 for s, e in zip(gone[::2], gone[1::2], strict=True):
@@ -214,15 +247,20 @@ def emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def listed(rows: DataFrame) -> DataFrame:
+    """(doc_id, at, size) rows as sorted arrays of each document."""
+    runs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("runs"))
+    return runs.select("doc_id", F.col("runs.at").alias("at"), F.col("runs.size").alias("size"))
+
+
 def later_ones(rows: DataFrame) -> DataFrame:
-    """(doc_id, intervals) of the window starts whose content has an earlier occurrence."""
+    """The (doc_id, at, size) rows whose content has an earlier occurrence."""
     firsts = rows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "c", "first")
     later = rows.join(firsts, ["h", "c"]).where(F.struct("doc_id", "at") > F.col("first"))
-    listed = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("runs"))
-    return listed.select("doc_id", F.col("runs.at").alias("at"), F.col("runs.size").alias("size"))
+    return listed(later.select("doc_id", "at", "size"))
 
 
-def joined_runs(listed: DataFrame, name: str) -> DataFrame:
+def joined_runs(runs: DataFrame, name: str) -> DataFrame:
     """Neighbouring runs of each document as intervals start, end, start, end ..."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +272,7 @@ def joined_runs(listed: DataFrame, name: str) -> DataFrame:
                 out.append(merged(a, a + size[i].values.to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", name])
 
-    return materialize(listed.mapInArrow(join, f"doc_id long, {name} array<int>"))
+    return materialize(runs.mapInArrow(join, f"doc_id long, {name} array<int>"))
 
 
 def attach(docs: DataFrame, slim: DataFrame, only: bool = False) -> DataFrame:
@@ -259,17 +297,44 @@ def attach(docs: DataFrame, slim: DataFrame, only: bool = False) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` of every document."""
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.encode(text_or_empty("text"), "UTF-8").alias("text"))
+    named = texts.select("doc_id", F.xxhash64("text").alias("_text"))
+    shared = named.groupBy("doc_id").agg(F.min("_text").alias("a"), F.max("_text").alias("z")).where("a < z")
+    if shared.isEmpty():
+        out = of_distinct_ids(texts)
+    else:
+        ranks = materialize(global_rank(named.distinct(), "doc_id", "_text"))
+        numbered = texts.withColumn("_text", F.xxhash64("text")).join(ranks, ["doc_id", "_text"]).select(F.col("rank").alias("doc_id"), "text")
+        out = of_distinct_ids(numbered).withColumnRenamed("doc_id", "rank").join(ranks.select("rank", "doc_id"), "rank").drop("rank")
+        out = out.select("doc_id", *[c for c in out.columns if c != "doc_id"])
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
+def of_distinct_ids(texts: DataFrame) -> DataFrame:
+    """``remove_repeats`` of rows whose id names one text."""
     unit_rows = materialize(texts.mapInArrow(emit_units, "h long, c int, doc_id long, at int, size int"))
     units = joined_runs(later_ones(unit_rows), "units")
+    discard(unit_rows)
 
     anchor_rows = materialize(attach(texts, units).mapInArrow(emit_anchors, "h long, doc_id long, at int"))
     repeated = anchor_rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     anchors = materialize(anchor_rows.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("at").alias("anchors")))
-
-    some = attach(texts, anchors, only=True).join(units, "doc_id", "left").select("doc_id", "text", "units", "anchors")
+    discard(anchor_rows)
+
+    known = materialize(anchors.join(units, "doc_id", "left").select("doc_id", "units", "anchors"))
+    discard(anchors)
+    some = attach(texts, known, only=True).select("doc_id", "text", "units", "anchors")
+    block_rows = materialize(some.mapInArrow(emit_blocks, "k long, kc int, h long, c int, doc_id long, at int, size int"))
+    blocks = joined_runs(later_ones(block_rows), "blocks")
+    strings = materialize(block_rows.groupBy("k", "kc", "h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("size").alias("size")))
+    shared = strings.groupBy("k", "kc").agg(F.count("*").alias("n")).where("n > 1").select("k", "kc")
+    look = joined_runs(listed(strings.join(shared, ["k", "kc"]).select("first.doc_id", "first.at", "size")), "look")
+    discard(block_rows, strings)
+
+    some = attach(texts, known.join(look, "doc_id"), only=True).select("doc_id", "text", "units", "anchors", "look")
     window_rows = materialize(some.mapInArrow(emit_windows, "h long, c int, doc_id long, at int, size int"))
     windows = joined_runs(later_ones(window_rows), "windows")
+    discard(window_rows, known, look)
 
-    both = materialize(units.join(windows, "doc_id", "full_outer").select("doc_id", "units", "windows"))
-    out = attach(texts, both).select("doc_id", "text", "units", "windows").mapInArrow(emit_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    every = materialize(units.join(blocks, "doc_id", "full_outer").join(windows, "doc_id", "full_outer").select("doc_id", "units", "blocks", "windows"))
+    discard(units, blocks, windows)
+    return attach(texts, every).select("doc_id", "text", "units", "blocks", "windows").mapInArrow(emit_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
