@@ -115,6 +115,11 @@ def test_shards_of_one_hot_text_and_awkward_tables(spark):
     hot = awkward(spark, [(i, "same text" if i % 3 else f"text {i}", "en", "a") for i in range(600)])
     sizes = check_shards(sharding.shard_documents(hot, shards=8, tolerance=0.02).collect(), 8)
     assert len(sizes) == 8 and max(sizes.values()) < 1.1 * min(sizes.values())
+    pairs = awkward(spark, [(i, f"text of the pair {i // 2} " * 40, "en", "a") for i in range(2000)])
+    held = {}
+    for r in sharding.shard_documents(pairs, shards=8).collect():
+        held.setdefault(r["doc_id"] // 2, set()).add(r["shard"])
+    assert all(len(s) == 1 for s in held.values())
     rows = sharding.shard_documents(awkward(spark), shards=3).collect()
     check_shards(rows, 3)
     assert len(rows) == 13 and {r["size"] for r in rows if r["text_crc32"] == 0} == {16}
@@ -279,6 +284,8 @@ def test_html(spark):
     bare = "<div><a href=1>Home</a> <a href=2>About us today</a></div>" + "".join(f"<p>{'long paragraph of plain words ' * 6}{i}</p>" for i in range(4)) + "<div><a href=3>Next</a></div>"
     assert html_extract.main_text(bare).count("\n\n") == 3
     assert [html_extract.main_text(x) for x in (None, "", "   ", "<p", "<!-- x", "<script>x")] == ["", "", "", "<p", "", ""] or html_extract.main_text(None) == ""
+    wrapped = "<div class='sidebar-left'><article class='has-comments'><p>Kept text</p></article></div>"
+    assert html_extract.main_text(wrapped) == "Kept text"
     odd = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a", "y")], "page_id long, url string, html string, text string")
     assert [r["n_chars"] for r in html_extract.extract(odd).collect()] == [0, 0, 1]
     assert html_extract.extract(odd.limit(0)).count() == 0

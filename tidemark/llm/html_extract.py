@@ -14,7 +14,8 @@ the threshold is ``share`` of the largest window sum.
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by two line feeds. Nulls, empty pages and pages without text give
 the empty string. Broken markup (open tags at the end of a page or of a parent, stray
-end tags) is read as browsers do: an end tag closes what is open inside it.
+end tags) is read as browsers do: an end tag closes what is open inside it. If class
+names would leave nothing, only element names count.
 """
 
 from __future__ import annotations
@@ -61,6 +62,8 @@ def marked(attributes: str) -> bool:
     for found in NAMES.finditer(attributes):
         for name in next((g for g in found.groups() if g is not None), "").lower().split():
             words = WORD.split(name)
+            if words[0] in ("has", "with", "no", "without", "is", "show", "hide"):
+                continue
             if name in MARKS or words[0] in MARKS or (words[-1] in MARKS and not {"article", "entry", "post", "content", "story"} & set(words)):
                 return True
             if len(words) > 1 and any(w in ("cookie", "consent", "sidebar", "advert", "advertisement", "comments", "newsletter") for w in words):
@@ -68,8 +71,8 @@ def marked(attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, outside, in an article) of each block of a page."""
+def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, outside, in an article) of each block of a page; ``classes``: heed class, id and role."""
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside, in an article
     parts: list[str] = []
@@ -124,7 +127,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 del stack[k:]
                 outside, article = stack[-1][1:] if stack else (False, False)
             inner = article or name in ARTICLE or bool(re.search(r"role\s*=\s*[\"']?main\b", m[4]))
-            off = outside or name in OUTSIDE or (name not in ("html", "body", "article", "main") and bool(m[4]) and marked(m[4]))
+            off = outside or name in OUTSIDE or (name not in ("html", "body", "article", "main") and classes and bool(m[4]) and marked(m[4]))
             stack.append((name, off, inner))
             outside, article = off, inner
             links += name == "a"
@@ -136,6 +139,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_blocks(page: str, window: int = 3, share: float = 0.2) -> list[str]:
     """The blocks between surge and dive points."""
     rows = lines(page)
+    if all(outside for _, _, outside, _ in rows):  # a wrapper's class names what it holds, not what it is
+        rows = lines(page, classes=False)
     in_article = any(a and not o for _, _, o, a in rows)
     weight = [0 if o or (in_article and not a) or (not in_article and 2 * linked > len(text)) else len(text) for text, linked, o, a in rows]
     sums, total = [], 0

@@ -9,7 +9,8 @@ bytes below every candidate boundary of ``RADIX`` probes inside the cells that s
 hold a splitter, partition by partition (a partial aggregate), and keeps, for each
 splitter, the one cell that contains its target. Passes go on until every open cell
 holds at most ``tolerance`` of a shard's bytes or the key has no more digits; each
-pass reads only a slim table of key and size. Then rows are exchanged once, by key
+pass reads only a slim table of key and size. Copies of one text stay in one shard as
+long as together they hold at most ``together`` of a shard's bytes. Then rows are exchanged once, by key
 range, and numbered inside their shards from the counts of the partitions.
 
 Law ``bytes``: the shards' sizes are near equal; counts of rows may differ. A null
@@ -60,7 +61,7 @@ def keyed(docs: DataFrame, overhead: int) -> DataFrame:
     )
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float) -> tuple[list[tuple[int, int]], int]:
+def splitters(rows: DataFrame, shards: int, tolerance: float, together: float) -> tuple[list[tuple[int, int]], int]:
     """The key at which each of shards 1.. begins, and the number of passes.
 
     The driver sees at most ``shards`` cells of ``RADIX`` sums a pass.
@@ -96,9 +97,11 @@ def splitters(rows: DataFrame, shards: int, tolerance: float) -> tuple[list[tupl
             for d in sorted(table.get(i, {})):
                 here = table[i][d]
                 inside = [s for s in wanted if below <= target[s] < below + here]
+                share = here * shards / total
+                whole = share <= tolerance or level == 2 * DIGITS - 1 or (level == DIGITS - 1 and share <= together)
                 for s in inside:
-                    if here <= tolerance * total / shards or level == 2 * DIGITS - 1:
-                        # The cell is small: begin the shard at the nearer of its two edges.
+                    if whole:
+                        # Begin the shard at the nearer of its two edges.
                         nearer = d if target[s] - below <= below + here - target[s] else d + 1
                         done[s] = (*prefix, nearer)
                     else:
@@ -125,11 +128,11 @@ def shard_of(keys: list[tuple[int, int]]) -> Column:
     return shard.cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, overhead: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, together: float = 0.02, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     spark = docs.sparkSession
     rows = materialize(keyed(docs, overhead))
-    keys, _ = splitters(rows, shards, tolerance)
+    keys, _ = splitters(rows, shards, tolerance, together)
     order = ["kh", "kd", "doc_id", "size"]
     placed = materialize(
         rows.withColumn("shard", shard_of(keys))
