@@ -133,8 +133,9 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
     rows without an id have none: their edited text is their own, ``near_next`` 0.
     """
     bitmap = lexicon(docs, low, high)
-    texts = docs.select("doc_id", text_or_empty("text").alias("text"))
-    sizes = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.length(text_or_empty("text"))).alias("n"))
+    # The same plan on both sides of the two joins, filter included, so that Spark reuses its exchange.
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", text_or_empty("text").alias("text"))
+    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
     ranked = global_rank(sizes, "doc_id")
     n = ranked.count()
     after = ranked.select(F.col("doc_id").alias("cur"), F.floor(F.col("n") / 4).cast("int").alias("need"), F.pmod(F.col("rank") + 1, F.lit(max(n, 1))).alias("rank"))
@@ -148,9 +149,11 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
     )
     size = F.length("text")
     need = F.floor(size / 4).cast("int")
-    edited = F.when(F.col("next").isNull(), F.col("text")).otherwise(F.concat(F.left("text", size - need), F.left("next.head", need)))
-    both = texts.join(given, "doc_id", "left").select("doc_id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.parts").alias("c"))
-    both = both.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), parts(F.col("text"), bitmap).alias("a"), parts(F.col("edited"), bitmap).alias("b"), "c")
+    edited = F.concat(F.left("text", size - need), F.left("next.head", need))
+    with_next = texts.join(given, "doc_id").select("doc_id", "text", edited.alias("edited"), F.col("next.parts").alias("c"))
+    alone = docs.where("doc_id IS NULL").select("doc_id", text_or_empty("text").alias("text"), text_or_empty("text").alias("edited"), F.lit(None).cast("array<string>").alias("c"))
+    both = with_next.union(alone)
+    both = both.select("doc_id", size.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), parts(F.col("text"), bitmap).alias("a"), parts(F.col("edited"), bitmap).alias("b"), "c")
     return both.select(
         "doc_id",
         "n_chars",
