@@ -110,7 +110,7 @@ def a9(spark, sf):
     "a8_plausibility",
     with_sql(RANGE_SQL)
     + """, f AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer ORDER BY c_custkey LIMIT 200),
-    m AS (SELECT 'w' AS header, 'weight_kg' AS metric_key, list_sort(list(CAST(150 + c_custkey % 160 AS DOUBLE) * 2))[101] AS median FROM f UNION ALL SELECT 's', 'sleep_hours', list_sort(list(CAST(380 + c_custkey % 90 AS DOUBLE)))[101] FROM f)
+    m AS (SELECT 'w' AS header, 'weight_kg' AS metric_key, list_sort(list(CAST(150 + c_custkey % 160 AS DOUBLE) * 2))[CAST(count(*) // 2 AS INTEGER) + 1] AS median FROM f UNION ALL SELECT 's', 'sleep_hours', list_sort(list(CAST(380 + c_custkey % 90 AS DOUBLE)))[CAST(count(*) // 2 AS INTEGER) + 1] FROM f)
     SELECT header, m.metric_key, median, CASE header WHEN 'w' THEN CASE WHEN median * 0.45359237 BETWEEN 30 AND 250 THEN 'lb_to_kg' END ELSE CASE WHEN median / 3600 BETWEEN 0 AND 14 THEN 's_to_h' END END AS suggested
     FROM m JOIN ranges r ON r.metric_key = m.metric_key WHERE median < low OR median > high""",
 )
