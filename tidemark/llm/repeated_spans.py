@@ -256,6 +256,8 @@ def listed(rows: DataFrame) -> DataFrame:
 def later_ones(rows: DataFrame) -> DataFrame:
     """The (doc_id, at, size) rows whose content has an earlier occurrence."""
     firsts = rows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "c", "first")
+    # Written, so that both sides of the join are plain exchanges and Spark can split the rows of one content.
+    firsts = materialize(firsts)
     later = rows.join(firsts, ["h", "c"]).where(F.struct("doc_id", "at") > F.col("first"))
     return listed(later.select("doc_id", "at", "size"))
 
@@ -317,8 +319,9 @@ def of_distinct_ids(texts: DataFrame) -> DataFrame:
 
     anchor_rows = materialize(attach(texts, units).mapInArrow(emit_anchors, "h long, doc_id long, at int"))
     repeated = anchor_rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeated = materialize(repeated)
     anchors = materialize(anchor_rows.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("at").alias("anchors")))
-    discard(anchor_rows)
+    discard(anchor_rows, repeated)
 
     known = materialize(anchors.join(units, "doc_id", "left").select("doc_id", "units", "anchors"))
     discard(anchors)
@@ -326,9 +329,9 @@ def of_distinct_ids(texts: DataFrame) -> DataFrame:
     block_rows = materialize(some.mapInArrow(emit_blocks, "k long, kc int, h long, c int, doc_id long, at int, size int"))
     blocks = joined_runs(later_ones(block_rows), "blocks")
     strings = materialize(block_rows.groupBy("k", "kc", "h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("size").alias("size")))
-    shared = strings.groupBy("k", "kc").agg(F.count("*").alias("n")).where("n > 1").select("k", "kc")
+    shared = materialize(strings.groupBy("k", "kc").agg(F.count("*").alias("n")).where("n > 1").select("k", "kc"))
     look = joined_runs(listed(strings.join(shared, ["k", "kc"]).select("first.doc_id", "first.at", "size")), "look")
-    discard(block_rows, strings)
+    discard(block_rows, strings, shared)
 
     some = attach(texts, known.join(look, "doc_id"), only=True).select("doc_id", "text", "units", "anchors", "look")
     window_rows = materialize(some.mapInArrow(emit_windows, "h long, c int, doc_id long, at int, size int"))

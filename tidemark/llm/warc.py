@@ -61,6 +61,7 @@ def record_types(pages: DataFrame, revisit_bytes: int) -> DataFrame:
         .where("_n > 1")
         .select("digest", "n_bytes", "winner")
     )
+    winners = materialize(winners)
     return slim.join(winners, ["digest", "n_bytes"], "left").select(
         "page_id", "digest", "n_bytes", F.when(F.col("winner") > F.col("page_id"), F.col("winner")).alias("refers_to")
     )
