@@ -22,7 +22,7 @@ GOLD, MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB1
 BASE = 0x5851F42D4C957F2D
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are worked on at once.
-GROUP = 2 << 20
+GROUP = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ Q = 10
 #: Bits of the table that most q-grams of a text fail in.
 TABLE_BITS = 22
 #: Characters that are searched at once.
-GROUP = 4 << 20
+GROUP = 1 << 20
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
