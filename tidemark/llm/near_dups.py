@@ -5,14 +5,17 @@
 2. Exact copies are grouped by digest; each group is stood for by its least id.
 3. A bucket is a band key that several distinct texts share. Each member is paired
    with two members that stand for the bucket: the one least by a hash that all
-   buckets share and the one least by a hash of the bucket's own. A bucket of n
-   members gives at most 2 n pairs, never all; members of one group meet other
-   stand-ins in other bands.
+   buckets share and the one least by a hash of the bucket's own. Most buckets are
+   one component after these at most 2 n pairs of n members.
 4. The sketches decide the clear pairs: at ``sure`` or more equal coordinates they
    link, below ``doubt`` they don't. Pairs between are verified on the whole texts'
    exact shingle sets, first each document's best pair, then every pair that still
    joins different components; a pair inside a component needs no proof.
-5. Components of the links are the classes; a class is named by its least doc_id.
+5. In buckets whose members are still in different components every pair across
+   components is compared: the members are dealt to blocks of about ``BLOCK`` by
+   hash and two blocks meet at a time, so rows grow with n^2 / ``BLOCK`` and no task
+   holds a bucket. The pairs found are decided as in 4.
+6. Components of the links are the classes; a class is named by its least doc_id.
 
 Similarity is the Jaccard similarity of the sets of five-word shingles (lower case,
 split at white space); 0.8 or more links. Texts of fewer than five words have one
@@ -37,6 +40,8 @@ from tidemark.llm.components import components
 
 #: Ids up to this many are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 256
 
 
 def signature_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -111,6 +116,64 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
 
 
+def pairs_across(distinct: DataFrame, labels: DataFrame, doubt: float) -> DataFrame:
+    """(a, b, agree) of all pairs in one bucket, in different components, with ``doubt`` or more equal coordinates."""
+    known = labels.select(F.col("node").alias("doc_id"), "label")
+    labelled = distinct.join(known, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "keys", "sketch")
+    members = labelled.select("doc_id", "label", F.posexplode("keys").alias("band", "key"))
+    # Two members are a pair that was judged.
+    mixed = members.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = materialize(mixed.where("n > 2 AND least < most").select("key", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    placed = members.join(mixed, ["key", "band"]).select("doc_id", "key", "band", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks").cast("int").alias("block"))
+    dealt = placed.join(labelled, "doc_id").groupBy("key", "band", "block").agg(F.collect_list(F.struct("doc_id", "label", "keys", "sketch")).alias("held"))
+    dealt = materialize(dealt)
+    other = dealt.select("key", "band", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
+    met = dealt.join(other, ["key", "band"]).where("block <= block_b").select("band", (F.col("block") == F.col("block_b")).alias("same"), "held", "held_b")
+
+    def arrays(held: pa.Scalar) -> tuple[np.ndarray, ...]:
+        ids, label, keys, sketch = (held.values.field(c) for c in ("doc_id", "label", "keys", "sketch"))
+        return ids.to_numpy(), label.to_numpy(), keys.flatten().to_numpy().reshape(len(ids), -1), sketch.flatten().to_numpy().reshape(len(ids), -1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                ids_x, label_x, keys_x, x = arrays(batch.column(2)[i])
+                ids_y, label_y, keys_y, y = arrays(batch.column(3)[i])
+                wanted = label_x[:, None] != label_y[None, :]
+                if same:
+                    wanted &= ids_x[:, None] < ids_y[None, :]
+                for k in range(band):  # a pair counts in the first band that it shares
+                    wanted &= keys_x[:, k, None] != keys_y[None, :, k]
+                if not wanted.any():
+                    continue
+                equal = np.zeros(wanted.shape, dtype=np.int16)
+                for k in range(x.shape[1]):
+                    equal += x[:, k, None] == y[None, :, k]
+                a, b = np.nonzero(wanted & (equal >= doubt * x.shape[1]))
+                ends = ids_x[a], ids_y[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends)), pa.array(equal[a, b] / x.shape[1])], ["a", "b", "agree"])
+
+    return met.mapInArrow(compare, "a long, b long, agree double").distinct()
+
+
+def joined(judged: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, similarity: float, sure: float) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) after the judged pairs that join components are decided."""
+    links = materialize(links.union(judged.where(F.col("agree") >= sure).select("a", "b")))
+    labels = components(links)
+    open_pairs = materialize(apart(judged.where(F.col("agree") < sure), labels))
+    ends = open_pairs.select(F.col("a").alias("node"), "agree", "a", "b").union(open_pairs.select(F.col("b").alias("node"), "agree", "a", "b"))
+    best = ends.groupBy("node").agg(F.max(F.struct("agree", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("p")).select((-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b")).distinct()
+    best = materialize(best)
+    links = materialize(links.union(verified(best, docs, shingle, similarity)))
+    labels = components(links)
+    rest = materialize(apart(open_pairs, labels).select("a", "b").join(best, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = materialize(links.union(verified(rest, docs, shingle, similarity)))
+        labels = components(links)
+    return links, labels
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, sure: float = 0.93, doubt: float = 0.65) -> DataFrame:
     """(doc_id, copy_of, class_id, is_kept) of every row: the exact copy it stands for, its class, whether it is the one that stays."""
     signed = signature_table(docs, shingle, bands, rows)
@@ -126,17 +189,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     judged = pairs.join(x, "a").join(y, "b").select("a", "b", agreement(F.col("x"), F.col("y")).alias("agree")).where(F.col("agree") >= doubt)
     judged = materialize(judged)
 
-    links = judged.where(F.col("agree") >= sure).select("a", "b")
-    labels = components(links)
-    open_pairs = materialize(apart(judged.where(F.col("agree") < sure), labels))
-    ends = open_pairs.select(F.col("a").alias("node"), "agree", "a", "b").union(open_pairs.select(F.col("b").alias("node"), "agree", "a", "b"))
-    best = ends.groupBy("node").agg(F.max(F.struct("agree", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("p")).select((-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b")).distinct()
-    best = materialize(best)
-    links = materialize(links.union(verified(best, docs, shingle, similarity)))
-    labels = components(links)
-    rest = materialize(apart(open_pairs, labels).select("a", "b").join(best, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        labels = components(links.union(verified(rest, docs, shingle, similarity)))
+    links, labels = joined(judged, judged.select("a", "b").limit(0), docs, shingle, similarity, sure)
+    across = materialize(pairs_across(distinct, labels, doubt))
+    if not across.isEmpty():
+        _, labels = joined(across, links, docs, shingle, similarity, sure)
     classed = members.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
     unnamed = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"))
     return classed.union(unnamed).withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
