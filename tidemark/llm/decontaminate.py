@@ -4,14 +4,12 @@ Texts and benchmark items are lower-cased and their white space is collapsed. Tw
 strings of length L within e edits share at least ``L - Q + 1 - Q * e`` q-grams, and
 these lie in diagonals (text position minus item position) at most e apart. So the
 shared q-grams of a document and an item are counted in diagonal bands of width
-``2 e`` that overlap by e, and only bands that meet the bound for half an item are
-looked at again: there a banded alignment finds the edit distance exactly.
+``2 e`` that overlap by e, and only bands that meet the least bound of a stretch are
+looked at again: there a banded local alignment decides exactly.
 
 A document is contaminated by an item if a stretch of at least ``share`` of the item
 (and at least ``least`` characters, or the whole item where it is shorter) occurs in
-it with at most ``edits`` edits a character. The stretches tried begin at every
-quarter of ``share`` of the item, so every stretch of the item that is a quarter
-longer contains one.
+it with at most ``edits`` edits a character, wherever the stretch begins and ends.
 
 The items are the stated query set. They go to the workers in blocks of at most
 ``block_chars`` characters, one pass over the documents for each block, so what is
@@ -39,6 +37,8 @@ Q = 10
 TABLE_BITS = 22
 #: Characters that are searched at once.
 GROUP = 1 << 20
+#: Characters of an item that are aligned at once.
+ROWS = 512
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -86,12 +86,56 @@ def alignment(stretch: str, segment: str, most: int) -> int:
     return int(min(row.min(), most + 1))
 
 
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def stretch_found(item: str, text: str, low: int, width: int, size: int, edits: float) -> bool:
+    """Whether a stretch of ``size`` or more of ``item`` is in ``text``, within ``edits`` edits a character, on the ``width`` diagonals from ``low``.
+
+    For each end of a stretch, diagonal and number of edits the earliest begin is
+    kept; rows are worked on in blocks, so memory grows with edits times diagonals.
+    """
+    a, b = points(item), points(text)
+    # Text position j + low + c; positions outside the text match nothing.
+    padded = np.full(len(a) + width, 0xFFFFFFFF, dtype=np.uint32)
+    at, to = max(0, low), min(len(b), low + len(padded))
+    if at >= to:
+        return False
+    padded[at - low : to - low] = b[at:to]
+    around = np.lib.stride_tricks.sliding_window_view(padded, width)
+    most, far = int(edits * len(a) + 1e-9), len(a) + 1
+    needs = [max(size, next(n for n in range(max(0, int(k / edits) - 1) if edits else 0, far + 2) if k <= edits * n + 1e-9)) for k in range(most + 1)]
+    carried = np.zeros((most + 1, width), dtype=np.int64)
+    for top in range(0, len(a), ROWS):
+        rows = a[top : top + ROWS]
+        runs = np.zeros((len(rows) + 1, width), dtype=np.int64)
+        np.cumsum(around[top : top + len(rows)] != rows[:, None], axis=0, out=runs[1:])
+        runs *= far
+        ends = np.arange(top, top + len(rows) + 1)[:, None]
+        before = None
+        for k in range(most + 1):
+            begin = np.repeat(ends, width, axis=1)
+            begin[0] = carried[k]
+            if before is not None:
+                np.minimum(begin[1:], before[:-1], out=begin[1:])  # one character for another
+                np.minimum(begin[1:, :-1], before[:-1, 1:], out=begin[1:, :-1])  # one of the item's left out
+                np.minimum(begin[1:, 1:], before[1:, :-1], out=begin[1:, 1:])  # one of the text's put in
+            begin -= runs
+            np.minimum.accumulate(begin, axis=0, out=begin)  # on over equal characters
+            begin += runs
+            if (ends - begin >= needs[k]).any():
+                return True
+            carried[k], before = begin[-1], begin
+    return False
+
+
 @dataclass
 class Item:
     item_id: int
     text: str
-    stretches: list[str]
-    bound: int  # shared q-grams that the shortest stretch needs
+    size: int  # characters of the shortest stretch
+    bound: int  # shared q-grams that any stretch needs
     width: int  # edits of the longest stretch
 
 
@@ -108,14 +152,13 @@ class Matcher:
                     self.short.append((item_id, f" {text} "))
                 continue
             size = min(len(text), max(least, -(-int(len(text) * share * 1000) // 1000)))
-            starts = sorted({*range(0, len(text) - size, max(1, size // 4)), len(text) - size})
-            stretches = [text[s : s + size] for s in starts]
-            most = int(edits * size)
+            lengths = np.arange(size, len(text) + 1)
+            bound = int((lengths - Q + 1 - Q * np.floor(edits * lengths + 1e-9)).min())
             got = gram_hashes(byte_codes(text))
             hashes.append(got)
             owners.append(np.full(len(got), len(self.items)))
             places.append(np.arange(len(got)))
-            self.items.append(Item(item_id, text, stretches, max(1, size - Q + 1 - Q * most), max(1, most)))
+            self.items.append(Item(item_id, text, size, max(1, bound), max(1, int(edits * len(text) + 1e-9))))
         if hashes:
             all_hashes, all_owners, all_places = map(np.concatenate, (hashes, owners, places))
             order = np.argsort(all_hashes, kind="stable")
@@ -167,10 +210,8 @@ class Matcher:
                 inside = (d >= band * item.width) & (d < (band + 2) * item.width)
                 if len(np.unique(p[inside])) < item.bound:
                     continue
-                start = starts[text[a]]
-                low = max(0, int(band * item.width - start) - item.width)
-                segment = texts[text[a]][low : low + len(item.text) + 5 * item.width]
-                if any(alignment(s, segment, int(self.edits * len(s))) <= self.edits * len(s) for s in item.stretches):
+                low = int(band * item.width - starts[text[a]])
+                if stretch_found(item.text, texts[text[a]], low, 2 * item.width, item.size, self.edits):
                     found[text[a]].add(item.item_id)
                     break
 
