@@ -3,13 +3,14 @@
 Markup is stripped to lines, one for each block of the page in page order. A line's
 weight is the length of its text, or zero where the markup says that the block is
 not main text: navigation, headers, footers, sidebars, notices, adverts, forms,
-reader comments, and blocks that are mostly links. The weights are summed over
-sliding windows of ``window`` lines. The text surges where a window's sum first
-exceeds the threshold and dives where it falls back to nothing; lines between a surge
-and its dive are kept, without lines of weight zero. Where the page marks its
+reader comments, and blocks that are mostly links without a word beside them. The
+weights are summed over sliding windows of ``window`` lines. A surge is a run of
+windows with weight, from dive to dive; if one of its sums exceeds the threshold all
+its lines are kept, from the first to the last, without lines of weight zero. A
+block of links between two kept blocks is kept as well. Where the page marks its
 article (``<article>``, ``<main>`` or ``role=main``), only lines in it have weight
-and the threshold is zero, so that short first and last paragraphs stay; elsewhere
-the threshold is ``share`` of the largest window sum.
+and the threshold is zero; elsewhere it is ``share`` of the largest window sum and at
+most ``most`` characters, so that one very long block does not raise it.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by two line feeds. Nulls, empty pages and pages without text give
@@ -71,22 +72,26 @@ def marked(attributes: str) -> bool:
     return False
 
 
-def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, outside, in an article) of each block of a page; ``classes``: heed class, id and role."""
-    out: list[tuple[str, int, bool, bool]] = []
+def worded(piece: str) -> bool:
+    return any(c.isalnum() for c in html.unescape(piece))
+
+
+def lines(page: str, classes: bool = True) -> list[tuple[str, bool, bool, bool]]:
+    """(text, only links, outside, in an article) of each block of a page; ``classes``: heed class, id and role."""
+    out: list[tuple[str, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside, in an article
     parts: list[str] = []
     linked = at = links = 0
-    outside = article = False
+    outside = article = words = False  # words: beside the links
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, words
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, outside, article))
+                out.append((text, 2 * linked > len(text) and not words, outside, article))
             parts.clear()
-        linked = 0
+        linked, words = 0, False
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -94,6 +99,8 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool, bool]]:
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
+            else:
+                words = words or worded(piece)
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -132,32 +139,34 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool, bool]]:
             outside, article = off, inner
             links += name == "a"
     parts.append(page[at:])
+    words = words or (not links and worded(page[at:]))
     flush()
     return out
 
 
-def main_blocks(page: str, window: int = 3, share: float = 0.2) -> list[str]:
+def main_blocks(page: str, window: int = 3, share: float = 0.2, most: int = 80) -> list[str]:
     """The blocks between surge and dive points."""
     rows = lines(page)
     if all(outside for _, _, outside, _ in rows):  # a wrapper's class names what it holds, not what it is
         rows = lines(page, classes=False)
     in_article = any(a and not o for _, _, o, a in rows)
-    weight = [0 if o or (in_article and not a) or (not in_article and 2 * linked > len(text)) else len(text) for text, linked, o, a in rows]
+    weight = [0 if o or (in_article and not a) or (not in_article and linked) else len(text) for text, linked, o, a in rows]
     sums, total = [], 0
     for i, w in enumerate(weight):
         total += w - (weight[i - window] if i >= window else 0)
         sums.append(total)
-    level = 0 if in_article else share * max(sums, default=0)
-    kept, inside = [False] * len(rows), False
-    for i, s in enumerate(sums):
-        if not inside and s > level:  # a surge: back over the window that made it
-            inside = True
-            for k in range(max(0, i - window + 1), i):
-                kept[k] = True
-        elif inside and s <= 0:  # a dive
-            inside = False
-        kept[i] = inside
-    return [text for (text, *_), k, w in zip(rows, kept, weight, strict=True) if k and w]
+    level = 0 if in_article else min(share * max(sums, default=0), most)
+    kept, begin = [False] * len(rows), 0
+    for i, s in enumerate([*sums, 0]):
+        if s <= 0:  # a dive
+            if max(sums[begin:i], default=0) > level:
+                kept[begin:i] = [w > 0 for w in weight[begin:i]]
+            begin = i + 1
+    main = list(kept)
+    for i in range(1, len(rows) - 1):
+        if rows[i][1] and not rows[i][2] and not in_article and main[i - 1] and main[i + 1]:
+            kept[i] = True
+    return [text for (text, *_), k in zip(rows, kept, strict=True) if k]
 
 
 def main_text(page: str | None) -> str:
