@@ -11,11 +11,12 @@ from tidemark.sources import files
 
 NUMBERS = {
     "1,234.56": 1234.56, "1.234,56": 1234.56, "1234.56": 1234.56, "0,5": 0.5, "12": 12, "-3.5": -3.5, "1000 steps": 1000, "12 reps": 12, "5 miles": 5, "70 kg": 70, "50%": 50, "$1,250.00": 1250,
-    "−5": -5, "–5": -5, "(1.5)": -1.5, "1.5e3": 1500, "12/05/2024": None, "2024-05-12": None, "1:30": None, "7.5h": None, "": None, "N/A": None, "—": None, "abc": None, "1.5e": None, "$-5": None, "1.2.3": None, "1,234,567": 1234567,
+    "−5": -5, "–5": -5, "(1.5)": -1.5, "1.5e3": 1500, "12/05/2024": None, "2024-05-12": None, "1:30": None, "7.5h": None, "": None, "N/A": None, "—": None, "abc": None, "1.5e": None, "$-5": None, "1.2.3": None, "1,234,567": 1234567, "1,2,3": None, "1.234.567,8": 1234567.8, "1,2.3.4": None, ".5": 0.5, "5,": 5, "USD 5": None, "5 km h": None, "£ 12 p/m": 12, "- $3": -3, "(2 kg)": -2, "()": None, "12,34,567": 1234567, "3 e": None, "1,": 1, ",": None,
 }
-DURATIONS = {"1:30": 90, "1:30:00": 90, "1h 30m": 90, "1.5h": 90, "90m": 90, "90 min": 90, "PT1H30M": 90, "2h": 120, "45s": 0.75, "0:45:30": 45.5, "1h 15min 30s": 75.5, "90": None, "": None}
+DURATIONS = {"1:30": 90, "1:30:00": 90, "1h 30m": 90, "1.5h": 90, "90m": 90, "90 min": 90, "PT1H30M": 90, "2h": 120, "45s": 0.75, "0:45:30": 45.5, "1h 15min 30s": 75.5, "90": None, "": None, "P1DT2H": 120, "1:75": None, "1:30.5": None, "1:02:03.5": 62 + 3.5 / 60, "2 Hours 5 Mins": 125, "a:b": None, "n/a": None}
 DATES = {
     "2024-05-12": "2024-05-12", "12/05/2024": "2024-05-12", "29/02/2024": "2024-02-29", "05/13/2024": "2024-05-13", "1.2.99": "1999-02-01", "Mar 12, 2024": "2024-03-12",
+    "2024-05-12T08:00:00Z": "2024-05-12", "Tue, 12 March 2024 10:30": "2024-03-12", "March 12th, 2024": "2024-03-12", "2024 Mar 3": "2024-03-03", "Mar 2024": "2024-03-01", "12 Foo 2024": None, "Feb 30, 2024": None, "Tue Mar 12 2024 08:00:00 GMT+0100": "2024-03-12", "12-May-2024": "2024-05-12",
     "2024-13-45": None, "31/02/2024": None, "0/0/2024": None, "2024-02-30": None, "29/02/2023": None, "": None, "not a date": None,
 }
 
