@@ -62,11 +62,14 @@ def interpolated(days: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def buckets(series: DataFrame, keys: list[str], days: int, points: int = 40) -> DataFrame:
-    """Means over buckets of ceil(days / points) days that begin at the first point."""
+    """Means over buckets of ceil(days / points) days that begin at the first point.
+
+    Values are summed as decimals of ten places, so a mean does not depend on the order of rows.
+    """
     width = max(1, -(-days // points))
     first = F.min("date").over(Window.partitionBy(*keys))
     at = F.date_add("_first", (F.floor(F.date_diff("date", "_first") / width) * width).cast("int"))
-    return series.withColumn("_first", first).groupBy(*keys, at.alias("date")).agg(F.avg("value").alias("value"))
+    return series.withColumn("_first", first).groupBy(*keys, at.alias("date")).agg((F.sum(F.col("value").cast("decimal(28,10)")).cast("double") / F.count("value")).alias("value"))
 
 
 def array_median(values: Column) -> Column:

@@ -266,19 +266,30 @@ def k16(spark, sf):
     return rounded(rounded(s, "baseline", "current", "smoothed", "coverage", "expected", digits=9), "progress", "pace").select("goal_id", "metric_key", "baseline", "current", "smoothed", "observations", "coverage", "progress", "expected", "pace", "status", "confidence")
 
 
+INDEX_SQL = f""", ix AS (SELECT g.goal_id, sum(CASE WHEN progress IS NOT NULL THEN greatest(0, least(1, progress)) * weight END) / sum(CASE WHEN progress IS NOT NULL THEN weight END) * 100 AS index, max(expected) * 100 AS expected_index, CAST(max(g.target_date) - DATE '{EVENTS_TODAY}' AS INTEGER) AS days_remaining FROM goals g LEFT JOIN st ON st.goal_id = g.goal_id GROUP BY 1),
+    pc AS (SELECT *, CASE WHEN expected_index > 2 THEN index / expected_index END AS pace_ratio FROM ix)"""
+
+
 @register(
     "k17_goal_index",
     with_sql(DENSE_SQL, GOAL_SQL)
-    + f""", ix AS (SELECT g.goal_id, sum(CASE WHEN progress IS NOT NULL THEN greatest(0, least(1, progress)) * weight END) / sum(CASE WHEN progress IS NOT NULL THEN weight END) * 100 AS index, max(expected) * 100 AS expected_index, CAST(max(g.target_date) - DATE '{EVENTS_TODAY}' AS INTEGER) AS days_remaining FROM goals g LEFT JOIN st ON st.goal_id = g.goal_id GROUP BY 1),
-    pc AS (SELECT *, CASE WHEN expected_index > 2 THEN index / expected_index END AS pace_ratio FROM ix)
-    SELECT goal_id, round(index, 6) AS index, round(expected_index, 6) AS expected_index, round(pace_ratio, 6) AS pace_ratio, CASE WHEN index IS NULL THEN 'no_data' WHEN pace_ratio IS NULL THEN 'on_track' WHEN pace_ratio >= 1.1 THEN 'ahead' WHEN pace_ratio >= 0.85 THEN 'on_track' WHEN pace_ratio >= 0.5 THEN 'behind' ELSE 'at_risk' END AS status, days_remaining FROM pc""",
+    + INDEX_SQL
+    + """SELECT goal_id, round(index, 6) AS index, round(expected_index, 6) AS expected_index, round(pace_ratio, 6) AS pace_ratio, CASE WHEN index IS NULL THEN 'no_data' WHEN pace_ratio IS NULL THEN 'on_track' WHEN pace_ratio >= 1.1 THEN 'ahead' WHEN pace_ratio >= 0.85 THEN 'on_track' WHEN pace_ratio >= 0.5 THEN 'behind' ELSE 'at_risk' END AS status, days_remaining FROM pc""",
 )
 def k17(spark, sf):
     goals, s = scored(spark, sf)
     return rounded(G.goal_index(s, goals, EVENTS_TODAY), "index", "expected_index", "pace_ratio").select("goal_id", "index", "expected_index", "pace_ratio", "status", "days_remaining")
 
 
-@register("h26_headlines")
+@register(
+    "h26_headlines",
+    with_sql(DENSE_SQL, GOAL_SQL)
+    + INDEX_SQL
+    + """, lg AS (SELECT goal_id, list_sort(list(metric_key)) AS names FROM st WHERE status IN ('behind', 'at_risk') GROUP BY 1),
+    sx AS (SELECT pc.*, names, CASE WHEN pace_ratio IS NULL OR pace_ratio >= 0.85 AND pace_ratio < 1.1 THEN 'on plan' WHEN pace_ratio >= 1.1 THEN 'ahead of plan' WHEN pace_ratio >= 0.5 THEN 'behind plan' ELSE 'far behind plan' END AS stands FROM pc LEFT JOIN lg ON lg.goal_id = pc.goal_id)
+    SELECT goal_id, CASE WHEN index IS NULL THEN 'No index yet: too few values.' ELSE 'Index ' || CAST(floor(index + 0.5) AS INTEGER) || coalesce(' where ' || CAST(floor(expected_index + 0.5) AS INTEGER) || ' was due', '') || ', ' || stands || '.'
+      || CASE WHEN names IS NOT NULL AND stands <> 'ahead of plan' THEN ' Slowest: ' || replace(array_to_string(names[1:2], ', '), '_', ' ') || '.' ELSE '' END || CASE WHEN days_remaining > 0 THEN ' Days to go: ' || days_remaining || '.' ELSE '' END END AS headline FROM sx""",
+)
 def h26(spark, sf):
     goals, s = scored(spark, sf)
     return G.goal_index(s, goals, EVENTS_TODAY).select("goal_id", "headline")
@@ -435,7 +446,7 @@ def t6(spark, sf):
     return tools.forecast_metric(V.dense(spark, sf), "click", 30)["bands"]
 
 
-@register("t_get_series", with_sql(SERIES_SQL) + "SELECT CAST(f + CAST(floor((date - f) / 5.0) * 5 AS INTEGER) AS DATE) AS date, round(avg(value), 6) AS value FROM (SELECT *, min(date) OVER () AS f FROM series WHERE metric_key = '2-HIGH' AND date BETWEEN DATE '2001-02-02' AND DATE '2001-08-01') t GROUP BY 1")
+@register("t_get_series", with_sql(SERIES_SQL) + "SELECT CAST(f + CAST(floor((date - f) / 5.0) * 5 AS INTEGER) AS DATE) AS date, round(CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) / count(value), 6) AS value FROM (SELECT *, min(date) OVER () AS f FROM series WHERE metric_key = '2-HIGH' AND date BETWEEN DATE '2001-02-02' AND DATE '2001-08-01') t GROUP BY 1")
 def t7(spark, sf):
     return rounded(tools.get_series(V.series(spark, sf), "2-HIGH", "2001-08-01", 180), "value")
 

@@ -177,7 +177,7 @@ def j15(spark, sf):
 @register(
     "d12_buckets",
     with_sql(SERIES_SQL)
-    + """SELECT metric_key, CAST(f + CAST(floor((date - f) / 10.0) * 10 AS INTEGER) AS DATE) AS date, round(avg(value), 6) AS value
+    + """SELECT metric_key, CAST(f + CAST(floor((date - f) / 10.0) * 10 AS INTEGER) AS DATE) AS date, round(CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) / count(value), 6) AS value
     FROM (SELECT *, min(date) OVER (PARTITION BY metric_key) AS f FROM series WHERE date BETWEEN DATE '2000-08-01' AND DATE '2001-08-01') t GROUP BY 1, 2""",
 )
 def d12(spark, sf):
