@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
@@ -43,6 +45,13 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing reads any more.
 
@@ -50,9 +59,7 @@ def discard(*tables: DataFrame) -> None:
     shuffle files of the steps that are over.
     """
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, df.written_to)
     gc.collect()
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()

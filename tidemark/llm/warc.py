@@ -1,23 +1,30 @@
 """WARC archives as a chunked record table.
 
-Writing: tasks stream records into archive files of about ``archive_bytes`` below a
-shared folder, one gzip member a record, through a file system client, so that the
-folder may be in any store that client reaches. A file is written under a name of
-its task attempt and then renamed to a name that depends on its content only, so a
-task that runs twice leaves the same archive. The manifest of files is a table.
+A payload is never one value on its way into or out of an archive: it is rows of
+(record, chunk number, at most ``chunk_bytes`` bytes).
+
+Writing: built-in expressions cut every payload into chunk rows; these are exchanged,
+sorted and streamed by tasks into archive files of about ``archive_bytes`` below a
+shared folder, one gzip member a record, with a running SHA-1 that must end in the
+digest of the header. Files are written through a file system client, so the folder
+may be in any store that client reaches, under a name of the task attempt, and then
+renamed to one of partition, number and content: a task that runs twice leaves the same
+archive, and equal archives of two tasks stay two. The manifest of files is a table.
 
 Of records with equal payloads of at least ``revisit_bytes`` bytes, the one with the
 largest key is a ``response``; the others are ``revisit`` records that carry the
 payload's digest, its length (in the stored HTTP header) and the key they refer to.
 
-Reading: each archive is streamed; a record's payload comes out as rows of
-(record key, chunk number, at most ``chunk_bytes`` bytes), each with the running
-length and SHA-1 of the payload so far, so no task ever holds a whole record. The
-last chunk of a record has the digest of all of it.
+Reading: as many tasks as there are archives stream them; a record's payload comes out
+as chunk rows, each with the running length and SHA-1 of the payload so far. The last
+chunk of a record has the digest of all of it.
 
-Nulls are empty payloads; an empty payload is one chunk of 0 bytes. Rows with equal
-keys and payloads give equal records (the largest key is then shared; all of them
-are responses). Empty tables give no archive and no rows; other columns are ignored.
+Every row gives a record. Null texts are empty payloads; an empty payload is one chunk
+of 0 bytes. A row with a null key is a response without key, whatever its payload. Rows
+with equal keys and payloads give equal records (the largest key is then shared; all of
+them are responses); rows with equal keys and different payloads are different records.
+Very long payloads are more chunks. Empty tables give no archive and no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_dir, text_or_empty
+from tidemark.llm.common import delete_folder, discard, materialize, shared_dir, text_or_empty
 
 CRLF = b"\r\n"
 MANIFEST = "archive string, n_records long, n_bytes long"
@@ -44,27 +51,30 @@ CHUNKS = (
 
 
 def record_types(pages: DataFrame, revisit_bytes: int) -> DataFrame:
-    """(page_id, digest, n_bytes, refers_to) of every page, from slim rows only.
+    """(page_id, digest, refers_to) of the pages that a record of the same payload replaces, from slim rows only.
 
     The winners of repeated payloads come from a pre-aggregated group; the join back
     moves a digest and a key a row, and Spark may split a digest that many rows share.
     """
     html = text_or_empty("html")
-    slim = pages.select(
-        "page_id", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes")
-    )
-    slim = materialize(slim)
-    winners = (
-        slim.where(F.col("n_bytes") >= revisit_bytes)
-        .groupBy("digest", "n_bytes")
-        .agg(F.max("page_id").alias("winner"), F.count("*").alias("_n"))
-        .where("_n > 1")
-        .select("digest", "n_bytes", "winner")
-    )
-    winners = materialize(winners)
-    return slim.join(winners, ["digest", "n_bytes"], "left").select(
-        "page_id", "digest", "n_bytes", F.when(F.col("winner") > F.col("page_id"), F.col("winner")).alias("refers_to")
-    )
+    slim = pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("n_bytes"))
+    slim = materialize(slim.where((F.col("n_bytes") >= revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest"))
+    winners = materialize(slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least")).where("_least < refers_to").select("digest", "refers_to"))
+    types = materialize(slim.join(winners, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct())
+    discard(slim, winners)
+    return types
+
+
+def chunk_table(pages: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(page_id, url, digest, n_bytes, record, chunk_no, chunk) of every page; ``record`` numbers the rows."""
+    payload = F.encode(text_or_empty("html"), "UTF-8")
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("record"))
+    size = F.octet_length("payload")
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / chunk_bytes), F.lit(0)).cast("int"))
+    return rows.select(
+        "page_id", "url", F.sha1("payload").alias("digest"), size.cast("long").alias("n_bytes"), "record",
+        F.posexplode(F.transform(starts, lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))).alias("chunk_no", "chunk"),
+    )
 
 
 def filesystem(uri: str):
@@ -74,7 +84,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record_head(page_id: int, url: str, digest: str, n_bytes: int, refers_to: int | None) -> bytes:
+def record_head(page_id: int | None, url: str, digest: str, n_bytes: int, refers_to: int | None) -> bytes:
     """The WARC header and the HTTP header of one record, up to its payload."""
     http = CRLF.join(
         [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % n_bytes, b"", b""]
@@ -83,7 +93,7 @@ def record_head(page_id: int, url: str, digest: str, n_bytes: int, refers_to: in
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {url}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -98,15 +108,6 @@ def record_head(page_id: int, url: str, digest: str, n_bytes: int, refers_to: in
     return "\r\n".join(lines).encode() + CRLF + CRLF + http
 
 
-def write_record(out: BinaryIO, head: bytes, payload: memoryview, chunk_bytes: int) -> None:
-    """One gzip member: header, payload in chunks, record end."""
-    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1, mtime=0) as member:
-        member.write(head)
-        for at in range(0, len(payload), chunk_bytes):
-            member.write(payload[at : at + chunk_bytes])
-        member.write(CRLF + CRLF)
-
-
 class Counted(io.RawIOBase):
     """A writable stream that counts and hashes what it passes on."""
 
@@ -123,53 +124,82 @@ class Counted(io.RawIOBase):
         return len(b)
 
 
+class Archive:
+    """One archive file while it is written."""
+
+    def __init__(self, store, base: str, chunk_bytes: int):
+        import uuid
+
+        self.store, self.base = store, base
+        self.part = f"{base}/_part-{uuid.uuid4().hex}"
+        self.raw = store.open_output_stream(self.part)
+        self.out, self.n, self.member, self.digest, self.sha = Counted(self.raw), 0, None, "", None
+
+    def begin(self, head: bytes, digest: str | None) -> None:
+        """A record; ``digest``: what its chunks must have together, None for a revisit."""
+        self.member = gzip.GzipFile(fileobj=self.out, mode="wb", compresslevel=1, mtime=0)
+        self.member.write(head)
+        self.digest, self.sha, self.n = digest, hashlib.sha1(), self.n + 1
+
+    def chunk(self, data: memoryview) -> None:
+        self.sha.update(data)
+        self.member.write(data)
+
+    def end(self) -> None:
+        if self.digest is not None and self.sha.hexdigest() != self.digest:
+            raise ValueError("the chunks of a record do not have its digest")
+        self.member.write(CRLF + CRLF)
+        self.member.close()
+
+    def close(self, place: str) -> tuple[str, int, int]:
+        """(name, records, bytes) of the file under its lasting name."""
+        self.raw.close()
+        name = f"{self.base}/{place}-{self.out.sha.hexdigest()}.warc.gz"
+        self.store.move(self.part, name)
+        return name, self.n, self.out.n
+
+
 def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = 1000, archive_bytes: int = 128 << 20, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives below ``folder``; their manifest.
 
-    Payloads move once, dealt by the unique key, so groups of equal payloads are spread.
+    Chunks move once, dealt by key and digest, so groups of equal payloads are spread.
+    Rows without key are written where they lie.
     """
     types = record_types(pages, revisit_bytes)
-    rows = (
-        pages.select("page_id", "url", text_or_empty("html").alias("html"))
-        .join(types.dropDuplicates(["page_id", "digest"]), "page_id")
-        .where(F.sha1(F.encode("html", "UTF-8")) == F.col("digest"))
-        .select("page_id", F.coalesce("url", F.lit("")).alias("url"), "digest", "n_bytes", "refers_to", F.when(F.col("refers_to").isNull(), F.encode("html", "UTF-8")).alias("payload"))
-    )
+    chunks = chunk_table(pages, chunk_bytes)
+    keyed = chunks.where("page_id IS NOT NULL").join(types.hint("merge"), ["page_id", "digest"], "left").sortWithinPartitions("page_id", "digest", "record", "chunk_no")
+    columns = ["page_id", "url", "digest", "n_bytes", "refers_to", "record", "chunk_no", F.when(F.col("refers_to").isNull(), F.col("chunk")).alias("chunk")]
+    unkeyed = chunks.where("page_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        from pyspark import TaskContext
 
         store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
-        done, n, out, part = [], 0, None, ""
-
-        def close() -> None:
-            raw.close()
-            name = f"{base}/{out.sha.hexdigest()}.warc.gz"
-            store.move(part, name)
-            done.append((name, n, out.n))
-
+        task, done, archive = TaskContext.get().partitionId(), [], None
         for batch in batches:
-            ids, urls, digests, sizes, refs = (batch.column(i).to_pylist() for i in range(5))
-            payloads = batch.column(5)
-            for i, page_id in enumerate(ids):
-                if out is None:
-                    part = f"{base}/_part-{uuid.uuid4().hex}"
-                    raw = store.open_output_stream(part)
-                    out, n = Counted(raw), 0
-                body = payloads[i].as_buffer() if refs[i] is None else None
-                write_record(out, record_head(page_id, urls[i], digests[i], sizes[i], refs[i]), memoryview(body) if body is not None else memoryview(b""), chunk_bytes)
-                n += 1
-                if out.n >= archive_bytes:
-                    close()
-                    out = None
-        if out is not None:
-            close()
+            ids, urls, digests, sizes, refs, _, numbers = (batch.column(i).to_pylist() for i in range(7))
+            payloads = batch.column(7)
+            for i, number in enumerate(numbers):
+                if number == 0:
+                    if archive is not None:
+                        archive.end()
+                        if archive.out.n >= archive_bytes:
+                            done.append(archive.close(f"{task:06d}-{len(done):04d}"))
+                            archive = None
+                    if archive is None:
+                        archive = Archive(store, base, chunk_bytes)
+                    archive.begin(record_head(ids[i], urls[i], digests[i], sizes[i], refs[i]), digests[i] if refs[i] is None else None)
+                if refs[i] is None and (body := payloads[i].as_buffer()).size:
+                    archive.chunk(memoryview(body))
+        if archive is not None:
+            archive.end()
+            done.append(archive.close(f"{task:06d}-{len(done):04d}"))
         cols = list(zip(*done, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["archive", "n_records", "n_bytes"])
 
-    manifest = materialize(rows.where("page_id IS NOT NULL").mapInArrow(write, MANIFEST))
-    return manifest.groupBy("archive").agg(F.max("n_records").alias("n_records"), F.max("n_bytes").alias("n_bytes"))
+    # One row an archive; names are made of the partition, so both parts of a union differ.
+    return materialize(keyed.select(*columns).union(unkeyed.select(*columns)).mapInArrow(write, MANIFEST))
 
 
 class Inflated:
@@ -235,7 +265,8 @@ def chunk_rows(raw, chunk_bytes: int, with_data: bool) -> Iterator[tuple]:
         http_head = stream.head() or b""
         http, left = fields(http_head), block - len(http_head) - 4
         ref = warc.get("warc-refers-to")
-        key = (int(warc["warc-record-id"].rpartition(":")[2].rstrip(">")), warc.get("warc-target-uri"), warc["warc-type"], int(ref.rpartition(":")[2].rstrip(">")) if ref else None, warc["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"]))
+        named = warc["warc-record-id"].rpartition(":")[2].rstrip(">")
+        key = (int(named) if named else None, warc.get("warc-target-uri"), warc["warc-type"], int(ref.rpartition(":")[2].rstrip(">")) if ref else None, warc["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"]))
         sha, so_far, number = hashlib.sha1(), 0, 0
         while True:
             want, got = min(chunk_bytes, left), []
@@ -254,7 +285,7 @@ def chunk_rows(raw, chunk_bytes: int, with_data: bool) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, chunk_bytes: int = 1 << 20, with_data: bool = True) -> DataFrame:
-    """The chunk rows of all archives of a manifest, an archive a task at a time."""
+    """The chunk rows of all archives of a manifest, by as many tasks as there are archives."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("declared_digest", pa.string()), ("declared_bytes", pa.int64()), ("chunk_no", pa.int32()), ("chunk", pa.binary()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("is_last", pa.bool_())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,19 +303,26 @@ def read_warc(spark: SparkSession, manifest: DataFrame, chunk_bytes: int = 1 <<
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(read, CHUNKS)
+    # A number of its own keeps Spark from merging the tiny partitions of names.
+    return manifest.select("archive").repartition(max(1, manifest.count()), "archive").mapInArrow(read, CHUNKS)
 
 
 def warc_round_trip(pages: DataFrame, revisit_bytes: int = 1000, archive_bytes: int = 128 << 20, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Write archives of ``pages`` in the shared folder and describe every record from what is read back."""
-    spark = pages.sparkSession
-    manifest = write_warc(pages, shared_dir(spark), revisit_bytes, archive_bytes, chunk_bytes)
+    spark, folder = pages.sparkSession, shared_dir(pages.sparkSession)
+    manifest = write_warc(pages, folder, revisit_bytes, archive_bytes, chunk_bytes)
     last = read_warc(spark, manifest, chunk_bytes, with_data=False).where("is_last")
     revisit = F.col("record_type") == "revisit"
-    return last.select(
-        "page_id",
-        F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
-        F.when(revisit, F.col("declared_digest")).otherwise(F.col("sha1_so_far")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
+    # Written, so that the archives can go.
+    records = materialize(
+        last.select(
+            "page_id",
+            F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
+            F.when(revisit, F.col("declared_digest")).otherwise(F.col("sha1_so_far")).alias("payload_digest"),
+            "record_type",
+            "refers_to",
+        )
     )
+    discard(manifest)
+    delete_folder(spark, folder)
+    return records
