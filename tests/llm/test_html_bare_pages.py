@@ -17,3 +17,62 @@ def test_paragraphs_of_mostly_links():
     page = "".join(f"<li><a href={i}>Part {i}</a></li>" for i in range(5)) + f"<p>{linked}</p>" + f"<p>{'more plain words ' * 9}</p><p>{only}</p><p>{'and so on with words ' * 9}</p>" + "<div><a href=7>Home</a> | <a href=8>About</a></div>"
     found = html_extract.main_blocks(page)
     assert len(found) == 4 and found[0].startswith("See the whole") and found[2] == "A sentence that is a link as a whole."
+
+
+def without_windows(page):
+    """The ablation: every line with weight, whatever its windows."""
+    rows = html_extract.lines(page, 3)
+    return [r.text for r, w in zip(rows, html_extract.weights(rows, 80), strict=True) if w > 0]
+
+
+def brute_force(page, window=3, share=0.2, most=80):
+    """A line is kept if it has weight and a window with more than the threshold can be reached over windows with weight."""
+    rows = html_extract.lines(page, window)
+    if all(r.outside for r in rows):
+        rows = html_extract.lines(page, window, classes=False)
+    weight = html_extract.weights(rows, most)
+    sums = {i: sum(weight[j] for j in range(i - window + 1, i + 1) if j >= 0) for i in range(len(rows))}
+    level = min(share * max(sums.values(), default=0), most)
+    kept = []
+    for i, r in enumerate(rows):
+        a = z = i
+        while a - 1 in sums and sums[a - 1] > 0:
+            a -= 1
+        while z + 1 in sums and sums[z + 1] > 0:
+            z += 1
+        if weight[i] > 0 and max(sums[j] for j in range(a, z + 1)) > level:
+            kept.append(r.text)
+    return kept
+
+
+def random_page(rng):
+    def text(n):
+        return " ".join(rng.choice(["word", "a", "longer", "sentence,"]) for _ in range(n))
+
+    parts = []
+    for _ in range(rng.randrange(1, 12)):
+        kind = rng.choice(["p", "p", "p", "div", "nav", "article", "ad", "empty"])
+        inner = "".join(f"<p>{text(rng.randrange(1, 40))}</p>" for _ in range(rng.randrange(1, 4)))
+        parts.append({"p": f"<p>{text(rng.randrange(1, 60))}</p>", "div": f"<div><div>{inner}</div></div>", "nav": f"<nav>{inner}</nav>", "article": f"<article>{inner}</article>", "ad": f"<div class='ad-slot'>{inner}</div>", "empty": "<div><div></div></div><div></div>"}[kind])
+    return "".join(parts)
+
+
+def test_windows_decide():
+    import random
+
+    rng = random.Random(4)
+    pages = [random_page(rng) for _ in range(400)]
+    assert all(html_extract.main_blocks(p) == brute_force(p) for p in pages)
+    assert sum(html_extract.main_blocks(p) != without_windows(p) for p in pages) > 40
+    story = "<article><h1>Head</h1><p>Short story.</p></article><div><p>stray words here</p></div>"
+    assert html_extract.main_blocks(story) == ["Head", "Short story."] != without_windows(story)
+
+
+def test_only_what_is_marked_goes():
+    page = (
+        "<article><p>Let <math><mi>x</mi></math> be <svg><title>icon</title><text>y</text></svg></p><div class='notification-systems'><p>Systems text</p></div><p class='search-results-discussion'>Found it</p>"
+        "<p>Press <button>OK</button> now</p><button>Share</button><div class='ad-slot-300x250'>Buy</div><div id='comments-area'><p>First!</p></div><noscript>Enable scripts</noscript></article>"
+    )
+    assert html_extract.main_blocks(page) == ["Let x be y", "Systems text", "Found it", "Press OK now"]
+    bare = "".join(f"<p>{'plain words of text ' * 8}{i}</p>" for i in range(3)) + "<div>Home | About | Contact</div></div></div><div>(c) 2024</div>"
+    assert len(html_extract.main_blocks(bare)) in (3, 4) and "Home" not in "".join(html_extract.main_blocks(bare))

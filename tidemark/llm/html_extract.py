@@ -1,22 +1,29 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one for each block of the page in page order. A line's
-weight is the length of its text, or zero where the markup says that the block is
-not main text: navigation, headers, footers, sidebars, notices, adverts, forms,
-reader comments, and blocks that are mostly links without a word beside them. The
-weights are summed over sliding windows of ``window`` lines. A surge is a run of
-windows with weight, from dive to dive; if one of its sums exceeds the threshold all
-its lines are kept, from the first to the last, without lines of weight zero. A
-block of links between two kept blocks is kept as well. Where the page marks its
-article (``<article>``, ``<main>`` or ``role=main``), only lines in it have weight
-and the threshold is zero; elsewhere it is ``share`` of the largest window sum and at
-most ``most`` characters, so that one very long block does not raise it.
+Markup is stripped to lines, one for each block of the page in page order. Where a
+container ends there is an empty line, and at the edges of an article a whole window of
+them. Every line has a weight:
+
+* the length of its text;
+* nothing where the markup says that it is not main text: navigation, headers, footers,
+  sidebars, notices, adverts, forms, reader comments, lines of controls only, and outside
+  of articles lines of links only and lists of short names between bars or dots;
+* ``most`` more inside an article (``<article>``, ``<main>``, ``role=main``), and a tenth
+  outside of the articles of a page that has one.
+
+The weights are summed over sliding windows of ``window`` lines, the same way on every
+page. Between two dives (windows without weight) lies a surge; if one of its sums exceeds
+the threshold, all its lines with weight are kept. The threshold is ``share`` of the
+largest sum and at most ``most``, so that one very long block does not raise it. A line of
+links between two kept lines is kept as well.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by two line feeds. Nulls, empty pages and pages without text give
 the empty string. Broken markup (open tags at the end of a page or of a parent, stray
 end tags) is read as browsers do: an end tag closes what is open inside it. If class
-names would leave nothing, only element names count.
+names would leave nothing, only element names count. Every page is worked on by itself and
+whole, however long: repeated rows give repeated rows, an empty table gives none, and
+columns other than page_id, url and html are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,12 +43,16 @@ from pyspark.sql.types import StringType
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody "
-    "td tfoot th thead title tr ul".split()
+    "td tfoot th thead title tr ul noscript".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|noembed|noframes|xmp|select|button|canvas|object"
-OUTSIDE = frozenset("head nav header footer aside form menu dialog fieldset".split())
-#: Words in class, id or role that mark a block as other than main text.
+#: Elements whose content is not text of the page.
+RAW = "script|style|textarea|title|template|iframe|noembed|noframes"
+OUTSIDE = frozenset("head nav header footer aside form menu dialog fieldset noscript".split())
+CONTROLS = frozenset("button select canvas".split())
+CONTAINERS = frozenset("div section table ul ol dl aside nav header footer form".split())
+ARTICLE = frozenset("article main".split())
+#: Words in class, id or role of what is not main text, and words that say nothing about it.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promotion banner nav "
     "navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidebars widget widgets cookie cookies consent gdpr notice "
@@ -48,26 +60,32 @@ MARKS = frozenset(
     "related recommended recommendations comment comments commentlist disqus replies respond footer header masthead topbar "
     "toolbar copyright search pagination pager skip complementary contentinfo dialog alertdialog".split()
 )
-ARTICLE = frozenset("article main".split())
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box button buttons center col column container content div entry form global google group "
+    "holder icons inner item items js left link links list main message module outer page panel policy post posts primary reader "
+    "region right row secondary section site slot small story tag thread to top unit user wrap wrapper article blog".split()
+)
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MAIN_ROLE = re.compile(r"role\s*=\s*[\"']?main\b", re.I)
 WORD = re.compile(r"[^a-z0-9]+")
+SIZE = re.compile(r"\d+x\d+|[a-z]?\d+")
+BARS = re.compile(r"\s*[|·•»/]\s+")
 SPACE = re.compile(r"\s+")
 #: End tags that browsers supply: a start tag of the first closes an open element of the second.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 def marked(attributes: str) -> bool:
-    """Whether class, id or role say that the element is not main text."""
+    """Whether class, id or role say that the element is not main text.
+
+    A name does if one of its words is a mark and the others are marks, numbers or neutral.
+    """
     for found in NAMES.finditer(attributes):
         for name in next((g for g in found.groups() if g is not None), "").lower().split():
-            words = WORD.split(name)
-            if words[0] in ("has", "with", "no", "without", "is", "show", "hide"):
-                continue
-            if name in MARKS or words[0] in MARKS or (words[-1] in MARKS and not {"article", "entry", "post", "content", "story"} & set(words)):
-                return True
-            if len(words) > 1 and any(w in ("cookie", "consent", "sidebar", "advert", "advertisement", "comments", "newsletter") for w in words):
+            words = [w for w in WORD.split(name) if w and not w.isdigit()]
+            if not MARKS.isdisjoint(words) and all(w in MARKS or w in NEUTRAL or SIZE.fullmatch(w) for w in words):
                 return True
     return False
 
@@ -76,28 +94,53 @@ def worded(piece: str) -> bool:
     return any(c.isalnum() for c in html.unescape(piece))
 
 
-def lines(page: str, classes: bool = True) -> list[tuple[str, bool, bool, bool]]:
-    """(text, only links, outside, in an article) of each block of a page; ``classes``: heed class, id and role."""
-    out: list[tuple[str, bool, bool, bool]] = []
+class Line(NamedTuple):
+    """A block's text and what the markup says of it."""
+
+    text: str
+    links: bool = False  # links only
+    outside: bool = True
+    article: bool = False
+
+
+def lines(page: str, window: int, classes: bool = True) -> list[Line]:
+    """The lines of a page, empty ones where containers end; ``classes``: heed class, id and role."""
+    out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside, in an article
     parts: list[str] = []
-    linked = at = links = 0
-    outside = article = words = False  # words: beside the links
+    linked = pressed = at = links = controls = 0
+    outside = article = words = False  # words: beside links and controls
 
     def flush() -> None:
-        nonlocal linked, words
+        nonlocal linked, pressed, words
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, 2 * linked > len(text) and not words, outside, article))
+                only_controls = 2 * pressed > len(text) and not words
+                out.append(Line(text, 2 * linked > len(text) and not words, outside or only_controls, article))
             parts.clear()
-        linked, words = 0, False
+        linked, pressed, words = 0, 0, False
+
+    def close(k: int) -> None:
+        """Close the open elements from ``k`` on."""
+        nonlocal outside, article, links, controls
+        for name, *_ in stack[k:]:
+            links -= name == "a"
+            controls -= name in CONTROLS
+            if name in ARTICLE:
+                out.extend([Line("")] * window)
+            elif name in CONTAINERS:
+                out.append(Line(""))
+        del stack[k:]
+        outside, article = stack[-1][1:] if stack else (False, False)
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
-            if links:
+            if controls:
+                pressed += len(piece.strip())
+            elif links:
                 linked += len(piece.strip())
             else:
                 words = words or worded(piece)
@@ -110,52 +153,68 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, bool, bool, bool]]
         if name in BLOCKS:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name not in BLOCKS and any(x[0] in BLOCKS for x in stack[k + 1 :]):
-                        break
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    outside, article = stack[-1][1:] if stack else (False, False)
-                    break
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if k is not None and (name in BLOCKS or not any(x[0] in BLOCKS for x in stack[k + 1 :])):
+                close(k)
         elif name not in VOID and not m[0].endswith("/>"):
             if name in CLOSES:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in CLOSES[name]:
-                        links -= sum(x[0] == "a" for x in stack[k:])
-                        del stack[k:]
-                        outside, article = stack[-1][1:] if stack else (False, False)
+                        close(k)
                         break
                     if stack[k][0] in BLOCKS:
                         break
             elif name in BLOCKS and any(x[0] == "p" for x in stack[-3:]):
-                k = max(i for i, x in enumerate(stack) if x[0] == "p")
-                links -= sum(x[0] == "a" for x in stack[k:])
-                del stack[k:]
-                outside, article = stack[-1][1:] if stack else (False, False)
-            inner = article or name in ARTICLE or bool(re.search(r"role\s*=\s*[\"']?main\b", m[4]))
+                close(max(i for i, x in enumerate(stack) if x[0] == "p"))
+            begins = name in ARTICLE or bool(MAIN_ROLE.search(m[4]))
+            if begins:
+                out.extend([Line("")] * window)
             off = outside or name in OUTSIDE or (name not in ("html", "body", "article", "main") and classes and bool(m[4]) and marked(m[4]))
-            stack.append((name, off, inner))
-            outside, article = off, inner
+            stack.append((name, off, article or begins))
+            outside, article = stack[-1][1:]
             links += name == "a"
+            controls += name in CONTROLS
     parts.append(page[at:])
-    words = words or (not links and worded(page[at:]))
+    words = words or (not links and not controls and worded(page[at:]))
     flush()
     return out
 
 
+def names_between_bars(text: str) -> bool:
+    """Whether a line lists three or more short names between bars or dots."""
+    names = BARS.split(text)
+    return len(names) > 2 and all(len(n.split()) <= 3 for n in names)
+
+
+def weights(rows: list[Line], most: int) -> list[float]:
+    """What each line counts in its windows."""
+    has_article = any(r.article and not r.outside for r in rows)
+
+    def weight(r: Line) -> float:
+        if r.outside or not r.text:
+            return 0
+        if r.article:
+            return len(r.text) + most
+        if r.links or names_between_bars(r.text):
+            return 0
+        return len(r.text) * (0.1 if has_article else 1)
+
+    return [weight(r) for r in rows]
+
+
+def window_sums(weight: list[float], window: int) -> list[float]:
+    """The sum of each line's weight and those of the ``window - 1`` lines before it."""
+    return [sum(weight[max(0, i - window + 1) : i + 1]) for i in range(len(weight))]
+
+
 def main_blocks(page: str, window: int = 3, share: float = 0.2, most: int = 80) -> list[str]:
     """The blocks between surge and dive points."""
-    rows = lines(page)
-    if all(outside for _, _, outside, _ in rows):  # a wrapper's class names what it holds, not what it is
-        rows = lines(page, classes=False)
-    in_article = any(a and not o for _, _, o, a in rows)
-    weight = [0 if o or (in_article and not a) or (not in_article and linked) else len(text) for text, linked, o, a in rows]
-    sums, total = [], 0
-    for i, w in enumerate(weight):
-        total += w - (weight[i - window] if i >= window else 0)
-        sums.append(total)
-    level = 0 if in_article else min(share * max(sums, default=0), most)
+    rows = lines(page, window)
+    if all(r.outside for r in rows):  # a wrapper's class names what it holds, not what it is
+        rows = lines(page, window, classes=False)
+    weight = weights(rows, most)
+    sums = window_sums(weight, window)
+    level = min(share * max(sums, default=0), most)
     kept, begin = [False] * len(rows), 0
     for i, s in enumerate([*sums, 0]):
         if s <= 0:  # a dive
@@ -164,9 +223,9 @@ def main_blocks(page: str, window: int = 3, share: float = 0.2, most: int = 80)
             begin = i + 1
     main = list(kept)
     for i in range(1, len(rows) - 1):
-        if rows[i][1] and not rows[i][2] and not in_article and main[i - 1] and main[i + 1]:
+        if rows[i].links and not rows[i].outside and main[i - 1] and main[i + 1]:
             kept[i] = True
-    return [text for (text, *_), k in zip(rows, kept, strict=True) if k]
+    return [r.text for r, k in zip(rows, kept, strict=True) if k]
 
 
 def main_text(page: str | None) -> str:
