@@ -77,13 +77,15 @@ def test_token_counts(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    extra = [(i, t, "en", "a") for i, t in enumerate(["it's  \n\n odd\x1c \x85z\xa0q", "a<|endoftext|>b  c<|endoftext|>", "tab\t\tx ", "x" * 3000, "𝒳 ½ ²³", "'s's't", None, ""])]
+    extra = [(i, t, "en", "a") for i, t in enumerate(["it's  \n\n odd\x1c \x85z\xa0q", "a<|endoftext|>b  c<|endoftext|>", "tab\t\tx ", "x" * 3000, "𝒳 ½ ²³", "'s's't", None, "", "Привет, мир! Это 3-й тест's", "日本語のテキスト、漢字と かな　全角　空白", "ok 🙂🙂 a → b ✓", "a\u2003\u2003b\u3000 c\u200bd \u2028 e", "हिन्दी में ٣٤٥ عربى ४५", "ﬁ ǅ ʰ ͅ x\u0301 Ⅷ ㊿ \ufeffq", "Ελληνικά 'll don't 're", "ж" * 200 + " " + "字" * 300])]
     docs = common.table(spark, DATA, "documents").select("doc_id", "text").unionByName(awkward(spark).select("doc_id", "text")).unionByName(awkward(spark, extra).select("doc_id", "text"))
     for r in token_counts.count_tokens(docs, path, limit=50).collect():
         text = r["text"] or ""
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(text.encode()), n > 50)
     small = token_counts.Lengths({}, path, cache_entries=3)
+    assert set(map(small.kind, "жß字")) == {token_counts.LIKE_LETTER} and small.kind("٣") == token_counts.LIKE_NUMBER and small.kind("🙂") == token_counts.LIKE_OTHER and small.kind("　") == token_counts.LIKE_SPACE
+    assert not small.whole
     assert small.count("one two three four five six") == len(library.encode("one two three four five six").ids) and len(small) <= 3
     assert token_counts.count_tokens(awkward(spark, []), path).count() == 0
 
