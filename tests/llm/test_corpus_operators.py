@@ -137,6 +137,9 @@ def test_shards_of_one_hot_text_and_awkward_tables(spark):
     hot = awkward(spark, [(i, "same text" if i % 3 else f"text {i}", "en", "a") for i in range(600)])
     sizes = check_shards(sharding.shard_documents(hot, shards=8, tolerance=0.02).collect(), 8)
     assert len(sizes) == 8 and max(sizes.values()) < 1.1 * min(sizes.values())
+    same = awkward(spark, [(7 if i % 2 else None, "same text", "en", "a") for i in range(600)])
+    sizes = check_shards(sharding.shard_documents(same, shards=6, tolerance=0.02).collect(), 6)
+    assert len(sizes) == 6 and max(sizes.values()) < 1.1 * min(sizes.values())
     pairs = awkward(spark, [(i, f"text of the pair {i // 2} " * 40, "en", "a") for i in range(2000)])
     held = {}
     for r in sharding.shard_documents(pairs, shards=8).collect():
@@ -148,6 +151,37 @@ def test_shards_of_one_hot_text_and_awkward_tables(spark):
     assert sharding.shard_documents(awkward(spark, []), shards=3).count() == 0
 
 
+def test_splitters_against_sorted_keys(spark):
+    """Each splitter is the edge nearest to its target among the cells that the passes reach."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = common.materialize(sharding.keyed(docs, 16))
+    keys, passes = sharding.splitters(rows, 16, 0.001, 0.02)
+    held = sorted((r["kh"], r["kd"], r["kt"], r["size"]) for r in rows.collect())
+    total, below, edges = sum(r[3] for r in held), 0, []
+    for r in held:
+        edges.append(below)
+        below += r[3]
+    largest_group = {}
+    for r in held:
+        largest_group[r[0]] = largest_group.get(r[0], 0) + r[3]
+    for s, key in enumerate(keys, 1):
+        at = sum(r[3] for r in held if r[:3] < key)
+        nearest = min(abs(total * s // 16 - e) for e in [*edges, total])
+        assert abs(at - total * s // 16) <= nearest + max(largest_group.values(), default=0) + 0.001 * total / 16
+    assert keys == sorted(keys) and 1 <= passes <= sharding.DIGITS
+
+
+def test_groups_at_the_edge_of_together(spark):
+    """A group just under ``together`` of a shard is whole, one well above it is divided where it meets a splitter."""
+    rows = awkward(spark, [(i, "x" * 84 if i < 40 else f"{i:04d}" + "y" * 80, "en", "a") for i in range(4000)])
+    held = sharding.shard_documents(rows, shards=4, together=0.05).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("rows"))
+    assert held.where("rows = 40").first()["n"] == 1
+    big = awkward(spark, [(i, "x" * 84 if i < 3000 else f"{i:04d}" + "y" * 80, "en", "a") for i in range(4000)])
+    got = sharding.shard_documents(big, shards=4).collect()
+    sizes = check_shards(got, 4)
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values())
+
+
 def brute_classes(texts):
     ids = sorted(texts)
     sets, parent = {k: shingle_set(texts[k]) for k in ids}, {k: k for k in ids}
