@@ -301,15 +301,46 @@ def test_alignment():
         assert decontaminate.alignment(a, b, 99) == brute(a, b)
 
 
+def shares(rows, axis, weight):
+    out = {}
+    for r in rows:
+        out[r[axis]] = out.get(r[axis], 0.0) + weight(r)
+    total = sum(out.values())
+    return {k: v / total for k, v in out.items()}
+
+
+def raked_by_hand(rows, powers):
+    """Cell shares by plain iterative proportional fitting over all cells."""
+    cells = {}
+    for r in rows:
+        if r["n_tokens"]:
+            k = (r["source"], r["lang"], r["topic"])
+            cells[k] = cells.get(k, 0.0) + r["n_tokens"]
+    total = sum(cells.values())
+    w = {k: v / total for k, v in cells.items()}
+    goals = []
+    for axis in range(3):
+        seen = {}
+        for k, v in w.items():
+            seen[k[axis]] = seen.get(k[axis], 0.0) + v
+        goals.append(mixing.tempered(seen, powers[axis]))
+    for _ in range(300):
+        for axis in range(3):
+            sums = {}
+            for k, v in w.items():
+                sums[k[axis]] = sums.get(k[axis], 0.0) + v
+            w = {k: v * goals[axis][k[axis]] / sums[k[axis]] for k, v in w.items()}
+    return {k: v * total / cells[k] for k, v in w.items()}, goals
+
+
 def test_mixing(spark):
     rows = queries.op8_source_mix(spark, "/root/testdata/sf0.01").collect()
     total = sum(r["n_tokens"] for r in rows)
-    expected, observed = {}, {}
-    for r in rows:
-        expected[r["source"]] = expected.get(r["source"], 0) + r["n_tokens"] * r["probability"]
-        observed[r["source"]] = observed.get(r["source"], 0) + r["n_tokens"]
-    want = mixing.tempered({k: float(v) for k, v in observed.items()}, 0.7)
-    assert all(abs(expected[s] / (0.8 * total) - want[s]) < 1e-6 for s in want)
+    factor, goals = raked_by_hand(rows, (0.7, 0.8, 0.9))
+    assert all(abs(r["probability"] - 0.8 * factor[r["source"], r["lang"], r["topic"]]) < 1e-4 for r in rows if r["n_tokens"])
+    for axis, goal in zip(("source", "lang", "topic"), goals, strict=True):
+        met = shares(rows, axis, lambda r: r["n_tokens"] * r["probability"])
+        assert all(abs(met[x] - goal[x]) < 1e-6 for x in goal)
     assert all(r["copies"] - 1 < r["probability"] < r["copies"] + 1 for r in rows)
     drawn = sum(r["n_tokens"] * r["copies"] for r in rows)
     assert abs(drawn / total - 0.8) < 0.06
@@ -317,13 +348,30 @@ def test_mixing(spark):
     assert all(r["n_tokens"] == len(texts[r["doc_id"]].split()) for r in rows)
 
 
+def test_mixing_of_many_sources_and_drawn_shares(spark):
+    """Every one of 600 sources meets its own target, and so does what is drawn; a hot source holds a third of all rows."""
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("five words are in here").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 599)).alias("source"), F.when(F.col("id") % 5 < 3, "en").alias("lang"))
+    got = mixing.mix(rows, budget=1.0).collect()
+    seen = shares(got, "source", lambda r: r["n_tokens"])
+    want = mixing.tempered(seen, 0.7)
+    met = shares(got, "source", lambda r: r["n_tokens"] * r["probability"])
+    assert len(met) == 600 and all(abs(met[x] - want[x]) < 1e-7 for x in want)
+    drawn = mixing.sample(rows).collect()
+    after = shares(drawn, "source", lambda r: 1)
+    assert abs(after["hot"] - want["hot"]) < 0.02 < seen["hot"] - want["hot"] and abs(len(drawn) / 9000 - 1) < 0.03
+    named = shares(mixing.mix(rows, source_targets={"s7": 0.5, "hot": 0.5}).collect(), "source", lambda r: r["n_tokens"] * r["probability"])
+    assert abs(named["s7"] - 0.5) < 1e-6 and named["s8"] == 0
+    apart = rows.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("source"), F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y").alias("lang"))
+    with pytest.warns(UserWarning, match="raking"):
+        mixing.mix(apart, source_targets={"a": 0.9, "b": 0.1}, lang_targets={"x": 0.1, "y": 0.9})
+
+
 def test_mixing_on_awkward_tables(spark):
     rows = mixing.mix(awkward(spark), source_targets={"a": 0.5, "b": 0.25, "(none)": 0.25}).collect()
     assert len(rows) == 13 and all(r["copies"] == 0 for r in rows if r["n_tokens"] == 0) and "(none)" in {r["source"] for r in rows}
     kept = mixing.sample(awkward(spark))
     assert kept.columns == awkward(spark).columns and {r["probability"] for r in kept.collect()} == {"x"}
     assert mixing.mix(awkward(spark, [])).count() == 0 and mixing.sample(awkward(spark, [])).count() == 0
-    assert mixing.mix(awkward(spark), most_sources=1).count() == 13
 
 
 def test_html(spark):

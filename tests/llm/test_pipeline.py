@@ -15,6 +15,7 @@ def test_run_covers_what_the_stages_keep(spark):
         kept = common.materialize(stage(spark, kept, DATA))
         after = {r["doc_id"]: r["text"] for r in kept.collect()}
         assert kept.columns == columns and after.items() <= before.items() and 0 < len(after)
+        assert name == "mixing" or kept.count() == len(after)
         if name == "near_duplicates":
             assert set(after) == set(brute_classes(before).values())
         if name == "decontamination":
@@ -22,7 +23,7 @@ def test_run_covers_what_the_stages_keep(spark):
             clean = {k for k, t in before.items() if not any(i in decontaminate.normalise(t) for i in items)}
             assert set(after) == clean
     final = corpus_pipeline.run(spark, DATA).collect()
-    assert sorted(r["doc_id"] for r in final) == sorted(after)
+    assert sorted(r["doc_id"] for r in final) == sorted(r["doc_id"] for r in kept.collect())
 
 
 def test_stages_take_awkward_tables(spark):
