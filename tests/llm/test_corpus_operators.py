@@ -103,6 +103,62 @@ def test_fingerprints(spark):
     assert sum(r["near_edited"] for r in rows.values()) > 5 * sum(r["near_next"] for r in rows.values())
 
 
+def xxhash(spark, values):
+    """xxhash64 of arrays of longs, or of strings, as built in."""
+    kind = "array<bigint>" if isinstance(values[0], list) else "string"
+    rows = spark.createDataFrame(list(enumerate(values)), f"i long, v {kind}")
+    got = {r["i"]: r["h"] for r in rows.select("i", F.xxhash64("v").alias("h")).collect()}
+    return [got[i] for i in range(len(values))]
+
+
+def test_fingerprints_by_brute_force(spark):
+    """Exact frequencies, the band, the bitmap, subsets and likeness again, in plain Python."""
+    import re
+
+    docs = common.table(spark, DATA, "documents").limit(60)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    words = {k: sorted({w for w in re.split(r"[\W_]+", t.lower()) if w}) for k, t in texts.items()}
+    known = sorted({w for ws in words.values() for w in ws})
+    hash_of = dict(zip(known, xxhash(spark, known), strict=True))
+    df = {}
+    for ws in words.values():
+        for w in ws:
+            df[w] = df.get(w, 0) + 1
+    got_df = {r["term"]: r["df"] for r in imatch.document_frequencies(docs).collect()}
+    assert got_df == {hash_of[w]: n for w, n in df.items()}
+    low, high = 0.0002, 0.2
+    band = {hash_of[w] for w, n in df.items() if max(2, low * 60) <= n <= max(2, high * 60)}
+    bits = imatch.lexicon(docs, low, high)[1]
+    places = {h & ((1 << bits) - 1) for h in band}
+    assert len(band) * imatch.BITS_PER_TERM <= 1 << bits
+    want, slices = {}, []
+    for k, ws in words.items():
+        every = sorted(hash_of[w] for w in ws)
+        kept = [h for h in every if h & ((1 << bits) - 1) in places] or every
+        want[k] = [[h for h in kept if h >> 44 & (4**level - 1) == 0 and (h >> 59) % 32 == r] for level in range(imatch.LEVELS) for r in range(imatch.SUBSETS)]
+        slices += want[k]
+    hashes = iter(xxhash(spark, slices))
+    flat = {k: ["---" if not s else f"{next_hash & 0xFFF:03x}" for s in want[k] for next_hash in [next(hashes)]] for k in words}
+    rows = {r["doc_id"]: r for r in imatch.edited_fingerprints(docs, low, high).collect()}
+    ids = sorted(texts)
+    for i, k in enumerate(ids):
+        assert rows[k]["fingerprint"] == "".join(flat[k])
+        a, c = flat[k], flat[ids[(i + 1) % len(ids)]]
+        level = next((v for v in range(4) if a[32 * v : 32 * v + 32].count("---") >= 8), 3)
+        pairs = [(x, y) for x, y in zip(a[32 * level : 32 * level + 32], c[32 * level : 32 * level + 32], strict=True) if (x, y) != ("---", "---")]
+        near = 1.0 if a == c else sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+        assert abs(rows[k]["near_next"] - near) < 1e-12
+
+
+def test_lexicon_of_many_terms(spark):
+    """Rare terms of a vocabulary of 1.2 million don't push the band's terms out."""
+    rare = spark.range(1200).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("r"), F.col("id") * 1000 + i)), " ").alias("rare"))
+    docs = rare.select(F.col("id").alias("doc_id"), F.concat("rare", F.lit(" all "), F.when(F.col("id") % 100 < 2, "band1 band2").otherwise("")).alias("text"))
+    banded = imatch.document_frequencies(docs).where("df BETWEEN 2 AND 36")
+    assert banded.count() == 2 and imatch.lexicon(docs, 0.0002, 0.03)[1] == 12
+
+
 def test_fingerprints_on_awkward_tables(spark):
     rows = imatch.edited_fingerprints(awkward(spark)).collect()
     assert len(rows) == 13 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)

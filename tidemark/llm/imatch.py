@@ -14,14 +14,18 @@ are not empty in both, at the first thinning at which the first document leaves
 subsets empty (its subsets then hold a few terms each, so long and short texts
 compare alike). Equal fingerprints have likeness 1.
 
-The document frequencies are counted in ``1 << BUCKET_BITS`` hash buckets, in one
-pre-aggregated exchange, and the band is a bitmap of that fixed size. So a text
-meets the lexicon where it lies: no (document, term) pair is ever shuffled, and what
-reaches the tasks has the same size for any corpus. Only built-in expressions run.
+Document frequencies are exact: one pre-aggregated exchange of (term hash, count). Only
+the terms in the band are kept, as a bitmap of ``BITS_PER_TERM`` bits a term, sized from
+their number. A term of the band is in at least the share ``low`` of all texts, so there
+are at most 1 / ``low`` times as many as a text has distinct terms on average, however
+large the corpus. So a text meets the lexicon where it lies: no (document, term) pair is
+joined. A term outside the band passes for one inside with probability 1 in
+``BITS_PER_TERM``, the same in every text. Only built-in expressions run.
 
 A text with no term in the band is fingerprinted by all of its terms; null and empty
-texts, and texts without terms, share the fingerprint of no terms. An empty table
-gives no rows; extra columns are not carried.
+texts, and texts without terms, share the fingerprint of no terms. Repeated rows are
+fingerprinted alike, very long texts whole. An empty table gives no rows; extra columns
+are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import global_rank, text_or_empty
+from tidemark.llm.common import discard, global_rank, materialize, text_or_empty
 
-BUCKET_BITS = 20
+BITS_PER_TERM = 32
 SUBSETS, LEVELS = 32, 4
 ABSENT = "---"
-#: Seed of xxhash64, which is also its value for an empty array.
-NO_TERMS = 42
+#: The part of an empty subset, and xxhash64 of an empty array (its seed).
+NO_PART, NO_TERMS = -1, 42
 
 
 def terms(text: Column) -> Column:
@@ -46,72 +50,86 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
 
 
-def bucket(term: Column) -> Column:
-    return term.bitwiseAND((1 << BUCKET_BITS) - 1)
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def lexicon(docs: DataFrame, low: float, high: float) -> Column:
-    """A bitmap of the buckets whose document frequency is in the band, as a constant.
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df) of every term of the corpus."""
+    return docs.select(F.explode(terms(text_or_empty("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def lexicon(docs: DataFrame, low: float, high: float) -> tuple[Column, int]:
+    """The bitmap of the terms whose document frequency is in the band, as a constant, and its bits.
 
     In the band: in at least two documents, in at least ``low`` and at most ``high`` of all.
     """
-    spark = docs.sparkSession
-    text = text_or_empty("text")
-    found = docs.select(F.explode(F.array_distinct(F.transform(terms(text), bucket))).alias("bucket"))
     n = docs.count()
-    counts = found.groupBy("bucket").agg(F.count("*").alias("df"))
-    banded = counts.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
-    words = banded.groupBy(F.shiftright("bucket", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket & 63 AS int))")).alias("bits"))
-    # A row for each of at most 2^14 words of the bitmap.
-    bitmap = [0] * (1 << BUCKET_BITS - 6)
+    banded = materialize(document_frequencies(docs).where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term"))
+    bits = max(12, (banded.count() * BITS_PER_TERM - 1).bit_length())
+    place = F.col("term").bitwiseAND((1 << bits) - 1)
+    words = banded.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
+    # One row for each word of the bitmap, whose size is bounded by the band.
+    bitmap = [0] * (1 << bits - 6)
     for r in words.collect():
         bitmap[r["word"]] = r["bits"]
-    return F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
+    discard(banded)
+    return F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>"), bits
 
 
-def banded_terms(text: Column, bitmap: Column) -> Column:
+def banded_terms(text: Column, bitmap: tuple[Column, int]) -> Column:
     """The sorted terms of a text that are in the lexicon; all of them if none is."""
-    every = terms(text)
+    words, bits = bitmap
 
     def inside(t: Column) -> Column:
-        word = F.get(bitmap, F.shiftright(bucket(t), 6).cast("int"))
-        return F.call_function("shiftright", word, t.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        place = t.bitwiseAND((1 << bits) - 1)
+        word = F.get(words, F.shiftright(place, 6).cast("int"))
+        return F.call_function("shiftright", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    def kept(every: Column) -> Column:
+        return bind(F.filter(every, inside), lambda some: F.sort_array(F.when(F.size(some) > 0, some).otherwise(every)))
 
-    # A one-element array binds the list, so that it is made once.
-    kept = F.transform(F.array(every), lambda a: F.array(F.filter(a, inside), a))
-    return F.element_at(F.transform(kept, lambda p: F.sort_array(F.when(F.size(p[0]) > 0, p[0]).otherwise(p[1]))), 1)
+    return bind(terms(text), kept)
 
 
-def parts(text: Column, bitmap: Column) -> Column:
-    """The hashes of all subsets, level after level."""
+def parts(text: Column, bitmap: tuple[Column, int]) -> Column:
+    """The hashes of all subsets, level after level, of 12 bits each; ``NO_PART`` where a subset has no term.
 
-    def at_level(all_terms: Column, level: int) -> Column:
+    A term's subset is named by its five highest bits, so in the sorted terms each subset is one slice.
+    """
+
+    def at_level(every: Column, level: int) -> Column:
         mask = 4**level - 1
-        kept = F.filter(all_terms, lambda t: F.shiftright(t, 44).bitwiseAND(mask) == 0) if mask else all_terms
-        return F.element_at(
-            F.transform(
-                F.array(kept),
-                lambda k: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: F.xxhash64(F.filter(k, lambda t: F.shiftright(t, 32).bitwiseAND(SUBSETS - 1) == r))),
-            ),
-            1,
-        )
+        kept = F.filter(every, lambda t: F.shiftright(t, 44).bitwiseAND(mask) == 0) if mask else every
+
+        def hashes(k: Column) -> Column:
+            def of_subset(of: Column, r: Column) -> Column:
+                first, behind = F.array_position(of, r), F.array_position(F.reverse(of), r)
+                return F.when(first == 0, NO_TERMS).otherwise(F.xxhash64(F.slice(k, first.cast("int"), (F.size(k) - behind - first + 2).cast("int"))))
 
-    hashes = F.transform(F.array(banded_terms(text, bitmap)), lambda a: F.concat(*[at_level(a, level) for level in range(LEVELS)]))
-    return F.transform(F.element_at(hashes, 1), lambda h: F.when(h == NO_TERMS, ABSENT).otherwise(F.lpad(F.lower(F.hex(h.bitwiseAND(0xFFF))), 3, "0")))
+            subsets = F.transform(k, lambda t: F.shiftrightunsigned(t, 59))
+            return bind(subsets, lambda of: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), lambda r: of_subset(of, r)))
+
+        return bind(kept, hashes)
+
+    whole = bind(banded_terms(text, bitmap), lambda every: F.concat(*[at_level(every, level) for level in range(LEVELS)]))
+    return F.transform(whole, lambda h: F.when(h == NO_TERMS, NO_PART).otherwise(h.bitwiseAND(0xFFF)).cast("short"))
 
 
 def fingerprint(hashes: Column) -> Column:
-    return F.array_join(hashes, "")
+    """The parts as text, three hexadecimal digits each."""
+    return F.array_join(F.transform(hashes, lambda h: F.when(h == NO_PART, ABSENT).otherwise(F.lpad(F.lower(F.hex(h)), 3, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal subset hashes, 0 to 1."""
     levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.slice(a, i * SUBSETS + 1, F.lit(SUBSETS)))
-    fits = F.transform(levels, lambda p: F.size(F.filter(p, lambda x: x == ABSENT)) >= SUBSETS // 4)
+    fits = F.transform(levels, lambda p: F.size(F.filter(p, lambda x: x == NO_PART)) >= SUBSETS // 4)
     level = F.coalesce(F.nullif(F.array_position(fits, True), F.lit(0)), F.lit(LEVELS)) - 1
     x, y = (F.slice(c, (level * SUBSETS + 1).cast("int"), F.lit(SUBSETS)) for c in (a, b))
-    seen = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != ABSENT) | (q != ABSENT)), lambda s: s))
-    equal = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != ABSENT) & (p == q)), lambda s: s))
+    seen = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != NO_PART) | (q != NO_PART)), lambda s: s))
+    equal = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != NO_PART) & (p == q)), lambda s: s))
     return F.when(a == b, 1.0).otherwise(F.when(seen > 0, equal / seen).otherwise(0.0))
 
 
@@ -127,10 +145,11 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
 
     Edited: the last quarter (rounded down, in characters) gives way to the beginning
     of the next document's text in ascending doc_id, the first's after the last. Texts
-    move once, by doc_id (both joins share that exchange); the next document's
-    beginning and fingerprint move to the document they are wanted for. Rows that
-    share a doc_id have the same next document, the least text if that id repeats;
-    rows without an id have none: their edited text is their own, ``near_next`` 0.
+    move once, by doc_id (both joins share that exchange). The parts of each text are
+    made once and move, without the text, to the document itself and, with the text's
+    beginning, to the document before it. Rows that share a doc_id have the same next
+    document, the least beginning if that id repeats; rows without an id have none: their
+    edited text is their own, ``near_next`` 0.
     """
     bitmap = lexicon(docs, low, high)
     # The same plan on both sides of the two joins, filter included, so that Spark reuses its exchange.
@@ -140,20 +159,24 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
     n = ranked.count()
     after = ranked.select(F.col("doc_id").alias("cur"), F.floor(F.col("n") / 4).cast("int").alias("need"), F.pmod(F.col("rank") + 1, F.lit(max(n, 1))).alias("rank"))
     wanted = after.join(ranked.select("rank", "doc_id"), "rank").select("doc_id", "cur", "need")
-    given = (
-        texts.join(wanted, "doc_id")
-        .select("cur", F.struct(F.left("text", F.col("need")).alias("head"), parts(F.col("text"), bitmap).alias("parts")).alias("next"))
-        .groupBy("cur")
-        .agg(F.min("next").alias("next"))
-        .withColumnRenamed("cur", "doc_id")
+
+    made = texts.join(wanted, "doc_id").select("doc_id", "cur", F.left("text", F.col("need")).alias("head"), F.xxhash64("text").alias("hash"), parts(F.col("text"), bitmap).alias("parts"))
+    no_next = F.lit(None).cast("struct<head:string,parts:array<smallint>>")
+    no_own = F.lit(None).cast("struct<hash:bigint,parts:array<smallint>>")
+    to_both = F.array(
+        F.struct(F.col("cur").alias("to"), F.struct("head", "parts").alias("next"), no_own.alias("own")),
+        F.struct(F.col("doc_id").alias("to"), no_next.alias("next"), F.struct("hash", "parts").alias("own")),
     )
+    given = made.select(F.explode(to_both).alias("r")).groupBy(F.col("r.to").alias("doc_id")).agg(F.min("r.next").alias("next"), F.max("r.own").alias("own"))
+
     size = F.length("text")
     need = F.floor(size / 4).cast("int")
     edited = F.concat(F.left("text", size - need), F.left("next.head", need))
-    with_next = texts.join(given, "doc_id").select("doc_id", "text", edited.alias("edited"), F.col("next.parts").alias("c"))
-    alone = docs.where("doc_id IS NULL").select("doc_id", text_or_empty("text").alias("text"), text_or_empty("text").alias("edited"), F.lit(None).cast("array<string>").alias("c"))
-    both = with_next.union(alone)
-    both = both.select("doc_id", size.cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), parts(F.col("text"), bitmap).alias("a"), parts(F.col("edited"), bitmap).alias("b"), "c")
+    # Only rows that share an id with another text have no parts of their own yet.
+    own = F.when(F.col("own.hash") == F.xxhash64("text"), F.col("own.parts")).otherwise(parts(F.col("text"), bitmap))
+    with_next = texts.join(given, "doc_id").select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), own.alias("a"), F.col("next.parts").alias("c"))
+    alone = docs.where("doc_id IS NULL").select("doc_id", size_of(text_or_empty("text")), text_or_empty("text").alias("edited"), parts(text_or_empty("text"), bitmap).alias("a"), F.lit(None).cast("array<smallint>").alias("c"))
+    both = with_next.union(alone).select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "a", parts(F.col("edited"), bitmap).alias("b"), "c")
     return both.select(
         "doc_id",
         "n_chars",
@@ -163,3 +186,7 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
         F.coalesce(likeness(F.col("a"), F.col("c")), F.lit(0.0)).alias("near_next"),
     )
+
+
+def size_of(text: Column) -> Column:
+    return F.length(text).cast("long").alias("n_chars")
