@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+#: Tables written so far and not yet deleted, in order.
+_WRITTEN: list[DataFrame] = []
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -41,10 +46,31 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
+    out.written_to, out.table_name = path, None
+    _WRITTEN.append(out)
+    return out
+
+
+def bucketed(df: DataFrame, key: str, n_bytes: int, bucket_bytes: int = 64 << 20, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` once, dealt into buckets by a hash of ``key``, as a table in the shared folder.
+
+    Joins by ``key`` then read it where it lies: only the other, slim side is exchanged,
+    however large it is. ``n_bytes``: the size of the rows, about.
+    """
+    spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"tidemark_{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes))
+    df.repartition(n, key).write.format("parquet").option("compression", codec).option("path", path).bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    out.written_to, out.table_name = path, name
+    _WRITTEN.append(out)
     return out
 
 
+def by_bucket(big: DataFrame, slim: DataFrame, key: str, how: str) -> DataFrame:
+    """A join of a bucketed table with a slim one: the slim side goes to the buckets and is hashed there, bucket by bucket."""
+    return big.join(slim.hint("shuffle_hash"), key, how)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared folder."""
     context = spark.sparkContext
@@ -53,18 +79,29 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and that nothing reads any more.
+    """Delete tables that ``materialize`` or ``bucketed`` wrote and that nothing reads any more.
 
     The driver's garbage is collected as well, upon which Spark's cleaner drops the
     shuffle files of the steps that are over.
     """
     for df in tables:
+        if df.table_name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
         delete_folder(df.sparkSession, df.written_to)
+        _WRITTEN[:] = [held for held in _WRITTEN if held.written_to != df.written_to]
     gc.collect()
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``make``, and nothing else of what it wrote on the way."""
+    before = {df.written_to for df in _WRITTEN}
+    out = materialize(make())
+    discard(*[df for df in _WRITTEN if df.written_to not in before and df is not out])
+    return out
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     """The text, a null read as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

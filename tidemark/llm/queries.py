@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_extract, imatch, mixing, near_dups, quality, repeated_spans, sharding, token_counts, warc
-from tidemark.llm.common import table, text_or_empty
+from tidemark.llm.common import finished, table, text_or_empty
 
 
 def held_out() -> Column:
@@ -30,19 +30,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return finished(lambda: imatch.edited_fingerprints(table(spark, sf_dir, "documents")))
 
 
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return finished(lambda: sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return finished(lambda: near_dups.near_duplicates(table(spark, sf_dir, "documents")))
 
 
 def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    return finished(lambda: repeated_spans.remove_repeats(table(spark, sf_dir, "documents")).drop("spans"))
 
 
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return finished(lambda: mixing.mix(table(spark, sf_dir, "documents")))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

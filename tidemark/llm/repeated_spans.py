@@ -25,8 +25,13 @@ contents that occur more than once:
 4. Windows. The windows left (at the ends of repeated passages) are grouped by a hash
    of all their bytes; all but the earliest of each group are repeats.
 
-Strings are compared by 96 bits: a 64-bit polynomial hash of all their bytes and a
-32-bit mix of bytes from three places and the length.
+Texts are exchanged once, into buckets by id; what a step finds out about them is a slim
+table that goes to these buckets, so every step has one plan for any size.
+
+"The same string" means equal 96 bits: a 64-bit polynomial hash of all their bytes and a
+32-bit mix of bytes from three places and the length. Bytes are not compared again: two
+different strings of a corpus of 10^13 windows agree in all of them with a probability of
+about 10^-3.
 
 Nulls are empty. Texts shorter than WINDOW keep all bytes. Rows that repeat both id and
 text are one document, each with its result; texts that share an id are different
@@ -44,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, global_rank, materialize, text_or_empty
+from tidemark.llm.common import bucketed, by_bucket, discard, global_rank, materialize, text_or_empty
 from tidemark.llm.dart_minhash import BASE, GOLD, GROUP, INVERSE, MIX_A, MIX_B, mix, powers
 
 U = np.uint64
@@ -53,8 +58,6 @@ WINDOW, UNIT, GRAM, BLOCK = 100, 128, 24, 16
 CORE = WINDOW - BLOCK + 1
 #: k-gram positions in a window.
 SPAN = WINDOW - GRAM + 1
-#: Ids up to this many are broadcast to tell apart the documents that a table speaks of.
-BROADCAST_IDS = 4_000_000
 NO_ID = -(1 << 63)
 
 
@@ -277,47 +280,32 @@ def joined_runs(runs: DataFrame, name: str) -> DataFrame:
     return materialize(runs.mapInArrow(join, f"doc_id long, {name} array<int>"))
 
 
-def attach(docs: DataFrame, slim: DataFrame, only: bool = False) -> DataFrame:
-    """``docs`` with the columns of ``slim`` (null where it has none; ``only``: without those rows).
-
-    Texts that ``slim`` says nothing of need no exchange. They are told apart by its
-    ids if these are few enough to broadcast; otherwise all texts are joined.
-    """
-    ids = slim.select("doc_id")
-    if ids.count() > BROADCAST_IDS:
-        return docs.join(slim, "doc_id", "inner" if only else "left")
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").join(slim, "doc_id")
-    if only:
-        return some
-    rest = docs.join(F.broadcast(ids), "doc_id", "left_anti")
-    for c, kind in slim.dtypes:
-        if c != "doc_id":
-            rest = rest.withColumn(c, F.lit(None).cast(kind))
-    return some.unionByName(rest)
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed ``spans`` of every document."""
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.encode(text_or_empty("text"), "UTF-8").alias("text"))
-    named = texts.select("doc_id", F.xxhash64("text").alias("_text"))
+    named = materialize(texts.select("doc_id", F.xxhash64("text").alias("_text"), F.octet_length("text").cast("long").alias("_size")))
+    n_bytes = named.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    named = named.select("doc_id", "_text")
     shared = named.groupBy("doc_id").agg(F.min("_text").alias("a"), F.max("_text").alias("z")).where("a < z")
     if shared.isEmpty():
-        out = of_distinct_ids(texts)
+        out = of_distinct_ids(texts, n_bytes)
     else:
         ranks = materialize(global_rank(named.distinct(), "doc_id", "_text"))
         numbered = texts.withColumn("_text", F.xxhash64("text")).join(ranks, ["doc_id", "_text"]).select(F.col("rank").alias("doc_id"), "text")
-        out = of_distinct_ids(numbered).withColumnRenamed("doc_id", "rank").join(ranks.select("rank", "doc_id"), "rank").drop("rank")
+        out = of_distinct_ids(numbered, n_bytes).withColumnRenamed("doc_id", "rank").join(ranks.select("rank", "doc_id"), "rank").drop("rank")
         out = out.select("doc_id", *[c for c in out.columns if c != "doc_id"])
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def of_distinct_ids(texts: DataFrame) -> DataFrame:
+def of_distinct_ids(texts: DataFrame, n_bytes: int) -> DataFrame:
     """``remove_repeats`` of rows whose id names one text."""
+    texts = bucketed(texts, "doc_id", n_bytes)
     unit_rows = materialize(texts.mapInArrow(emit_units, "h long, c int, doc_id long, at int, size int"))
     units = joined_runs(later_ones(unit_rows), "units")
     discard(unit_rows)
 
-    anchor_rows = materialize(attach(texts, units).mapInArrow(emit_anchors, "h long, doc_id long, at int"))
+    with_units = by_bucket(texts, units, "doc_id", "left").select("doc_id", "text", "units")
+    anchor_rows = materialize(with_units.mapInArrow(emit_anchors, "h long, doc_id long, at int"))
     repeated = anchor_rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     repeated = materialize(repeated)
     anchors = materialize(anchor_rows.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("at").alias("anchors")))
@@ -325,7 +313,7 @@ def of_distinct_ids(texts: DataFrame) -> DataFrame:
 
     known = materialize(anchors.join(units, "doc_id", "left").select("doc_id", "units", "anchors"))
     discard(anchors)
-    some = attach(texts, known, only=True).select("doc_id", "text", "units", "anchors")
+    some = by_bucket(texts, known, "doc_id", "inner").select("doc_id", "text", "units", "anchors")
     block_rows = materialize(some.mapInArrow(emit_blocks, "k long, kc int, h long, c int, doc_id long, at int, size int"))
     blocks = joined_runs(later_ones(block_rows), "blocks")
     strings = materialize(block_rows.groupBy("k", "kc", "h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("size").alias("size")))
@@ -333,11 +321,11 @@ def of_distinct_ids(texts: DataFrame) -> DataFrame:
     look = joined_runs(listed(strings.join(shared, ["k", "kc"]).select("first.doc_id", "first.at", "size")), "look")
     discard(block_rows, strings, shared)
 
-    some = attach(texts, known.join(look, "doc_id"), only=True).select("doc_id", "text", "units", "anchors", "look")
+    some = by_bucket(texts, known.join(look, "doc_id"), "doc_id", "inner").select("doc_id", "text", "units", "anchors", "look")
     window_rows = materialize(some.mapInArrow(emit_windows, "h long, c int, doc_id long, at int, size int"))
     windows = joined_runs(later_ones(window_rows), "windows")
     discard(window_rows, known, look)
 
     every = materialize(units.join(blocks, "doc_id", "full_outer").join(windows, "doc_id", "full_outer").select("doc_id", "units", "blocks", "windows"))
     discard(units, blocks, windows)
-    return attach(texts, every).select("doc_id", "text", "units", "blocks", "windows").mapInArrow(emit_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return by_bucket(texts, every, "doc_id", "left").select("doc_id", "text", "units", "blocks", "windows").mapInArrow(emit_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
