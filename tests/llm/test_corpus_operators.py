@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -26,9 +27,13 @@ def awkward(spark, rows=None):
     return spark.createDataFrame([(*r, 0, "x", "x", "x", "x", "x", "x") for r in rows], SCHEMA)
 
 
-def shingle_set(text, k=5):
+def shingle_counts(text, k=5):
     w = (text or "").lower().split()
-    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter()
+
+
+def weighted_jaccard(a, b):
+    return (a & b).total() / (a | b).total() if a and b else 0.0
 
 
 def test_quality_scores(spark):
@@ -240,7 +245,7 @@ def test_groups_at_the_edge_of_together(spark):
 
 def brute_classes(texts):
     ids = sorted(texts)
-    sets, parent = {k: shingle_set(texts[k]) for k in ids}, {k: k for k in ids}
+    sets, parent = {k: shingle_counts(texts[k]) for k in ids}, {k: k for k in ids}
 
     def find(k):
         while parent[k] != k:
@@ -249,7 +254,7 @@ def brute_classes(texts):
 
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            near = texts[a] == texts[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+            near = texts[a] == texts[b] or weighted_jaccard(sets[a], sets[b]) >= 0.8
             if near and find(a) != find(b):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
     return {k: find(k) for k in ids}
@@ -269,6 +274,43 @@ def test_near_duplicates(spark):
     assert got == brute_classes(texts)
 
 
+def test_weighted_similarity_decides(spark):
+    """Texts of the same shingles in other numbers are no near-duplicates; a coordinate agrees as often as the weights say."""
+    import numpy as np
+
+    from tidemark.llm import dart_minhash as dart
+
+    line, other = "one line of nine words that comes again here", "a second line that is there to be repeated"
+    texts = {1: " ".join([line] * 30 + [other] * 5), 2: " ".join([line] * 5 + [other] * 30), 3: " ".join([line] * 30 + [other] * 6), 4: f"{line}\u2003{other}", 5: f"{line} {other}"}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
+    assert got == brute_classes(texts) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+    hashes, owner, counts = dart.shingles([texts[1], texts[2]], 5)
+    for scale in (1.0, 0.37):
+        ident, _ = dart.signatures(hashes, owner, counts * scale, 2, 4000)
+        a, b = shingle_counts(texts[1]), shingle_counts(texts[2])
+        assert abs((ident[0] == ident[1]).mean() - weighted_jaccard(a, b)) < 0.04, np.mean(ident[0] == ident[1])
+
+
+def test_recall_of_near_copies(spark):
+    """Pairs of similarity 0.8 to 0.95 in one corpus: the share that ends in one class, against brute force."""
+    rng = random.Random(8)
+    texts, linked = {}, []
+    for i in range(400):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        edited = list(words)
+        for p in rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.002, 0.03)))):
+            edited[p] = "edited"
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(edited)
+        if 0.8 <= weighted_jaccard(shingle_counts(texts[2 * i]), shingle_counts(texts[2 * i + 1])) < 0.95:
+            linked.append(i)
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
+    recall = sum(got[2 * i] == got[2 * i + 1] for i in linked) / len(linked)
+    print(f"recall of {len(linked)} near copies: {recall:.4f}")
+    assert len(linked) > 100 and recall >= 0.98
+
+
 def test_near_duplicates_on_awkward_tables(spark):
     rows = near_dups.near_duplicates(awkward(spark)).collect()
     found = {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None}

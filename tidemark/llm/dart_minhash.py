@@ -1,5 +1,7 @@
 """Signatures of weighted sets by DartMinHash, over word shingles of whole texts.
 
+A text is the set of its shingles, each with the number of times it occurs as its weight.
+
 Every element owns a plane of weight and rank. Darts fall on it as a Poisson process
 that depends on the element's hash alone: within each unit of weight their ranks are
 sums of hashed exponential gaps. A dart counts if it falls below the element's
@@ -14,9 +16,13 @@ All steps work on arrays that hold many texts at once.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 U = np.uint64
+#: White space beyond ASCII.
+OTHER_SPACE = re.compile(r"[^\S\t-\r ]")
 GOLD, MIX_A, MIX_B = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Odd base of the polynomial hash of a word, and its inverse modulo 2^64.
 BASE = 0x5851F42D4C957F2D
@@ -51,8 +57,8 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every word, in order; words are split at ASCII white space."""
-    encoded = [t.lower().encode("utf-8", "replace") for t in texts]
+    """(hash, text number) of every word, in order; words are split at white space."""
+    encoded = [OTHER_SPACE.sub(" ", t.lower()).encode("utf-8", "replace") for t in texts]
     data = b"\n".join(encoded)
     starts_at = np.cumsum([0, *(len(e) + 1 for e in encoded[:-1])])
     codes = np.frombuffer(data, dtype=np.uint8)
@@ -113,9 +119,8 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray | None
         cell, element = mix(hashes + GOLD), np.arange(len(hashes))
     else:
         cells = np.ceil(weights).astype(np.int64)
-        element = np.repeat(np.arange(len(hashes)), cells)
+        cell, element = occurrences(hashes, np.arange(len(hashes)), cells)
         place = np.arange(len(element)) - np.repeat(np.cumsum(cells) - cells, cells)
-        cell = mix(hashes[element] + GOLD * (place + 1).astype(U))
         ceiling = np.minimum(1.0, weights[element] - place)
         mass = np.bincount(owner, weights=weights, minlength=n_sets)
     cell_owner = owner[element]
@@ -151,6 +156,13 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray | None
     return ident.reshape(n_sets, k), mass > 0
 
 
+def occurrences(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every occurrence of a shingle; the Jaccard similarity of these sets is the weighted one."""
+    element = np.repeat(np.arange(len(hashes)), counts)
+    place = np.arange(len(element)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(hashes[element] + GOLD * (place + 1).astype(U)), owner[element]
+
+
 def groups(texts: list[str]):
     """Slices of texts of about ``GROUP`` bytes each."""
     at = 0

@@ -1,15 +1,16 @@
 """Near-duplicate documents: DartMinHash signatures, banded joining, components.
 
-1. Every text is one row of a signature table: a digest, ``bands`` band keys and a
-   16-bit sketch of its ``bands * rows`` coordinates. No text is shuffled.
+1. Texts are exchanged once, into buckets by id. Every text is one row of a signature
+   table: a digest, ``bands`` band keys and a 16-bit sketch of its ``bands * rows``
+   coordinates.
 2. Exact copies are grouped by digest; each group is stood for by its least id.
 3. A bucket is a band key that several distinct texts share. Each member is paired
    with two members that stand for the bucket: the one least by a hash that all
    buckets share and the one least by a hash of the bucket's own. Most buckets are
    one component after these at most 2 n pairs of n members.
 4. The sketches decide the clear pairs: at ``sure`` or more equal coordinates they
-   link, below ``doubt`` they don't. Pairs between are verified on the whole texts'
-   exact shingle sets, first each document's best pair, then every pair that still
+   link, below ``doubt`` they don't. Pairs between are verified on the shingles of the
+   whole texts (64-bit hashes with their counts), first each document's best pair, then every pair that still
    joins different components; a pair inside a component needs no proof.
 5. In buckets whose members are still in different components every pair across
    components is compared: the members are dealt to blocks of about ``BLOCK`` by
@@ -17,8 +18,8 @@
    holds a bucket. The pairs found are decided as in 4.
 6. Components of the links are the classes; a class is named by its least doc_id.
 
-Similarity is the Jaccard similarity of the sets of five-word shingles (lower case,
-split at white space); 0.8 or more links. Texts of fewer than five words have one
+Similarity is the weighted Jaccard similarity of five-word shingles (lower case, split at
+white space), weighted by how often a text has them; 0.8 or more links. Texts of fewer than five words have one
 shingle. Null and empty texts are copies of one another; texts without words
 otherwise match only equal texts. Rows that share a ``doc_id`` are one document. Rows
 without ``doc_id`` belong to no class: ``class_id`` null, kept. Extra columns are not
@@ -35,24 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import dart_minhash as dart
-from tidemark.llm.common import materialize, text_or_empty
+from tidemark.llm.common import bucketed, by_bucket, materialize, text_or_empty
 from tidemark.llm.components import components
 
-#: Ids up to this many are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 4_000_000
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 256
 
 
-def signature_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, digest, keys, sketch) of every row with an id."""
+def signature_table(texts_by_id: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, digest, keys, sketch) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, z in dart.groups(texts):
-                hashes, owner, _ = dart.shingles(texts[a:z], shingle)
-                ident, any_word = dart.signatures(hashes, owner, None, z - a, bands * rows)
+                hashes, owner, counts = dart.shingles(texts[a:z], shingle)
+                ident, any_word = dart.signatures(hashes, owner, counts.astype(float), z - a, bands * rows)
                 keys = dart.bands_of(ident, bands, rows).view(np.int64)
                 n_keys = np.where(any_word, bands, 0)
                 sketch = (ident >> np.uint64(48)).astype(np.uint16).view(np.int16)
@@ -68,10 +67,16 @@ def signature_table(docs: DataFrame, shingle: int, bands: int, rows: int) -> Dat
                 )
 
     text = text_or_empty("text")
-    slim = docs.where("doc_id IS NOT NULL").select("doc_id", F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"), text.alias("text"))
+    slim = texts_by_id.select("doc_id", F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"), text.alias("text"))
     return materialize(slim.mapInArrow(sign, "doc_id long, digest binary, keys array<long>, sketch array<short>"))
 
 
+def by_id(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have an id, in buckets by it."""
+    named = docs.where("doc_id IS NOT NULL")
+    return bucketed(named, "doc_id", named.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+
+
 def candidate_pairs(signed: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of distinct texts that stand in one bucket."""
     members = signed.select("doc_id", F.explode("keys").alias("key"))
@@ -89,21 +94,19 @@ def agreement(a, b):
     return equal / F.greatest(F.size(a), F.lit(1))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose exact shingle sets are similar enough."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose shingles, each as often as it occurs, are similar enough; ``texts`` is bucketed by id."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, z in dart.groups(texts):
-                hashes, owner, _ = dart.shingles(texts[a:z], shingle)
+            held = batch.column(1).to_pylist()
+            for a, z in dart.groups(held):
+                hashes, owner = dart.occurrences(*dart.shingles(held[a:z], shingle))
                 n = np.bincount(owner, minlength=z - a) if len(owner) else np.zeros(z - a, dtype=np.int64)
-                values = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(values))], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(hashes.view(np.int64)))], ["doc_id", "grams"])
 
-    grams = materialize(docs.select("doc_id", text_or_empty("text").alias("text")).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, grams array<int>"))
+    grams = materialize(by_bucket(texts, ids, "doc_id", "left_semi").select("doc_id", text_or_empty("text").alias("text")).mapInArrow(sets, "doc_id long, grams array<long>"))
     both = pairs.select("a", "b").join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b").distinct()
@@ -157,7 +160,7 @@ def pairs_across(distinct: DataFrame, labels: DataFrame, doubt: float) -> DataFr
     return met.mapInArrow(compare, "a long, b long, agree double").distinct()
 
 
-def joined(judged: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, similarity: float, sure: float) -> tuple[DataFrame, DataFrame]:
+def joined(judged: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, similarity: float, sure: float) -> tuple[DataFrame, DataFrame]:
     """(links, labels) after the judged pairs that join components are decided."""
     links = materialize(links.union(judged.where(F.col("agree") >= sure).select("a", "b")))
     labels = components(links)
@@ -165,18 +168,25 @@ def joined(judged: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, s
     ends = open_pairs.select(F.col("a").alias("node"), "agree", "a", "b").union(open_pairs.select(F.col("b").alias("node"), "agree", "a", "b"))
     best = ends.groupBy("node").agg(F.max(F.struct("agree", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("p")).select((-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b")).distinct()
     best = materialize(best)
-    links = materialize(links.union(verified(best, docs, shingle, similarity)))
+    links = materialize(links.union(verified(best, texts, shingle, similarity)))
     labels = components(links)
     rest = materialize(apart(open_pairs, labels).select("a", "b").join(best, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = materialize(links.union(verified(rest, docs, shingle, similarity)))
+        links = materialize(links.union(verified(rest, texts, shingle, similarity)))
         labels = components(links)
     return links, labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, sure: float = 0.93, doubt: float = 0.65) -> DataFrame:
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """(doc_id, copy_of, class_id, is_kept) of every row: the exact copy it stands for, its class, whether it is the one that stays."""
-    signed = signature_table(docs, shingle, bands, rows)
+    classed = classes(by_id(docs.select("doc_id", "text")), **parameters)
+    unnamed = docs.where("doc_id IS NULL").select(*[F.lit(None).cast("long").alias(c) for c in classed.columns])
+    return classed.union(unnamed).withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def classes(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, sure: float = 0.93, doubt: float = 0.65) -> DataFrame:
+    """(doc_id, copy_of, class_id) of every id of a table in buckets by id."""
+    signed = signature_table(texts, shingle, bands, rows)
     # Written, so that both sides of the join are plain exchanges and Spark can split the rows of one digest.
     firsts = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of")))
     members = materialize(signed.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "copy_of").distinct())
@@ -189,24 +199,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     judged = pairs.join(x, "a").join(y, "b").select("a", "b", agreement(F.col("x"), F.col("y")).alias("agree")).where(F.col("agree") >= doubt)
     judged = materialize(judged)
 
-    links, labels = joined(judged, judged.select("a", "b").limit(0), docs, shingle, similarity, sure)
+    links, labels = joined(judged, judged.select("a", "b").limit(0), texts, shingle, similarity, sure)
     across = materialize(pairs_across(distinct, labels, doubt))
     if not across.isEmpty():
-        _, labels = joined(across, links, docs, shingle, similarity, sure)
-    classed = members.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
-    unnamed = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"))
-    return classed.union(unnamed).withColumn("is_kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+        _, labels = joined(across, links, texts, shingle, similarity, sure)
+    return members.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """One document of each class, with its own columns.
-
-    Texts are exchanged only if the ids that go, or that repeat, are too many to broadcast.
-    """
-    gone = materialize(near_duplicates(docs, **parameters).where(~F.col("is_kept")).select("doc_id").distinct())
-    twice = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return left
-    ids = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
-    return left.join(ids, "doc_id", "left_anti").unionByName(left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """One document of each class, with its own columns, and all rows without id. Rows are exchanged once, into buckets by id."""
+    held = by_id(docs)
+    gone = classes(held.select("doc_id", "text"), **parameters).where("doc_id <> class_id").select("doc_id").distinct()
+    left = by_bucket(held, materialize(gone), "doc_id", "left_anti")
+    twice = materialize(held.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not twice.isEmpty():
+        left = by_bucket(left, twice, "doc_id", "left_anti").unionByName(by_bucket(left, twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
