@@ -379,6 +379,8 @@ def test_decontamination_with_edits(spark):
     for size in (1 << 20, 10):
         got = {r["doc_id"]: r["item_ids"] for r in decontaminate.find_contamination(docs, benchmark, block_chars=size).collect()}
         assert got == {1: [1], 2: [1], 3: [], 4: [], 5: [1], 6: [], 7: [], 8: [2]}
+    clashing = docs.withColumn("item_ids", F.lit("x")).withColumn("contaminated", F.lit("x"))
+    assert decontaminate.find_contamination(clashing, benchmark).where("contaminated").count() == 4
     assert decontaminate.find_contamination(awkward(spark), benchmark.limit(0)).where("contaminated").count() == 0
 
 

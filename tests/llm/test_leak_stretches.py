@@ -43,3 +43,17 @@ def test_half_an_item_off_the_grid():
         half, short = item[at : at + n // 2 + 1], item[at : at + 2 * n // 5]
         matcher = decontaminate.Matcher([(1, item)], 0.06, 0.5, 50)
         assert matcher.search(["z" * 77 + half + "y" * 60, "z" * 77 + short + "y" * 60, half]) == [[1], [], [1]]
+
+
+def test_template_lines_and_small_limits(monkeypatch):
+    """However few pairs are counted at once, the same items are found."""
+    rng = random.Random(6)
+    template = "this line of the template is in every item of the benchmark "
+    items = [(i, template + " ".join(str(rng.randrange(10**6)) for _ in range(20))) for i in range(60)]
+    repeated = (60, "ab" * 100)
+    texts = [template * 40, items[7][1] + " and " + items[8][1], "ab" * 300, "no words of these", template + "ab" * 20]
+    want = decontaminate.Matcher([*items, repeated], 0.06, 0.5, 50).search(texts)
+    assert want[1] == [7, 8] and want[2] == [60] and want[3] == []
+    for limit in (10, 500, 20_000):
+        monkeypatch.setattr(decontaminate, "LIMIT", limit)
+        assert decontaminate.Matcher([*items, repeated], 0.06, 0.5, 50).search(texts) == want

@@ -33,10 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a folder given as a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 #: Tables written so far and not yet deleted, in order.
 _WRITTEN: list[DataFrame] = []
 
 
+def owned(df: DataFrame, path: str, table_name: str | None = None) -> DataFrame:
+    """``df``, which reads what we wrote to ``path``, known to ``discard`` and ``finished``."""
+    df.written_to, df.table_name = path, table_name
+    _WRITTEN.append(df)
+    return df
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -45,10 +59,7 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to, out.table_name = path, None
-    _WRITTEN.append(out)
-    return out
+    return owned(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def bucketed(df: DataFrame, key: str, n_bytes: int, bucket_bytes: int = 64 << 20, codec: str = "zstd") -> DataFrame:
@@ -60,10 +71,7 @@ def bucketed(df: DataFrame, key: str, n_bytes: int, bucket_bytes: int = 64 << 20
     spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"tidemark_{uuid.uuid4().hex}"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes))
     df.repartition(n, key).write.format("parquet").option("compression", codec).option("path", path).bucketBy(n, key).saveAsTable(name)
-    out = spark.table(name)
-    out.written_to, out.table_name = path, name
-    _WRITTEN.append(out)
-    return out
+    return owned(spark.table(name), path, name)
 
 
 def by_bucket(big: DataFrame, slim: DataFrame, key: str, how: str) -> DataFrame:

@@ -11,13 +11,19 @@ A document is contaminated by an item if a stretch of at least ``share`` of the
 (and at least ``least`` characters, or the whole item where it is shorter) occurs in
 it with at most ``edits`` edits a character, wherever the stretch begins and ends.
 
-The items are the stated query set. They go to the workers in blocks of at most
-``block_chars`` characters, one pass over the documents for each block, so what is
-broadcast is bounded whatever the size of the benchmark. Whole texts are searched.
+The items are the stated query set. They are written once to the shared folder in blocks
+of about ``block_chars`` characters, dealt by a hash. One pass over the documents meets
+them all: a worker searches each batch of texts for one block after the other and keeps
+the q-gram tables of at most ``HELD`` blocks, so memory is bounded whatever the size of
+the benchmark, and nothing is broadcast. Shared q-grams are counted ``LIMIT`` at a time: where
+texts and items share more (a template line of all items), texts and then items are
+halved. Whole texts are searched, ``GROUP`` characters together, a longer one by itself.
 
 Null and empty texts are clean. Items shorter than Q characters are looked for
-exactly, between word boundaries; empty items match nothing. Repeated rows and extra
-columns pass; an empty benchmark leaves every document clean.
+exactly, between word boundaries; empty items match nothing. Items that repeat an id are
+found under it if any of them is. Repeated rows are searched alike; an empty table gives no
+rows, an empty benchmark leaves every document clean; extra columns pass, but columns
+named ``item_ids`` or ``contaminated`` are replaced.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
+from tidemark.llm.common import filesystem, owned, shared_dir
+
 Q = 10
 #: Bits of the table that most q-grams of a text fail in.
 TABLE_BITS = 22
@@ -39,6 +47,10 @@ TABLE_BITS = 22
 GROUP = 1 << 20
 #: Characters of an item that are aligned at once.
 ROWS = 512
+#: Pairs of equal q-grams that are counted at once.
+LIMIT = 1 << 22
+#: Blocks of items whose tables a worker keeps.
+HELD = 4
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -143,7 +155,9 @@ class Matcher:
     """The q-grams of a block of items, and the search for them."""
 
     def __init__(self, rows: list[tuple[int, str]], edits: float, share: float, least: int):
+        self.rows, self.parameters = rows, (edits, share, least)
         self.edits, self.items, self.short = edits, [], []
+        self._halves: tuple[Matcher, ...] = ()
         hashes, owners, places = [], [], []
         for item_id, raw in rows:
             text = normalise(raw)
@@ -166,6 +180,13 @@ class Matcher:
             self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
             self.table[(self.hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
+    def halves(self) -> tuple[Matcher, ...]:
+        """Matchers of the long items, half of them each."""
+        if not self._halves:
+            long = [(i.item_id, i.text) for i in self.items]
+            self._halves = tuple(Matcher(part, *self.parameters) for part in (long[: len(long) // 2], long[len(long) // 2 :]))
+        return self._halves
+
     def search(self, texts: list[str]) -> list[list[int]]:
         """For each normalised text the ids of the items that contaminate it."""
         found: list[set[int]] = [set() for _ in texts]
@@ -193,6 +214,17 @@ class Matcher:
         place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
         if not len(place):
             return
+        if n.sum() > LIMIT:
+            half = len(texts) // 2
+            if half:
+                self.search_group(texts[:half], found[:half])
+                self.search_group(texts[half:], found[half:])
+            elif len(self.items) > 1:
+                for matcher in self.halves():
+                    matcher.search_group(texts, found)
+            else:
+                self.search_all_bands(texts[0], found[0])
+            return
         starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
         entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         place = np.repeat(place, n)
@@ -216,38 +248,60 @@ class Matcher:
                     break
 
 
-def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, read partition by partition."""
-    held, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL").toLocalIterator():
-        if held and size + len(r["text"]) > block_chars:
-            yield held
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if held:
-        yield held
+    def search_all_bands(self, text: str, found: set[int]) -> None:
+        """Align the only item on every band of a text, uncounted."""
+        item = self.items[0]
+        for low in range(-len(item.text), len(text), item.width):
+            if item.item_id not in found and stretch_found(item.text, text, low, 2 * item.width, item.size, self.edits):
+                found.add(item.item_id)
 
 
-def matcher(spark: SparkSession, block: list[tuple[int, str]], edits: float, share: float, least: int):
-    """A column function: text to the sorted ids of the items found in it."""
-    held = spark.sparkContext.broadcast(block)
+def written_blocks(benchmark: DataFrame, block_chars: int) -> tuple[str, list[int]]:
+    """Write the items in blocks by a hash of their id; the folder and the numbers of the blocks that have items."""
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_chars))
+    folder = shared_dir(benchmark.sparkSession)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(folder)
+    owned(dealt, folder)
+    # A number for each block: their count is that of the benchmark's megabytes.
+    return folder, [r[0] for r in dealt.select("block").distinct().orderBy("block").collect()]
 
-    @pandas_udf(ArrayType(LongType()))
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = Matcher(held.value, edits, share, least)
-        for texts in batches:
-            yield pd.Series(m.search([normalise(t) for t in texts]), dtype="object")
 
-    return find
+_MATCHERS: dict[tuple, Matcher] = {}
+
+
+def matcher(folder: str, block: int, parameters: tuple[float, float, int]) -> Matcher:
+    """The matcher of a written block; the last few are kept."""
+    import pyarrow.parquet as pq
+
+    key = (folder, block, parameters)
+    if key not in _MATCHERS:
+        while len(_MATCHERS) >= HELD:
+            del _MATCHERS[next(iter(_MATCHERS))]
+        store, path = filesystem(folder)
+        items = pq.ParquetDataset(f"{path}/block={block}", filesystem=store, partitioning=None).read(columns=["item_id", "text"])
+        rows = sorted(zip(items.column(0).to_pylist(), items.column(1).to_pylist(), strict=True))
+        _MATCHERS[key] = Matcher(rows, *parameters)
+    return _MATCHERS[key]
 
 
 def found_items(spark: SparkSession, text: Column, benchmark: DataFrame, edits: float = 0.06, share: float = 0.5, least: int = 50, block_chars: int = 1 << 20) -> Column:
     """The ids of the items found in a text, ascending."""
-    ids = F.array().cast("array<bigint>")
-    for block in blocks(benchmark, block_chars):
-        ids = F.concat(ids, matcher(spark, block, edits, share, least)(text))
-    return F.array_sort(F.array_distinct(ids))
+    folder, blocks = written_blocks(benchmark, block_chars)
+
+    @pandas_udf(ArrayType(LongType()))
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for raw in batches:
+            texts = [normalise(t) for t in raw]
+            found: list[set[int]] = [set() for _ in texts]
+            for block in blocks:
+                for ids, more in zip(found, matcher(folder, block, (edits, share, least)).search(texts), strict=True):
+                    ids.update(more)
+            yield pd.Series([sorted(ids) for ids in found], dtype="object")
+
+    return find(text)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -47,8 +47,7 @@ def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "contaminated", "item_ids")
+    return finished(lambda: decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import delete_folder, discard, materialize, shared_dir, text_or_empty
+from tidemark.llm.common import delete_folder, discard, filesystem, materialize, shared_dir, text_or_empty
 
 CRLF = b"\r\n"
 MANIFEST = "archive string, n_records long, n_bytes long"
@@ -77,13 +77,6 @@ def chunk_table(pages: DataFrame, chunk_bytes: int) -> DataFrame:
     )
 
 
-def filesystem(uri: str):
-    """(pyarrow file system, path) of a folder given as a URI or a local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def record_head(page_id: int | None, url: str, digest: str, n_bytes: int, refers_to: int | None) -> bytes:
     """The WARC header and the HTTP header of one record, up to its payload."""
     http = CRLF.join(
