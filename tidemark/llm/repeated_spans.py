@@ -65,18 +65,28 @@ class Block:
     """Several documents as one array of bytes, with what all steps need of it."""
 
     def __init__(self, texts: list[bytes]):
-        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.n = int(self.sizes.sum())
-        self.data = np.frombuffer(b"".join(texts) + bytes(WINDOW + 8), dtype=np.uint8)
-        self.eight = np.ndarray((self.n + WINDOW,), dtype="<u8", buffer=self.data, strides=(1,))
+        self.hold(np.frombuffer(b"".join(texts) + bytes(WINDOW + 8), dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64))
+
+    def hold(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        self.data, self.sizes, self.n = data, sizes, int(sizes.sum())
+        self.starts = np.cumsum(sizes) - sizes
+        self.eight = np.ndarray((self.n + WINDOW,), dtype="<u8", buffer=data, strides=(1,))
         #: Whether a whole window of the same document starts here.
-        self.whole = np.zeros(self.n, dtype=bool)
-        for s, n in zip(self.starts, self.sizes, strict=True):
-            if n >= WINDOW:
-                self.whole[s : s + n - WINDOW + 1] = True
+        long = sizes >= WINDOW
+        edges = np.zeros(self.n + 1, dtype=np.int8)
+        edges[self.starts[long]] = 1
+        edges[self.starts[long] + sizes[long] - WINDOW + 1] -= 1
+        self.whole = np.cumsum(edges[: self.n], dtype=np.int8).astype(bool)
         self._sums = None
 
+    def cut(self, start: np.ndarray, end: np.ndarray) -> tuple[Block, np.ndarray]:
+        """The windows that start in [start, end) as documents of their own, and where each byte of these is in this block."""
+        sizes = end - start + WINDOW - 1
+        at = np.arange(sizes.sum()) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+        pieces = Block.__new__(Block)
+        pieces.hold(np.append(self.data[at], np.zeros(WINDOW + 8, dtype=np.uint8)), sizes)
+        return pieces, at
+
     def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The 64 and 32 bits of the strings [start, end), each of WINDOW bytes or more."""
         if self._sums is None:
@@ -185,11 +195,16 @@ def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table_of({"h": grams[at].view(np.int64), "doc_id": ids[doc], "at": (at - b.starts[doc]).astype(np.int32)})
 
 
-def anchored(b: Block, known: list, repeated: list) -> tuple[np.ndarray, np.ndarray]:
-    """(start, anchor position) of the wanted windows whose anchor is repeated."""
-    wanted = wanted_windows(b, known)
+def positions(b: Block, lists: list) -> np.ndarray:
+    """The numbers that are listed for each document, as positions in the block, sorted."""
+    found = [s + np.array(x, dtype=np.int64) for s, x in zip(b.starts, lists, strict=True) if x]
+    return np.sort(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+
+
+def anchored(b: Block, wanted: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, anchor position) of the wanted windows whose anchor is one of the ``repeated`` positions' strings."""
     grams, least, marked = b.anchors(wanted)
-    own = np.sort(np.concatenate([grams[s + np.array(r, dtype=np.int64)] for s, r in zip(b.starts, repeated, strict=True) if r] or [np.empty(0, dtype=U)]))
+    own = np.sort(grams[repeated])
     at = np.flatnonzero(wanted[: len(least)])
     if not len(own) or not len(at):
         return at[:0], at[:0]
@@ -202,31 +217,53 @@ def anchored(b: Block, known: list, repeated: list) -> tuple[np.ndarray, np.ndar
     return at, marked[k]
 
 
+def around(b: Block, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of window starts that a window with one of these anchors, or its block, can have."""
+    doc = b.document(repeated)
+    start = np.maximum(repeated - SPAN - BLOCK + 2, b.starts[doc])
+    end = np.minimum(repeated, b.starts[doc] + b.sizes[doc] - WINDOW) + 1
+    start, end = start[start < end], end[start < end]
+    new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]]) if len(start) else np.empty(0, dtype=np.int64)
+    return start[new], end[np.r_[new[1:], len(end)] - 1] if len(start) else end
+
+
+def anchored_in(b: Block, start: np.ndarray, end: np.ndarray, known: list, repeated: np.ndarray) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchored`` on the windows that start in [start, end): the cut block, the origin of its bytes, and the result in the cut block."""
+    pieces, origin = b.cut(start, end)
+    run = np.searchsorted(start, repeated, "right") - 1
+    inside = (run >= 0) & (repeated < end[run] + WINDOW - GRAM) if len(start) else np.zeros(len(repeated), dtype=bool)
+    moved = repeated[inside] - start[run[inside]] + pieces.starts[run[inside]]
+    at, anchor = anchored(pieces, pieces.whole & wanted_windows(b, known)[origin], moved)
+    return pieces, origin, at, anchor
+
+
 def emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, texts, (known, repeated) in in_groups(batch):
-            b = Block(texts)
-            at, anchor = anchored(b, known, repeated)
+            whole = Block(texts)
+            marks = positions(whole, repeated)
+            b, origin, at, anchor = anchored_in(whole, *around(whole, marks), known, marks)
             last = np.unique(anchor - (anchor - at) // BLOCK * BLOCK)
-            doc = b.document(last)
-            start = np.maximum(last - BLOCK + 1, b.starts[doc])
-            end = np.minimum(last, b.starts[doc] + b.sizes[doc] - WINDOW) + 1
+            piece = b.document(last)
+            start = np.maximum(last - BLOCK + 1, b.starts[piece])
+            end = np.minimum(last, b.starts[piece] + b.sizes[piece] - WINDOW) + 1
             k, kc = b.hashes(last, last + CORE)
             h, c = b.hashes(start, end + WINDOW - 1)
-            yield table_of({"k": k, "kc": kc, "h": h, "c": c, "doc_id": ids[doc], "at": (start - b.starts[doc]).astype(np.int32), "size": (end - start).astype(np.int32)})
+            place = origin[start]
+            doc = whole.document(place)
+            yield table_of({"k": k, "kc": kc, "h": h, "c": c, "doc_id": ids[doc], "at": (place - whole.starts[doc]).astype(np.int32), "size": (end - start).astype(np.int32)})
 
 
 def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, texts, (known, repeated, look) in in_groups(batch):
-            b = Block(texts)
-            at, _ = anchored(b, known, repeated)
-            looked = np.zeros(b.n, dtype=bool)
-            b.cover(look, looked, True)
-            at = at[looked[at]]
+            whole = Block(texts)
+            edges = positions(whole, look)
+            b, origin, at, _ = anchored_in(whole, edges[::2], edges[1::2], known, positions(whole, repeated))
             h, c = b.hashes(at, at + WINDOW)
-            doc = b.document(at)
-            yield table_of({"h": h, "c": c, "doc_id": ids[doc], "at": (at - b.starts[doc]).astype(np.int32), "size": np.ones(len(at), dtype=np.int32)})
+            place = origin[at]
+            doc = whole.document(place)
+            yield table_of({"h": h, "c": c, "doc_id": ids[doc], "at": (place - whole.starts[doc]).astype(np.int32), "size": np.ones(len(at), dtype=np.int32)})
 
 
 def emit_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
