@@ -13,9 +13,11 @@
    whole texts (64-bit hashes with their counts), first each document's best pair, then every pair that still
    joins different components; a pair inside a component needs no proof.
 5. In buckets whose members are still in different components every pair across
-   components is compared: the members are dealt to blocks of about ``BLOCK`` by
-   hash and two blocks meet at a time, so rows grow with n^2 / ``BLOCK`` and no task
-   holds a bucket. The pairs found are decided as in 4.
+   components is compared, on longer sketches of other darts: the members are dealt to
+   blocks of about ``BLOCK`` by hash and two blocks meet at a time, so no task holds a
+   bucket and rows of blocks, not of pairs, meet. Pairs that the longer sketches leave
+   open are verified there, on the shingles that the blocks carry; only links that join
+   components become rows.
 6. Components of the links are the classes; a class is named by its least doc_id.
 
 Similarity is the weighted Jaccard similarity of five-word shingles (lower case, split at
@@ -41,6 +43,8 @@ from tidemark.llm.components import components
 
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 256
+#: Coordinates of the sketches that such members are compared by.
+LONG = 1024
 
 
 def signature_table(texts_by_id: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -119,45 +123,87 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
 
 
-def pairs_across(distinct: DataFrame, labels: DataFrame, doubt: float) -> DataFrame:
-    """(a, b, agree) of all pairs in one bucket, in different components, with ``doubt`` or more equal coordinates."""
+def long_sketches(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, long, grams) of the texts with these ids: ``LONG`` coordinates of other darts, a byte each, and all shingles, sorted."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1).to_pylist()
+            for a, z in dart.groups(held):
+                hashes, owner, counts = dart.shingles(held[a:z], shingle)
+                ident, _ = dart.signatures(dart.mix(hashes ^ dart.GOLD), owner, counts.astype(float), z - a, LONG)
+                coded = (ident >> np.uint64(56)).astype(np.uint8)
+                grams, of = dart.occurrences(hashes, owner, counts)
+                grams = grams[np.lexsort((grams, of))].view(np.int64)
+                n = np.bincount(of, minlength=z - a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, z - a), pa.array([row.tobytes() for row in coded], pa.binary()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(grams))],
+                    ["doc_id", "long", "grams"],
+                )
+
+    return by_bucket(texts, ids, "doc_id", "left_semi").select("doc_id", text_or_empty("text").alias("text")).mapInArrow(sign, "doc_id long, long binary, grams array<long>")
+
+
+def links_across(distinct: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of links between components that share a bucket: enough of them to join all that a pair of one bucket joins.
+
+    What becomes a row is at most a link for each member of two blocks that meet, however many pairs they are.
+    """
     known = labels.select(F.col("node").alias("doc_id"), "label")
-    labelled = distinct.join(known, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "keys", "sketch")
-    members = labelled.select("doc_id", "label", F.posexplode("keys").alias("band", "key"))
+    labelled = distinct.join(known, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "keys")
+    members = labelled.select("doc_id", "label", F.explode("keys").alias("key"))
     # Two members are a pair that was judged.
-    mixed = members.groupBy("key", "band").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-    mixed = materialize(mixed.where("n > 2 AND least < most").select("key", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    placed = members.join(mixed, ["key", "band"]).select("doc_id", "key", "band", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks").cast("int").alias("block"))
-    dealt = placed.join(labelled, "doc_id").groupBy("key", "band", "block").agg(F.collect_list(F.struct("doc_id", "label", "keys", "sketch")).alias("held"))
-    dealt = materialize(dealt)
-    other = dealt.select("key", "band", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
-    met = dealt.join(other, ["key", "band"]).where("block <= block_b").select("band", (F.col("block") == F.col("block_b")).alias("same"), "held", "held_b")
-
-    def arrays(held: pa.Scalar) -> tuple[np.ndarray, ...]:
-        ids, label, keys, sketch = (held.values.field(c) for c in ("doc_id", "label", "keys", "sketch"))
-        return ids.to_numpy(), label.to_numpy(), keys.flatten().to_numpy().reshape(len(ids), -1), sketch.flatten().to_numpy().reshape(len(ids), -1)
+    mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = materialize(mixed.where("n > 2 AND least < most").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    placed = materialize(members.join(mixed, "key").select("doc_id", "label", "key", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks").cast("int").alias("block")))
+    sketches = materialize(long_sketches(texts, placed.select("doc_id").distinct(), shingle))
+    dealt = materialize(placed.join(sketches, "doc_id").groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "label", "long", "grams")).alias("held")))
+    other = dealt.select("key", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
+    met = dealt.join(other, "key").where("block <= block_b").select("held", "held_b")
+    # A pair 3 standard deviations below ``similarity`` is not looked at. (A byte also agrees by chance, once in 256.)
+    doubt = similarity - 3.0 * (similarity * (1 - similarity) / LONG) ** 0.5
+
+    def arrays(held: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        ids, label, sketch, grams = (held.values.field(c) for c in ("doc_id", "label", "long", "grams"))
+        values, offsets = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
+        return ids.to_numpy(), label.to_numpy(), np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint8).reshape(len(ids), LONG), [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common >= similarity * (len(x) + len(y) - common) - 1e-9
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            links: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
-                band, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ids_x, label_x, keys_x, x = arrays(batch.column(2)[i])
-                ids_y, label_y, keys_y, y = arrays(batch.column(3)[i])
+                ids_x, label_x, x, grams_x = arrays(batch.column(0)[i])
+                ids_y, label_y, y, grams_y = arrays(batch.column(1)[i])
                 wanted = label_x[:, None] != label_y[None, :]
-                if same:
-                    wanted &= ids_x[:, None] < ids_y[None, :]
-                for k in range(band):  # a pair counts in the first band that it shares
-                    wanted &= keys_x[:, k, None] != keys_y[None, :, k]
-                if not wanted.any():
+                rows, cols = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+                if not len(rows):
                     continue
-                equal = np.zeros(wanted.shape, dtype=np.int16)
-                for k in range(x.shape[1]):
-                    equal += x[:, k, None] == y[None, :, k]
-                a, b = np.nonzero(wanted & (equal >= doubt * x.shape[1]))
-                ends = ids_x[a], ids_y[b]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends)), pa.array(equal[a, b] / x.shape[1])], ["a", "b", "agree"])
-
-    return met.mapInArrow(compare, "a long, b long, agree double").distinct()
+                equal = np.zeros((len(rows), len(cols)), dtype=np.int16)
+                for u, v in zip(x[rows].T, y[cols].T, strict=True):
+                    equal += u[:, None] == v[None, :]
+                agree = (equal / LONG - 1 / 256) / (1 - 1 / 256)
+                a, b = np.nonzero(wanted[np.ix_(rows, cols)] & (agree >= doubt))
+                parent: dict[int, int] = {}
+
+                def root(n: int, parent: dict[int, int] = parent) -> int:
+                    while (up := parent.get(n, n)) != n:
+                        n = up
+                    return n
+
+                # The likeliest first; a pair whose components are joined by then needs no proof.
+                for k in np.argsort(-agree[a, b], kind="stable"):
+                    one, two = root(int(label_x[rows[a[k]]])), root(int(label_y[cols[b[k]]]))
+                    if one != two and similar(grams_x[rows[a[k]]], grams_y[cols[b[k]]]):
+                        parent[max(one, two)] = min(one, two)
+                        links.append((int(ids_x[rows[a[k]]]), int(ids_y[cols[b[k]]])))
+            ends = np.array(links, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long").distinct()
 
 
 def joined(judged: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, similarity: float, sure: float) -> tuple[DataFrame, DataFrame]:
@@ -200,9 +246,9 @@ def classes(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, bands:
     judged = materialize(judged)
 
     links, labels = joined(judged, judged.select("a", "b").limit(0), texts, shingle, similarity, sure)
-    across = materialize(pairs_across(distinct, labels, doubt))
+    across = materialize(links_across(distinct, labels, texts, shingle, similarity))
     if not across.isEmpty():
-        _, labels = joined(across, links, texts, shingle, similarity, sure)
+        labels = components(links.union(across))
     return members.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
 
 
