@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, global_rank, materialize, text_or_empty
 
-BITS_PER_TERM = 32
+BITS_PER_TERM = 16
 SUBSETS, LEVELS = 32, 4
 ABSENT = "---"
 #: The part of an empty subset, and xxhash64 of an empty array (its seed).
