@@ -20,7 +20,10 @@ from tidemark.sources import files, synthetic
 
 def scratch(spark) -> str:
     """A new folder where the cluster keeps checkpoints, or a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
 
 
