@@ -208,3 +208,13 @@ DRIVER_CANDIDATES = [
 
 def is_derived_pair(a: str, b: str) -> bool:
     return b in DERIVED_FROM.get(a, ()) or a in DERIVED_FROM.get(b, ())
+
+
+# Metrics that a report takes as candidate drivers, and those it watches beside the goals' own.
+DRIVER_CANDIDATES = (
+    "sleep_hours", "sleep_efficiency", "deep_sleep_min", "rem_sleep_min", "sleep_start_hour",
+    "hrv_ms", "resting_hr", "steps", "active_zone_min", "training_load", "workout_min",
+    "calories_in", "protein_g", "alcohol_units", "water_l", "tsb",
+    "meditation_min", "screen_time_h", "stress", "energy",
+)
+WATCHED = ("weight_kg", "resting_hr", "hrv_ms", "sleep_hours", "readiness")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.stats import finite, fisher_p_sql
 from tidemark.functions.vocab import DERIVED_FROM
@@ -18,14 +19,14 @@ def align(x: DataFrame, y: DataFrame, lag: int | Column = 0) -> DataFrame:
     return y.where(finite("value")).select("date", F.col("value").alias("y")).join(shifted, "date")
 
 
-def all_lags(x: DataFrame, y: DataFrame, x_key: str, y_key: str, max_lag: int) -> DataFrame:
-    """Every pair of different series of ``x`` and ``y`` at every lag: (x_key, y_key, lag, date, x, y).
+def all_lags(x: DataFrame, y: DataFrame, x_key: str, y_key: str, max_lag: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every pair of different series of ``x`` and ``y`` at every lag: (by, x_key, y_key, lag, date, x, y).
 
-    One equi-join on the date for all pairs and lags; each day of ``x`` is repeated once a lag.
+    One equi-join on ``by`` and the date for all pairs and lags; each day of ``x`` is repeated once a lag.
     """
-    spread = x.where(finite("value")).select(F.col("metric_key").alias(x_key), F.col("value").alias("x"), "date", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
+    spread = x.where(finite("value")).select(*by, F.col("metric_key").alias(x_key), F.col("value").alias("x"), "date", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
     shifted = spread.withColumn("date", F.date_add("date", F.col("lag")))
-    return shifted.join(y.where(finite("value")).select(F.col("metric_key").alias(y_key), "date", F.col("value").alias("y")), "date").where(F.col(x_key) != F.col(y_key))
+    return shifted.join(y.where(finite("value")).select(*by, F.col("metric_key").alias(y_key), "date", F.col("value").alias("y")), [*by, "date"]).where(F.col(x_key) != F.col(y_key))
 
 
 def pearson(x: str, y: str) -> Column:
@@ -113,21 +114,26 @@ def fit_drivers(target: str, rows: pd.DataFrame, least: int, per_feature: int, s
     )
 
 
-def drivers(series: DataFrame, targets: list[str] | None = None, max_lag: int = 3, least: int = 20, per_feature: int = 8, strength: float = 1.0, higher_better: dict[str, bool | None] | None = None) -> DataFrame:
+def drivers(
+    series: DataFrame, targets: list[str] | DataFrame | None = None, max_lag: int = 3, least: int = 20, per_feature: int = 8, strength: float = 1.0, higher_better: dict[str, bool | None] | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Standardised ridge models of each target from the other metrics at their best lags.
 
-    Lags and correlations of all pairs come from one join; only each target's complete
+    ``targets`` names metrics of ``series`` or holds the targets' own points. With ``by``, say
+    the user, only series that share it meet, and each of its values has its own models. Lags and correlations of all pairs come from one join; only each target's complete
     rows of its at most eight strongest candidates reach the model of that target.
     """
-    wanted = series if targets is None else series.where(F.col("metric_key").isin(targets))
-    pairs = not_derived(all_lags(series, wanted, "driver", "target", max_lag), "driver", "target")
-    best = best_lag(lagged_correlation(pairs, ["target", "driver", "lag"]), ["target", "driver"]).where(F.col("n") >= least)
-    top = Window.partitionBy("target").orderBy(F.desc(F.round(F.abs("r"), 12)), "driver")
-    best = best.withColumn("_k", F.row_number().over(top)).where("_k <= 8").select("target", "driver", "lag", "r", "p")
-    rows = pairs.join(best, ["target", "driver", "lag"])
+    wanted = series if targets is None else targets if isinstance(targets, DataFrame) else series.where(F.col("metric_key").isin(targets))
+    pairs = not_derived(all_lags(series, wanted, "driver", "target", max_lag, by), "driver", "target")
+    best = best_lag(lagged_correlation(pairs, [*by, "target", "driver", "lag"]), [*by, "target", "driver"]).where(F.col("n") >= least)
+    top = Window.partitionBy(*by, "target").orderBy(F.desc(F.round(F.abs("r"), 12)), "driver")
+    best = best.withColumn("_k", F.row_number().over(top)).where("_k <= 8").select(*by, "target", "driver", "lag", "r", "p")
+    rows = pairs.join(best, [*by, "target", "driver", "lag"])
     sign = higher_better or {}
+    schema = StructType([*(series.schema[c] for c in by), *StructType.fromDDL(DRIVERS)])
 
     def model(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return fit_drivers(key[0], frame, least, per_feature, strength, sign.get(key[0]))
+        found = fit_drivers(key[-1], frame, least, per_feature, strength, sign.get(key[-1]))
+        return found.assign(**dict(zip(by, key, strict=False)))[schema.names]
 
-    return rows.groupBy("target").applyInPandas(model, DRIVERS)
+    return rows.groupBy(*by, "target").applyInPandas(model, schema)

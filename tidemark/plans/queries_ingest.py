@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse as P
@@ -13,24 +10,15 @@ from tidemark.operators import ingest as N
 from tidemark.plans import views as V
 from tidemark.plans.queries_series import rounded
 from tidemark.plans.queries_relational import RANGE_SQL
-from tidemark.plans.views import with_sql
+from tidemark.plans.views import scratch, with_sql
 from tidemark.registry import register
 from tidemark.sources import files, synthetic
 
 
-def scratch(spark) -> str:
-    """A new folder where the cluster keeps checkpoints, or a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
-
-
 @register("a1_csv_read", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ', \"the ' || c_mktsegment || '\"' || chr(10) || 'second line' AS note FROM customer")
 def a1(spark, sf):
     """A round trip through an export with quotes, separators and line breaks in cells."""
-    path = scratch(spark)
+    path = scratch(spark, "csv")
     note = F.concat("c_name", F.lit(', "the '), "c_mktsegment", F.lit('"\nsecond line'))
     V.table(spark, sf, "customer").select("c_custkey", note.alias("note")).write.option("header", True).option("quote", '"').option("escape", '"').option("sep", ";").csv(path)
     return files.read_csv(spark, path).select("c_custkey", "note")

@@ -6,6 +6,9 @@ rows. "Today" is always an explicit date.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder where the cluster keeps checkpoints, or a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 STORE_SQL = """store AS (
     SELECT CAST(user_id AS BIGINT) AS user_id, CAST(ts AS DATE) AS date, event_type AS metric_key, value,
            CASE event_id % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'csv' WHEN 2 THEN 'google_health' WHEN 3 THEN 'photo' ELSE 'derived' END AS source,
