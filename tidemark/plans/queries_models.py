@@ -14,6 +14,7 @@ from tidemark.operators import training as K
 from tidemark.plans import derive, report, tools
 from tidemark.plans import views as V
 from tidemark.plans.queries_series import ONE, rounded
+from tidemark.plans.queries_statistics import VERDICT_SQL
 from tidemark.plans.views import DENSE_SQL, EVENTS_TODAY, ORDERS_TODAY, SERIES_SQL, SETS_SQL, SETS_TODAY, WORKOUTS_SQL, with_sql
 from tidemark.registry import ORACLE, register
 
@@ -403,6 +404,19 @@ def k11(spark, sf):
     return rounded(derive.recompute(renamed, V.workouts(spark, sf), V.sets(spark, sf)), "value", digits=4)
 
 
+@register(
+    "k22_snapshot_values",
+    with_sql(DENSE_SQL)
+    + f""", r AS (SELECT * FROM dense WHERE date >= DATE '{EVENTS_TODAY}' - 180),
+    m AS (SELECT metric_key, max(date) AS latest_date, arg_max(value, date) AS latest, avg(CASE WHEN date > DATE '{EVENTS_TODAY}' - 7 THEN value END) AS a7, avg(CASE WHEN date > DATE '{EVENTS_TODAY}' - 14 AND date <= DATE '{EVENTS_TODAY}' - 7 THEN value END) AS p7,
+      avg(CASE WHEN date > DATE '{EVENTS_TODAY}' - 28 THEN value END) AS a28 FROM r GROUP BY 1)
+    SELECT metric_key, round(latest, 6) AS latest, latest_date, round(a7, 6) AS avg7, round(a28, 6) AS avg28, round(CASE WHEN p7 <> 0 THEN (a7 - p7) / abs(p7) * 100 END, 6) AS delta_pct FROM m""",
+)
+def k22_values(spark, sf):
+    """The numbers of the snapshots; their trends are in ``k22_snapshots``."""
+    return report.snapshots(V.dense(spark, sf), ONE, EVENTS_TODAY).select("metric_key", "latest", "latest_date", "avg7", "avg28", "delta_pct")
+
+
 @register("k22_snapshots")
 def k22(spark, sf):
     return report.snapshots(V.dense(spark, sf), ONE, EVENTS_TODAY)
@@ -426,9 +440,10 @@ def t2(spark, sf):
     return rounded(found, "mean", "median", "sd", "p10", "p90", "min", "max", "latest", "avg7", "avg28", "avg90", digits=8)
 
 
-@register("t_analyse_metric")
+@register("t_analyse_metric", VERDICT_SQL.replace("SELECT p.metric_key, e.n,", f"SELECT p.metric_key, e.n, round(sen * 7, 6) AS per_week, DATE '{ORDERS_TODAY}' AS as_of,"))
 def t3(spark, sf):
-    return tools.analyse_metric(V.series(spark, sf), ONE, "2001-08-01", 365)["trend"]
+    found = tools.analyse_metric(V.series(spark, sf), ONE, ORDERS_TODAY, 365)["trend"]
+    return rounded(found, "per_week", "mk_p", "drift_p", "change_pct").select("metric_key", "n", "per_week", "as_of", "mk_p", "drift_p", "significant", "direction", "change_pct")
 
 
 LAGS_SQL = """l AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS lag),

@@ -126,8 +126,7 @@ def j4(spark, sf):
     return t.select("metric_key", "s", F.round("sen_slope_per_day", 9).alias("sen"), F.round("variance_inflation", 6).alias("inflation"), F.round("mk_z", 6).alias("z"), F.round("mk_p", 6).alias("p"))
 
 
-@register(
-    "j9_trend_verdict",
+VERDICT_SQL = (
     with_sql(SERIES_SQL, YEAR_SQL, TREND_SQL)
     + f""", df0 AS (SELECT metric_key, value - lag(value) OVER (PARTITION BY metric_key ORDER BY date) AS diff FROM year),
     dr AS (SELECT metric_key, avg(diff) / (stddev_samp(diff) / sqrt(count(diff))) AS t, count(diff) - 1 AS df FROM df0 GROUP BY 1),
@@ -135,8 +134,11 @@ def j4(spark, sf):
     e AS (SELECT metric_key, count(*) AS n, arg_min(value, date) AS first, arg_max(value, date) AS last FROM year GROUP BY 1)
     SELECT p.metric_key, e.n, round(mk_p, 6) AS mk_p, round(drift_p, 6) AS drift_p, mk_p < 0.02 AND drift_p < 0.02 AS significant,
       CASE WHEN NOT (mk_p < 0.02 AND drift_p < 0.02) OR sen = 0 THEN 'flat' WHEN sen > 0 THEN 'rising' ELSE 'falling' END AS direction, round((last - first) / abs(first) * 100, 6) AS change_pct
-    FROM p JOIN e ON e.metric_key = p.metric_key""",
+    FROM p JOIN e ON e.metric_key = p.metric_key"""
 )
+
+
+@register("j9_trend_verdict", VERDICT_SQL)
 def j9(spark, sf):
     return rounded(N.trends(year(spark, sf), ONE), "mk_p", "drift_p", "change_pct").select("metric_key", "n", "mk_p", "drift_p", "significant", "direction", "change_pct")
 
@@ -152,6 +154,15 @@ def j10(spark, sf):
     return rounded(N.change_points(V.series(spark, sf), ONE), "before", "after", "delta", "effect_size", "p_value")
 
 
+@register("j10_planted_shifts")
+def j10_planted(spark, sf):
+    """Change points of the series, raised by three standard deviations from a day on."""
+    series = V.series(spark, sf)
+    spread = series.groupBy("metric_key").agg((3 * F.stddev_samp("value")).alias("step"))
+    raised = series.join(spread, "metric_key").withColumn("value", F.col("value") + F.when(F.col("date") >= F.lit("1998-06-01").cast("date"), F.col("step")).otherwise(0.0))
+    return rounded(N.change_points(raised, ONE), "before", "after", "delta", "effect_size", "p_value")
+
+
 @register(
     "j10_first_split",
     with_sql(DENSE_SQL)
