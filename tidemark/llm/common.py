@@ -115,6 +115,11 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def ascii_lower(text: Column) -> Column:
+    """The text with A to Z in lower case and every other character as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def global_rank(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` (slim rows) with ``rank``: its place from 0 in the order of ``keys``.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_extract, imatch, mixing, near_dups, quality, repeated_spans, sharding, token_counts, warc
+from tidemark.llm import decontaminate, divergence, html_extract, imatch, mixing, near_dups, quality, repeated_spans, sharding, token_counts, warc
 from tidemark.llm.common import finished, table, text_or_empty
 
 
@@ -62,6 +62,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(lambda: divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_scores": op1_quality_scores,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_html_main_text": op9_html_main_text,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -84,4 +89,30 @@ ORACLE: dict[str, str] = {
                CASE WHEN n >= 1000 AND winner > page_id THEN winner END AS refers_to
         FROM w
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        tok AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS c FROM tok GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+        cnt AS (SELECT lang, source, term, count(*) AS c FROM tok SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        n AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY lang, source),
+        cell AS (SELECT g.lang, g.source, kept.term, coalesce(cnt.c, 0) AS c,
+                1 + (1000000000 * CAST(coalesce(cnt.c, 0) + 2 AS HUGEINT)) // (coalesce(n.n, 0) + 2 * v.v) AS p,
+                1 + (1000000000 * CAST(kept.c + 2 AS HUGEINT)) // (v.n + 2 * v.v) AS q
+            FROM groups g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang
+            LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+            LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = kept.term),
+        two AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS s
+            FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(two.s, 0) AS val
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source),
+        word AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS val FROM cell WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(val AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY val DESC, item) AS INTEGER) AS rank
+        FROM (SELECT * FROM pair UNION ALL SELECT * FROM word) u
+        QUALIFY part = 'pair' OR rank <= 10
+    """,
 }
