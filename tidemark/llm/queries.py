@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, divergence, html_extract, imatch, mixing, near_dups, quality, repeated_spans, sharding, token_counts, warc
+from tidemark.llm import decontaminate, divergence, html_extract, imatch, licenses, mixing, near_dups, quality, ranked_search, repeated_spans, sharding, token_counts, warc
 from tidemark.llm.common import finished, table, text_or_empty
 
 
@@ -62,6 +62,18 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def ranked() -> DataFrame:
+        index = ranked_search.index_documents(table(spark, sf_dir, "documents"))
+        return ranked_search.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+    return finished(ranked)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarise(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(lambda: divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10))
 
@@ -77,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_html_main_text": op9_html_main_text,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_license_scan": op12_license_scan,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -89,6 +103,26 @@ ORACLE: dict[str, str] = {
                CASE WHEN n >= 1000 AND winner > page_id THEN winner END AS refers_to
         FROM w
     """,
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        tok AS (SELECT k, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        tf AS (SELECT k, term, count(*) AS tf FROM tok GROUP BY k, term),
+        size AS (SELECT k, count(*) AS words FROM tok GROUP BY k),
+        total AS (SELECT count(*) AS docs, CAST(sum(words) AS BIGINT) AS words FROM size),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        item AS (SELECT row_number() OVER () AS i, item_id,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+        wanted AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM item),
+        weighted AS (SELECT i, item_id, term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM wanted JOIN df USING (term), total),
+        norm AS (SELECT k, 50 + (50 * size.words * docs) // total.words AS m FROM size, total),
+        scored AS (SELECT i, item_id, doc_id, k, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+            FROM weighted JOIN tf USING (term) JOIN norm USING (k) JOIN d USING (k) GROUP BY i, item_id, doc_id, k)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
+    "op12_license_scan": licenses.brute_sql(),
     "op13_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
