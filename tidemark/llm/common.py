@@ -120,6 +120,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def runs_between(text: Column, separators: str) -> Column:
+    """The maximal runs of characters outside a class, in order.
+
+    A split, because the regexp function that extracts all matches copies the text for each of them.
+    """
+    return F.array_remove(F.split(text, f"[{separators}]+"), "")
+
+
 def global_rank(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` (slim rows) with ``rank``: its place from 0 in the order of ``keys``.
 

@@ -36,10 +36,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, text_or_empty
+from tidemark.llm.common import ascii_lower, runs_between, text_or_empty
 
-#: Runs of digits, lower-case letters and all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of digits, lower-case letters and all characters beyond ASCII.
+SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 #: What the driver holds and every task gets.
 MAX_TEMPLATE_WORDS = 100_000
 
@@ -76,7 +76,7 @@ class Template(NamedTuple):
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return runs_between(ascii_lower(text), SEPARATORS)
 
 
 def split_words(text: str) -> list[str]:
@@ -117,6 +117,11 @@ def places_of(phrase: list[str], anchor: int, hits: Column, words: Column) -> Co
     return F.transform(F.filter(hits, stands), lambda p: p - anchor)
 
 
+def labelled(places: Column, label: str) -> Column:
+    """Places as (label, word)."""
+    return F.transform(places, lambda w: F.struct(F.lit(label).alias("label"), w.cast("long").alias("word")))
+
+
 def blocks_about(hits: Column, words: Column, of_stride: list[Template], rank: dict[str, int]) -> Column:
     """The blocks of one stride about prefix words, each with its template words in the corpus order."""
     stride = of_stride[0].stride
@@ -161,9 +166,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES,
     looked_for |= {w for t in made for w in sorted(t.words, key=rank.get)[: len(t.words) - t.need + 1]}
     strides = [[t for t in made if t.stride == s] for s in sorted({t.stride for t in made})]
     words, hits = F.col("words"), F.col("hits")
-    found = [
-        F.transform(places_of(p, a, hits, words), lambda w, label=label: F.struct(F.lit(label).alias("label"), w.cast("long").alias("word"))) for (p, label), a in zip(said, anchors, strict=True)
-    ]
+    found = [labelled(places_of(p, a, hits, words), label) for (p, label), a in zip(said, anchors, strict=True)]
     read = docs.select("doc_id", words_of(text_or_empty("text")).alias("words"))
     marked = read.withColumn("hits", F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*looked_for), i))))
     rows = marked.select(
@@ -214,7 +217,7 @@ def brute_sql(templates: Sequence[tuple[str, str, str]] = TEMPLATES, phrases: Se
         WITH templates(name, label, tokens, need, stride) AS (VALUES {made}),
         phrases(label, said) AS (VALUES {said}),
         d AS (SELECT row_number() OVER () AS k, doc_id,
-                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SEPARATORS}]+') AS words FROM documents),
         placed AS (SELECT k, words, unnest(generate_series(0, len(words) - 1)) AS word FROM d),
         place AS (SELECT k, label, word FROM placed, phrases WHERE words[word + 1] = said[1] AND words[word + 1 : word + len(said)] = said),
         base AS (SELECT k, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY k),

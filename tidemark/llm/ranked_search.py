@@ -48,10 +48,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import ascii_lower, materialize, text_or_empty
+from tidemark.llm.common import ascii_lower, materialize, runs_between, text_or_empty
 
-#: Runs of digits, letters and all characters beyond ASCII; in UTF-8 bytes after lower-casing, the same runs.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of digits, letters and all characters beyond ASCII; in UTF-8 bytes after lower-casing, the same runs.
+SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 BYTE_TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 SHARD_BYTES = 4 << 20
@@ -260,8 +260,7 @@ def search_row(row: dict, terms: pa.Array, items: Items, best: Best) -> None:
 def index_documents(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Index:
     """Index every row of ``docs`` (doc_id, text), shard by shard, as a table in the shared folder."""
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
-    n = F.regexp_count(ascii_lower(F.col("text")), F.lit(TERM))
-    n_docs, n_terms = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_docs, n_terms = docs.select(F.size(runs_between(F.col("text"), SEPARATORS)).alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -333,7 +332,7 @@ def search(index: Index, benchmark: DataFrame, k: int = 50, block_bytes: int = B
     """(item_id, rank, doc_id, score): the k best documents of every row of ``benchmark`` (item_id, text)."""
     text = ascii_lower(text_or_empty("text"))
     items = materialize(
-        benchmark.select("item_id", F.monotonically_increasing_id().alias("key"), F.octet_length(text).alias("size"), F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("terms"))
+        benchmark.select("item_id", F.monotonically_increasing_id().alias("key"), F.octet_length(text).alias("size"), F.array_distinct(runs_between(text, SEPARATORS)).alias("terms"))
     )
     n_blocks = max(1, -(-(items.agg(F.sum("size")).first()[0] or 0) // block_bytes))
     out = None
