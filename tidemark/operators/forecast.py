@@ -8,8 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from tidemark.functions.stats import finite
+from tidemark.operators.scan import collected, scanned, states
+from tidemark.operators.series import grid, interpolated
 from tidemark.operators.trend import day_numbers
 
 # The damping factors tried.
@@ -183,16 +187,19 @@ def projections(series: DataFrame, keys: list[str], targets: dict[str, tuple[flo
 
 
 def holt_fixed(series: DataFrame, keys: list[str], alpha: float, beta: float, phi: float) -> DataFrame:
-    """One-step errors of a given model: (n, sse, level, trend) of each series."""
+    """One-step errors of a given model: (n, sse, level, trend) of each series, days without value interpolated.
 
-    def rows(key: dict, days: np.ndarray, values: np.ndarray) -> list[dict]:
-        y = fill(days, values)
-        level, trend, sse = y[0], (y[3] - y[0]) / 3 if len(y) > 3 else 0.0, 0.0
-        for v in y[1:]:
-            expected = level + phi * trend
-            sse += (v - expected) ** 2
-            after = alpha * v + (1 - alpha) * expected
-            level, trend = after, beta * (after - level) + (1 - beta) * phi * trend
-        return [{"n": len(y), "sse": float(sse), "level": float(level), "trend": float(trend)}]
-
-    return _grouped(series, keys, [("n", LongType()), ("sse", DoubleType()), ("level", DoubleType()), ("trend", DoubleType())], rows)
+    Level and trend after a day are a linear map of those before and of its value, so they are scanned.
+    """
+    known = series.select(*keys, "date", "value").where(finite("value"))
+    filled = interpolated(grid(known, keys), keys).select(*keys, "date", F.col("filled").alias("value"))
+    rows = collected(filled, keys).select(*keys, F.transform("days", lambda d: d["value"]).alias("y"))
+    y, rest = F.col("y"), F.slice("y", F.lit(2), F.size("y"))
+    start = F.when(F.size(y) > 3, (F.get(y, 3) - F.get(y, 0)) / 3).otherwise(0.0)
+    levels = F.concat(F.slice(y, 1, 1), F.transform(rest, lambda v: v * alpha))
+    trends = F.concat(F.array(start), F.transform(rest, lambda v: v * (alpha * beta)))
+    matrix = [[1 - alpha, (1 - alpha) * phi], [-alpha * beta, phi * (1 - alpha * beta)]]
+    found = scanned(rows.withColumn("s", states([levels, trends])), "s", matrix)
+    errors = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), rest, lambda b, v: F.pow(v - (b["x0"] + phi * b["x1"]), 2))
+    last = F.element_at("s", -1)
+    return found.select(*keys, F.size("y").cast("long").alias("n"), F.aggregate(errors, F.lit(0.0), lambda a, e: a + e).alias("sse"), last["x0"].alias("level"), last["x1"].alias("trend"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.stats import t_test_p
+from tidemark.operators.scan import collected, scanned, states
 
 WEEKDAYS = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")
 
@@ -30,25 +29,24 @@ def rolling_mean(days: DataFrame, keys: list[str], width: int, centred: bool = F
     return days.withColumn("rolling", F.avg("value").over(frame))
 
 
-def _per_series(series: DataFrame, keys: list[str], add: list[str], change) -> DataFrame:
-    """Grouped-map over whole series: ``change`` adds columns to a frame sorted by date."""
-    schema = StructType([series.schema[c] for c in [*keys, "date", "value"]] + [StructField(c, DoubleType()) for c in add])
-
-    def apply(frame: pd.DataFrame) -> pd.DataFrame:
-        return change(frame.sort_values("date", ignore_index=True))[[f.name for f in schema.fields]]
-
-    return series.select(*keys, "date", "value").groupBy(*keys).applyInPandas(apply, schema)
-
-
 def ewma(days: DataFrame, keys: list[str], half_life: float) -> DataFrame:
-    """Exponentially weighted mean that the first value seeds; days without value carry it unchanged."""
-    alpha = 1 - 2 ** (-1 / half_life)
-
-    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        seen = frame["value"].dropna()
-        return frame.assign(ewma=seen.ewm(alpha=alpha, adjust=False).mean().reindex(frame.index).ffill())
+    """Exponentially weighted mean that the first value seeds; days without value carry it unchanged.
 
-    return _per_series(days, keys, ["ewma"], smooth)
+    Null before the first value. A NaN is no value.
+    """
+    alpha = 1 - 2 ** (-1 / half_life)
+    rows = collected(days.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), keys)
+    at = F.array_compact(F.transform("days", lambda d, i: F.when(d["value"].isNotNull(), i)))
+    seen = F.filter(F.transform("days", lambda d: d["value"]), lambda v: v.isNotNull())
+    rows = rows.select(*keys, "days", at.alias("at"), F.transform(seen, lambda v, i: F.when(i == 0, v).otherwise(v * alpha)).alias("seen"))
+    found = scanned(rows.withColumn("s", states([F.col("seen")])).drop("seen"), "s", [[1 - alpha]])
+    after = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("days")))
+    held = F.zip_with(F.col("at"), after, lambda p, n: n - p)
+    smooth = F.flatten(F.zip_with("s", held, lambda v, n: F.array_repeat(v["x0"], n)))
+    none = F.lit(None).cast("double")
+    whole = F.when(F.size("at") > 0, F.concat(F.array_repeat(none, F.element_at("at", 1)), smooth)).otherwise(F.array_repeat(none, F.size("days")))
+    dates, values = F.transform("days", lambda d: d["date"]), F.transform("days", lambda d: d["value"])
+    return found.select(*keys, F.inline(F.arrays_zip(dates.alias("date"), values.alias("value"), whole.alias("ewma"))))
 
 
 def interpolated(days: DataFrame, keys: list[str]) -> DataFrame:

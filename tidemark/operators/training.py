@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tidemark.functions.stats import clamp
 from tidemark.functions.vocab import WORKOUT_RANK
+from tidemark.operators.scan import collected, dense_values, scanned, states
 from tidemark.operators.series import baseline_z, ordered
 from tidemark.operators.store import precedence
 
@@ -54,28 +53,42 @@ def daily_load(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("user_id", "date").agg(F.sum("load").alias("load"), F.sum(F.coalesce("duration_min", F.lit(0.0))).alias("minutes"))
 
 
-def training_load(daily: DataFrame, keys: list[str], slow: int = 42, fast: int = 7) -> DataFrame:
+def decay(tau: int) -> float:
+    """What is left of a day's load a day later."""
+    return math.exp(-1 / tau)
+
+
+def weight_so_far(i: Column, tau: int) -> Column:
+    """Sum of the weights of the days 0 to i."""
+    return (1 - F.pow(F.lit(decay(tau)), i + 1)) / (1 - decay(tau))
+
+
+def training_load(daily: DataFrame, keys: list[str], slow: int = 42, fast: int = 7, since: DataFrame | None = None) -> DataFrame:
     """Fitness, fatigue, form and ratio on every day from the first to the last; days off have load 0.
 
     Both averages are bias-corrected, that is, weighted means of the days so far. Form is
-    of the day before; the ratio is null until fitness exceeds 1.
+    of the day before; the ratio is null until fitness exceeds 1. ``since`` (keys, day, i,
+    ctl, atl) carries the state of a day on: ``daily`` then holds later days only, and so
+    does the result.
     """
-    kinds = [("load", DoubleType()), ("ctl", DoubleType()), ("atl", DoubleType()), ("tsb", DoubleType()), ("acwr", DoubleType()), ("established", BooleanType())]
-    schema = StructType([*(daily.schema[k] for k in keys), daily.schema["date"], *(StructField(n, t) for n, t in kinds)])
-
-    def model(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(date=pd.to_datetime(frame["date"])).sort_values("date")
-        days = frame.set_index("date")["load"].asfreq("D").fillna(0.0)
-        mean = lambda tau: days.ewm(alpha=1 - math.exp(-1 / tau), adjust=True).mean()
-        ctl, atl = mean(slow), mean(fast)
-        out = pd.DataFrame({"load": days, "ctl": ctl, "atl": atl, "tsb": (ctl - atl).shift(1), "acwr": (atl / ctl).where(ctl > 1)}).reset_index()
-        out["established"] = out.index >= slow
-        out["date"] = out["date"].dt.date
-        for k in keys:
-            out[k] = frame[k].iloc[0]
-        return out[schema.names].astype({"tsb": object, "acwr": object}).where(lambda o: o.notna(), None)
-
-    return daily.select(*keys, "date", "load").groupBy(*keys).applyInPandas(model, schema)
+    if since is None:
+        rows = collected(daily, keys, "load").withColumns({"i": F.lit(-1), "ctl": F.lit(None).cast("double"), "atl": F.lit(None).cast("double")})
+    else:
+        # A load of 0 on the day after the state's, so that days off right after it are there.
+        start = since.select(*keys, F.date_add("day", 1).alias("date"), F.lit(0.0).alias("load"))
+        days = daily.select(*keys, "date", "load").unionByName(start.join(daily.select(*keys).distinct(), keys, "left_semi")).groupBy(*keys, "date").agg(F.sum("load").alias("load"))
+        rows = collected(days, keys, "load").join(since.select(*keys, "i", "ctl", "atl"), keys)
+    rates = (slow, fast)
+    carried = [F.coalesce(F.col(c) * weight_so_far(F.col("i"), tau) * decay(tau), F.lit(0.0)) for c, tau in zip(("ctl", "atl"), rates, strict=True)]
+    loads = rows.withColumn("loads", dense_values(F.col("days"))).drop("days")
+    inputs = [F.concat(F.array(F.element_at("loads", 1) + c), F.slice("loads", F.lit(2), F.size("loads"))) for c in carried]
+    found = scanned(loads.withColumn("s", states(inputs)), "s", [[decay(slow), 0.0], [0.0, decay(fast)]])
+    means = [F.transform("s", lambda v, k: v["x0"] / weight_so_far(k + F.col("i") + 1, slow)), F.transform("s", lambda v, k: v["x1"] / weight_so_far(k + F.col("i") + 1, fast))]
+    known = found.select(*keys, "first", "i", "ctl", "atl", "loads", means[0].alias("c"), means[1].alias("a"))
+    form = F.concat(F.array(F.col("ctl") - F.col("atl")), F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("a", F.lit(1), F.size("c") - 1), lambda c, a: c - a))
+    days = known.select(*keys, "first", "i", F.posexplode(F.arrays_zip(F.col("loads").alias("load"), F.col("c").alias("ctl"), F.col("a").alias("atl"), form.alias("tsb"))).alias("k", "d"))
+    ratio = F.when(F.col("d.ctl") > 1, F.col("d.atl") / F.col("d.ctl"))
+    return days.select(*keys, F.date_add("first", F.col("k")).alias("date"), "d.load", "d.ctl", "d.atl", "d.tsb", ratio.alias("acwr"), (F.col("k") + F.col("i") + 1 >= slow).alias("established"))
 
 
 def monotony(daily: DataFrame, keys: list[str]) -> DataFrame:

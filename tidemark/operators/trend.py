@@ -33,18 +33,127 @@ def t_p(t: float, df: float) -> float:
     return min(1.0, max(0.0, upper_tails(t * (1 - 1 / (4 * df)) / math.sqrt(1 + t * t / (2 * df)))))
 
 
+def inversions(z: np.ndarray) -> int:
+    """How many pairs i < j have z[i] > z[j], by merging sorted halves; equal values are no inversion."""
+    n = len(z)
+    if n < 2:
+        return 0
+    width = 1 << (n - 1).bit_length()
+    rows, found, w = np.r_[z, np.full(width - n, np.inf)][:, None], 0, 1
+    while w < width:
+        halves = rows.reshape(-1, 2 * w)
+        order = np.argsort(halves, axis=1, kind="stable")  # of equals the left comes first
+        left = order < w
+        ahead = np.cumsum(left, axis=1)
+        found += int((w - ahead[~left]).sum())
+        rows, w = np.take_along_axis(halves, order, axis=1), 2 * w
+    return found
+
+
+def inverted_pairs(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i, j), i < j, with rank[i] > rank[j], of distinct ranks; as much work and memory as there are pairs."""
+    n = len(rank)
+    width = 1 << max(0, n - 1).bit_length()
+    place, w, left_of, right_of = np.arange(width), 1, [], []
+    key = np.r_[rank, np.arange(n, width)]
+    while w < width:
+        halves, held = key.reshape(-1, 2 * w), place.reshape(-1, 2 * w)
+        order = np.argsort(halves, axis=1, kind="stable")
+        left = order < w
+        ahead = np.cumsum(left, axis=1)
+        row, col = np.nonzero(~left & (ahead < w))
+        count = w - ahead[row, col]
+        # The left half is sorted, so those above a right element are its last ``count``.
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        left_of.append(held[np.repeat(row, count), np.repeat(w - count, count) + at])
+        right_of.append(np.repeat(held[row, order[row, col]], count))
+        key, place, w = np.take_along_axis(halves, order, axis=1).ravel(), np.take_along_axis(held, order, axis=1).ravel(), 2 * w
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left_of]), np.concatenate([none, *right_of])
+
+
+def kendall_s(y: np.ndarray) -> int:
+    """Sum of the signs of y[j] - y[i] over i < j: pairs less ties less twice the inversions."""
+    n = len(y)
+    _, ties = np.unique(y, return_counts=True)
+    return n * (n - 1) // 2 - int((ties * (ties - 1) // 2).sum()) - 2 * inversions(y)
+
+
+#: Pairs up to which slopes are formed all at once, and slopes drawn for a point to narrow the search.
+FORMED, DRAWN = 1_000_000, 64
+
+
+def levels_at(x: np.ndarray, y: np.ndarray, slope: float) -> np.ndarray:
+    """y - slope x as whole numbers in its order; what differs by no more than rounding is equal."""
+    z = y - slope * x
+    order = np.argsort(z, kind="stable")
+    grain = 1e-14 * float(np.abs(y).max() + abs(slope) * np.abs(x).max())
+    out = np.empty(len(z), dtype=np.int64)
+    out[order] = np.r_[0, np.cumsum(np.diff(z[order]) > grain)]
+    return out
+
+
+def slope_of_rank(x: np.ndarray, y: np.ndarray, k: int, drawn: np.ndarray) -> float:
+    """The k-th smallest of (y[j] - y[i]) / (x[j] - x[i]) over i < j, for x that rises strictly.
+
+    A pair's slope is below v if, and only if, the pair is inverted in y - v x, so slopes
+    below and equal to v are counted by merging. Values of a sorted sample narrow the rank
+    down; the pairs between the last two are the inversions between the orders at both,
+    and only they are formed. The sample changes the work, not the result.
+    """
+    n = len(y)
+    every = n * (n - 1) // 2
+    a, b, below, upto = -np.inf, np.inf, 0, every
+    at_a, at_b = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    near, spare = len(drawn) * k / every, 1.5 * math.sqrt(len(drawn))
+    tried = [drawn[int(np.clip(near + d, 0, len(drawn) - 1))] for d in (-spare, spare)]
+    while upto - below > FORMED:
+        inside = drawn[np.searchsorted(drawn, a, "right") : np.searchsorted(drawn, b, "left")]
+        v = tried.pop() if tried else inside[len(inside) // 2] if len(inside) else None
+        if v is None:
+            break
+        if not a < v < b:
+            continue
+        at = levels_at(x, y, v)
+        ties = np.unique(at, return_counts=True)[1]
+        less = inversions(at)
+        most = less + int((ties * (ties - 1) // 2).sum())
+        if less <= k < most:
+            return float(v)
+        if k >= most:
+            a, below, at_a = v, most, at
+        else:
+            b, upto, at_b = v, less, at
+    place = np.arange(n)
+    # At a, equal slopes count as passed: the later point goes first. At b they don't.
+    first = np.lexsort((-place, at_a)) if a > -np.inf else place
+    then = np.lexsort((place, at_b)) if b < np.inf else place[::-1]
+    rank = np.empty(n, dtype=np.int64)
+    rank[then] = place
+    p, q = inverted_pairs(rank[first])
+    p, q = first[p], first[q]
+    slopes = np.sort((y[q] - y[p]) / (x[q] - x[p]))
+    return float(slopes[min(len(slopes) - 1, k - below)])
+
+
+def median_slope(x: np.ndarray, y: np.ndarray) -> float:
+    """The Theil-Sen slope, the median over all pairs of points; 0 without pairs."""
+    n = len(y)
+    every = n * (n - 1) // 2
+    if every <= FORMED:
+        i, j = np.triu_indices(n, 1)
+        return float(np.median((y[j] - y[i]) / (x[j] - x[i]))) if every else 0.0
+    i, j = np.random.default_rng(0).integers(0, n, (2, min(every, DRAWN * n)))
+    i, j = i[i != j], j[i != j]
+    drawn = np.sort((y[j] - y[i]) / (x[j] - x[i]))
+    low, high = (every - 1) // 2, every // 2
+    at_low = slope_of_rank(x, y, low, drawn)
+    return at_low if low == high else (at_low + slope_of_rank(x, y, high, drawn)) / 2
+
+
 def pairwise(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
-    """Kendall's S and the Theil-Sen slope, from one sweep over all pairs in blocks of rows."""
-    s, slopes, n = 0, [], len(y)
-    for lo in range(0, n - 1, 512):
-        hi = min(n - 1, lo + 512)
-        later = np.arange(n)[None, :] > np.arange(lo, hi)[:, None]
-        dy = (y[None, :] - y[lo:hi, None])[later]
-        dx = (x[None, :] - x[lo:hi, None])[later]
-        s += int(np.sign(dy).sum())
-        slopes.append(dy[dx != 0] / dx[dx != 0])
-    every = np.concatenate(slopes) if slopes else np.empty(0)
-    return s, float(np.median(every)) if len(every) else 0.0
+    """Kendall's S and the Theil-Sen slope of a series in the order of time, without forming all pairs."""
+    return kendall_s(y), median_slope(x, y)
 
 
 def lag_one(residuals: np.ndarray) -> float | None:
@@ -54,6 +163,13 @@ def lag_one(residuals: np.ndarray) -> float | None:
     return float((c[:-1] * c[1:]).sum()) / whole if whole else None
 
 
+def autocovariances(c: np.ndarray) -> np.ndarray:
+    """Sums of c[i] c[i + k] for every lag k, by one transform of the padded series."""
+    size = 1 << (2 * len(c) - 1).bit_length()
+    f = np.fft.rfft(c, size)
+    return np.fft.irfft(f * np.conj(f), size)[: len(c)]
+
+
 def rank_inflation(residuals: np.ndarray) -> float:
     """Variance inflation from the significant autocorrelations of the residuals' ranks."""
     n = len(residuals)
@@ -64,7 +180,7 @@ def rank_inflation(residuals: np.ndarray) -> float:
     if not whole:
         return 1.0
     lags = np.arange(1, n - 2)
-    rho = np.array([float(c[: n - k] @ c[k:]) for k in lags]) / whole
+    rho = autocovariances(c)[1 : n - 2] / whole
     kept = np.abs(rho) > 1.96 / math.sqrt(n)
     k = n - lags[kept].astype(float)
     return float(np.clip(1 + 2 / (n * (n - 1) * (n - 2)) * (k * (k - 1) * (k - 2) * rho[kept]).sum(), 1, 50))

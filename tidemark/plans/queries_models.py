@@ -70,7 +70,23 @@ def k4(spark, sf):
     return rounded(K.training_load(daily, USER), "load", "ctl", "atl", "tsb", "acwr")
 
 
-@register("k4_training_load_of_years")
+GRID_OF_LOADS_SQL = """days AS (SELECT user_id, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM daily GROUP BY 1),
+g AS (SELECT days.user_id, days.date, coalesce(r.load, 0) AS load, row_number() OVER (PARTITION BY days.user_id ORDER BY days.date) - 1 AS i FROM days LEFT JOIN daily r ON r.user_id = days.user_id AND r.date = days.date)"""
+SCAN_SQL = """st AS (SELECT user_id, date, load, i, CAST(load AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS cw, CAST(load AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS aw FROM g WHERE i = 0
+  UNION ALL SELECT g.user_id, g.date, g.load, g.i, st.c * exp(-1 / 42.0) + g.load, st.cw * exp(-1 / 42.0) + 1, st.a * exp(-1 / 7.0) + g.load, st.aw * exp(-1 / 7.0) + 1 FROM st JOIN g ON g.user_id = st.user_id AND g.i = st.i + 1),
+m AS (SELECT user_id, date, load, i, c / cw AS ctl, a / aw AS atl FROM st)"""
+
+
+def recursive_sql(*ctes: str) -> str:
+    """WITH clause of which an entry may read itself."""
+    return with_sql(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register(
+    "k4_training_load_of_years",
+    recursive_sql(*CHAIN_SQL, GRID_OF_LOADS_SQL, SCAN_SQL)
+    + """SELECT user_id, date, round(load, 6) AS load, round(ctl, 6) AS ctl, round(atl, 6) AS atl, round(lag(ctl - atl) OVER (PARTITION BY user_id ORDER BY date), 6) AS tsb, round(CASE WHEN ctl > 1 THEN atl / ctl END, 6) AS acwr, i >= 42 AS established FROM m""",
+)
 def k4_years(spark, sf):
     return rounded(K.training_load(K.daily_load(loaded(spark, sf)), USER), "load", "ctl", "atl", "tsb", "acwr")
 

@@ -15,7 +15,7 @@ from tidemark.operators import trend as N
 from tidemark.plans import views as V
 from tidemark.plans.queries_series import ONE, rounded
 from tidemark.plans.views import DENSE_SQL, ORDERS_TODAY, SERIES_SQL, with_sql
-from tidemark.registry import register
+from tidemark.registry import ORACLE, register
 
 YEAR_SQL = "year AS (SELECT * FROM series WHERE date BETWEEN DATE '2000-08-01' AND DATE '2001-08-01')"
 
@@ -143,6 +143,36 @@ def j9(spark, sf):
     return rounded(N.trends(year(spark, sf), ONE), "mk_p", "drift_p", "change_pct").select("metric_key", "n", "mk_p", "drift_p", "significant", "direction", "change_pct")
 
 
+WHOLE_SQL = "year AS (SELECT * FROM series)"
+
+
+def of_years(sql: str) -> str:
+    """The same SQL over the whole series."""
+    return sql.replace(YEAR_SQL, WHOLE_SQL)
+
+
+@register("c8_pairwise_trend_of_years", of_years(ORACLE["c8_pairwise_trend"]))
+def c8_long(spark, sf):
+    """Kendall's S by merging and the Theil-Sen slope by selection, no pairs formed but those about the median."""
+    return N.trends(V.series(spark, sf), ONE).select("metric_key", "s", F.round("sen_slope_per_day", 9).alias("sen"))
+
+
+@register("j4_mann_kendall_of_years", of_years(ORACLE["j4_mann_kendall"]))
+def j4_long(spark, sf):
+    t = N.trends(V.series(spark, sf), ONE)
+    return t.select("metric_key", "s", F.round("sen_slope_per_day", 9).alias("sen"), F.round("variance_inflation", 6).alias("inflation"), F.round("mk_z", 6).alias("z"), F.round("mk_p", 6).alias("p"))
+
+
+@register("j9_trend_verdict_of_years", of_years(VERDICT_SQL))
+def j9_verdict_long(spark, sf):
+    return rounded(N.trends(V.series(spark, sf), ONE), "mk_p", "drift_p", "change_pct").select("metric_key", "n", "mk_p", "drift_p", "significant", "direction", "change_pct")
+
+
+@register("i10_welch_and_effect_of_years", of_years(ORACLE["i10_welch_and_effect"]))
+def i10_long(spark, sf):
+    return rounded(I.two_groups(V.series(spark, sf), ONE, "value", F.col("date") >= F.lit("2001-02-01").cast("date")), "mean_a", "mean_b", "t", "df", "p", "effect")
+
+
 @register("j9_trends_of_years")
 def j9_long(spark, sf):
     """Trends of the whole long series: millions of pairs each."""
