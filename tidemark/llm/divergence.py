@@ -1,6 +1,6 @@
 """Audit of how far the sources of a language diverge in their words, in plain relations.
 
-Regexp matches are exploded and counted by (lang, source, term) in one pre-aggregated
+Regexp matches (what a split by the other characters leaves) are exploded and counted by (lang, source, term) in one pre-aggregated
 exchange; a term's first match in each document is flagged before, so that the same sums
 give document frequencies. A language keeps the terms in at least ``min_docs`` of its
 documents. Each (lang, source) group is crossed with its language's kept terms, which
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import ascii_lower, materialize, text_or_empty
+from tidemark.llm.common import ascii_lower, materialize, runs_between, text_or_empty
 
-#: Runs of letters, all characters beyond ASCII among them.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms are runs of letters, all characters beyond ASCII among them.
+SEPARATORS = r"\x00-\x40\x5B-\x60\x7B-\x7F"
 SCALE = 1_000_000_000
 
 
@@ -47,7 +47,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, count, df) of all documents."""
     lower = ascii_lower(text_or_empty("text"))
     terms = docs.select(
-        text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.sort_array(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("terms")
+        text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.sort_array(runs_between(lower, SEPARATORS)).alias("terms")
     )
     flagged = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("first")))
     return terms.select("lang", "source", F.inline(flagged)).groupBy("lang", "source", "term").agg(F.count("*").alias("count"), F.sum("first").alias("df"))
