@@ -145,6 +145,7 @@ def test_goal_rules(spark):
 
 
 def test_streaming_upsert(spark, tmp_path):
+    from tidemark.sources.versioned import VersionedStore
     from tidemark.streaming import ingest
 
     schema = "user_id long, date date, metric_key string, value double, source string, seq long"
@@ -152,4 +153,4 @@ def test_streaming_upsert(spark, tmp_path):
     for seq, value in ((1, 5.0), (2, 6.0)):
         spark.createDataFrame([(1, START, "m", value, "csv", seq)], schema).write.mode("append").parquet(source)
         ingest.start(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "check")).awaitTermination()
-    assert [r["value"] for r in spark.read.parquet(f"{target}/v1").collect()] == [6.0]
+    assert [r["value"] for r in VersionedStore(spark, target).read().collect()] == [6.0]

@@ -1,8 +1,8 @@
-"""Incremental ingest: batches of a stream are written over the store.
+"""Incremental ingest: batches of a stream are written over the versioned store.
 
-Everything derived is recomputed from the store, so late rows need no watermark: a
-batch replaces the values of its own keys and the metrics it touches are returned
-for recomputation.
+Rows keep their sequence numbers, so late rows need no watermark and a batch that is
+delivered again changes nothing. The keys that a batch changes, and the first day of
+each, go to a callback, which recomputes what is derived from them.
 """
 
 from __future__ import annotations
@@ -12,30 +12,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.store import upsert
+from tidemark.sources.versioned import VersionedStore
 
 
 def upsert_batch(batch: DataFrame, store_path: str, order: str = "seq") -> DataFrame:
-    """Write one batch over the store at ``store_path`` (versions side by side); its (user, metric) keys."""
-    spark = batch.sparkSession
-    paths = spark._jvm.org.apache.hadoop.fs.Path(store_path)
-    files = paths.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in files.listStatus(paths) if s.getPath().getName().startswith("v")) if files.exists(paths) else []
-    if versions:
-        store = upsert(spark.read.parquet(f"{store_path}/v{versions[-1]}"), batch, order)
-    else:
-        store = upsert(batch.limit(0), batch, order)
-    store.write.mode("overwrite").parquet(f"{store_path}/v{versions[-1] + 1 if versions else 0}")
-    return batch.select("user_id", "metric_key").distinct()
-
-
-def start(stream: DataFrame, store_path: str, checkpoint: str, changed: Callable[[DataFrame], None] | None = None, order: str = "seq") -> StreamingQuery:
-    """Run the ingest over what there is (call again, or give a trigger, to go on)."""
+    """Write one batch over the store at ``store_path``; (user_id, metric_key, first_day) of what it changed."""
+    return VersionedStore(batch.sparkSession, store_path).upsert(batch, order)
+
+
+def start(stream: DataFrame, store_path: str, checkpoint: str, changed: Callable[[DataFrame], None] | None = None, order: str = "seq", keep: int = 2) -> StreamingQuery:
+    """Run the ingest over what there is (call again, or give a trigger, to go on); ``keep`` manifests stay readable."""
 
     def each(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             keys = upsert_batch(batch, store_path, order)
             if changed:
                 changed(keys)
+            VersionedStore(batch.sparkSession, store_path).vacuum(keep)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
