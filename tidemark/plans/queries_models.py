@@ -15,7 +15,7 @@ from tidemark.plans import derive, report, tools
 from tidemark.plans import views as V
 from tidemark.plans.queries_series import ONE, rounded
 from tidemark.plans.queries_statistics import VERDICT_SQL
-from tidemark.plans.views import DENSE_SQL, EVENTS_TODAY, ORDERS_TODAY, SERIES_SQL, SETS_SQL, SETS_TODAY, WORKOUTS_SQL, with_sql
+from tidemark.plans.views import DENSE_SQL, EVENTS_TODAY, ORDERS_TODAY, RESOLVED_SQL, SERIES_SQL, SETS_SQL, SETS_TODAY, WORKOUTS_SQL, with_sql
 from tidemark.registry import ORACLE, register
 
 USER = ["user_id"]
@@ -413,11 +413,70 @@ def as_domain(points):
     return points.replace(DOMAIN, subset=["metric_key"])
 
 
-@register("k11_recompute_derived")
+DOMAIN_SQL = (
+    "dom AS (SELECT user_id, date, value, CASE metric_key "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DOMAIN.items())
+    + " ELSE metric_key END AS metric_key FROM resolved)"
+)
+HEART_SQL = """heart AS (SELECT user_id, median(value) AS resting FROM dom WHERE metric_key = 'resting_hr' GROUP BY 1),
+worked AS (SELECT best.*, coalesce(resting, 55.0) AS resting FROM best LEFT JOIN heart ON heart.user_id = best.user_id),
+loaded AS (SELECT *, CASE WHEN duration_min <= 0 THEN 0 ELSE least(600, CASE WHEN coalesce(avg_hr, 0) <> 0 AND resting < 190 THEN duration_min * hrr * 0.64 * exp(1.92 * hrr) WHEN coalesce(rpe, 0) <> 0 THEN duration_min * rpe ELSE duration_min * 2.5 END) END AS load
+  FROM (SELECT *, greatest(0, least(1, (avg_hr - resting) / nullif(190.0 - resting, 0))) AS hrr FROM worked) t)"""
+DERIVED_SQL = """mass AS (SELECT w.user_id, w.date, w.value * (b.value / 100) AS fat, w.value * (1 - b.value / 100) AS lean FROM dom w JOIN dom b ON b.user_id = w.user_id AND b.date = w.date AND w.metric_key = 'weight_kg' AND b.metric_key = 'body_fat_pct'),
+form AS (SELECT user_id, date, load, ctl, atl, lag(ctl - atl) OVER (PARTITION BY user_id ORDER BY date) AS tsb FROM m),
+z AS (SELECT user_id, metric_key, date, CASE WHEN n >= 10 AND sd > 0 THEN (value - mean) / sd END AS z FROM (
+  SELECT *, count(value) OVER w AS n, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS sd FROM dom WHERE metric_key IN ('hrv_ms', 'resting_hr', 'sleep_hours') WINDOW w AS (PARTITION BY user_id, metric_key ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) t),
+part AS (SELECT user_id, date, 50 + 20 * greatest(-2.5, least(2.5, CASE WHEN metric_key = 'resting_hr' THEN -z ELSE z END)) AS score, CASE metric_key WHEN 'hrv_ms' THEN 0.35 WHEN 'resting_hr' THEN 0.30 ELSE 0.25 END AS w FROM z WHERE z IS NOT NULL
+  UNION ALL SELECT user_id, date, 50 + 0.8 * greatest(-40, least(25, tsb)), 0.1 FROM form WHERE tsb IS NOT NULL),
+ready AS (SELECT user_id, date, greatest(0, least(100, sum(score * w) / sum(w))) AS value FROM part GROUP BY 1, 2 HAVING round(CAST(sum(w) AS DOUBLE), 9) >= 0.5),
+day AS (SELECT user_id, date, sum(weight_kg * reps) AS v, CAST(count(*) AS DOUBLE) AS n, CAST(sum(reps) AS DOUBLE) AS r, CAST(count(CASE WHEN rpe >= 7 THEN 1 END) AS DOUBLE) AS h, max(weight_kg) AS t FROM sets GROUP BY 1, 2),
+heavy AS (SELECT * FROM sets WHERE weight_kg > 0 AND reps BETWEEN 1 AND 12),
+main AS (SELECT user_id, exercise FROM (SELECT user_id, exercise, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, exercise) AS k FROM heavy GROUP BY 1, 2) t WHERE k <= 6),
+e AS (SELECT heavy.user_id, heavy.exercise, date, max(weight_kg * (1 + reps / 30.0E0)) AS best FROM heavy JOIN main ON main.user_id = heavy.user_id AND main.exercise = heavy.exercise GROUP BY 1, 2, 3),
+lifted AS (SELECT DISTINCT user_id, date FROM e),
+tops AS (SELECT lifted.user_id, lifted.date, e.exercise, max(e.best) AS top FROM lifted JOIN e ON e.user_id = lifted.user_id AND e.date <= lifted.date GROUP BY 1, 2, 3),
+every AS (SELECT user_id, date, 'lean_mass_kg' AS metric_key, lean AS value FROM mass UNION ALL SELECT user_id, date, 'fat_mass_kg', fat FROM mass
+  UNION ALL SELECT user_id, date, 'training_load', load FROM daily UNION ALL SELECT user_id, date, 'workout_min', minutes FROM daily WHERE minutes > 0
+  UNION ALL SELECT user_id, date, 'ctl', ctl FROM form UNION ALL SELECT user_id, date, 'atl', atl FROM form UNION ALL SELECT user_id, date, 'tsb', tsb FROM form UNION ALL SELECT user_id, date, 'acwr', CASE WHEN ctl > 1 THEN atl / ctl END FROM form
+  UNION ALL SELECT user_id, date, 'readiness', value FROM ready
+  UNION ALL SELECT user_id, date, 'training_volume_kg', v FROM day WHERE v <> 0 UNION ALL SELECT user_id, date, 'sets_count', n FROM day WHERE n <> 0 UNION ALL SELECT user_id, date, 'reps_total', r FROM day WHERE r <> 0
+  UNION ALL SELECT user_id, date, 'hard_sets', h FROM day WHERE h <> 0 UNION ALL SELECT user_id, date, 'top_set_kg', t FROM day WHERE t <> 0
+  UNION ALL SELECT user_id, date, 'strength_index', sum(top) FROM tops GROUP BY 1, 2)"""
+RECOMPUTED_SQL = (
+    recursive_sql(RESOLVED_SQL, DOMAIN_SQL, WORKOUTS_SQL, BEST_SQL, HEART_SQL, DAILY_SQL, GRID_OF_LOADS_SQL, SCAN_SQL, SETS_SQL, DERIVED_SQL)
+    + "SELECT user_id, date, metric_key, round(CAST(value AS DOUBLE), 7) AS value, 'derived' AS source FROM every WHERE value IS NOT NULL"
+)
+
+
+def domain_store(points):
+    return as_domain(T.resolve(points).select("user_id", "metric_key", "date", "value"))
+
+
+@register("k11_recompute_derived", RECOMPUTED_SQL)
 def k11(spark, sf):
     """All derived metrics of all users in one job."""
-    renamed = as_domain(T.resolve(V.store(spark, sf)).select("user_id", "metric_key", "date", "value"))
-    return rounded(derive.recompute(renamed, V.workouts(spark, sf), V.sets(spark, sf)), "value", digits=4)
+    return rounded(derive.recompute(domain_store(V.store(spark, sf)), V.workouts(spark, sf), V.sets(spark, sf)), "value", digits=7)
+
+
+@register("k11_recompute_affected", RECOMPUTED_SQL)
+def k11_affected(spark, sf):
+    """Derived metrics after late rows, of the users and days that these affect: the same as all of them anew.
+
+    Late are the readings of every fourth day of the store, and the sessions and sets of its last days.
+    """
+    path, day = V.scratch(spark, "derived"), F.col("date")
+    points, workouts, sets = V.store(spark, sf), V.workouts(spark, sf), V.sets(spark, sf)
+    late = (F.dayofmonth("date") % 4 == 0, day >= F.lit("2001-06-01").cast("date"), day >= F.lit("1998-09-01").cast("date"))
+    before = [frame.where(~is_late) for frame, is_late in zip((points, workouts, sets), late, strict=True)]
+    derive.recompute(domain_store(before[0]), *before[1:]).write.parquet(f"{path}/before")
+    first = F.min("date").alias("first_day")
+    changes = as_domain(points.where(late[0]).groupBy("user_id", "metric_key").agg(first))
+    for frame, name, is_late in ((workouts, "workouts", late[1]), (sets, "sets", late[2])):
+        changes = changes.unionByName(frame.where(is_late).groupBy("user_id").agg(first).withColumn("metric_key", F.lit(name)))
+    changes.write.parquet(f"{path}/changes")
+    old = spark.read.parquet(f"{path}/before")
+    rows, slices = derive.recompute_affected(domain_store(points), workouts, sets, old, spark.read.parquet(f"{path}/changes"))
+    return rounded(derive.replaced(old, rows, slices), "value", digits=7)
 
 
 @register(
