@@ -10,7 +10,6 @@ series, which is one user's years of one metric. No Python worker runs.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,15 +26,10 @@ def states(columns: Sequence[Column]) -> Column:
 
 def moved(column: str, width: int, power: np.ndarray) -> Column:
     """Every state, from ``width`` on with M^width times the state ``width`` before it added."""
-    names = [f"x{i}" for i in range(len(power))]
-
-    def with_earlier(v: Column, p: Column) -> Column:
-        grown = [reduce(lambda a, b: a + b, [p[n] * float(f) for n, f in zip(names, line, strict=True) if f], v[name]) for name, line in zip(names, power, strict=True)]
-        return F.struct(*[c.alias(n) for c, n in zip(grown, names, strict=True)])
-
-    x, size = F.col(column), F.size(column)
-    later = F.zip_with(F.slice(x, F.lit(width + 1), size - width), F.slice(x, F.lit(1), size - width), with_earlier)
-    return F.when(size <= width, x).otherwise(F.concat(F.slice(x, 1, width), later))
+    grown = [f"'x{i}', v.x{i}" + "".join(f" + p.x{j} * {float(f)!r}D" for j, f in enumerate(line) if f) for i, line in enumerate(power)]
+    later, earlier = f"slice({column}, {width + 1}, size({column}) - {width})", f"slice({column}, 1, size({column}) - {width})"
+    step = f"zip_with({later}, {earlier}, (v, p) -> named_struct({', '.join(grown)}))"
+    return F.expr(f"CASE WHEN size({column}) <= {width} THEN {column} ELSE concat(slice({column}, 1, {width}), {step}) END")
 
 
 def scanned(rows: DataFrame, column: str, matrix: Sequence[Sequence[float]]) -> DataFrame:

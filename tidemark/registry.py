@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tidemark.plans import queries_ingest, queries_models, queries_relational, queries_series, queries_statistics  # noqa: E402, F401
+from tidemark.plans import queries_ingest, queries_models, queries_relational, queries_series, queries_statistics, queries_sync  # noqa: E402, F401
