@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,17 +42,31 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-#: Tables written so far and not yet deleted, in order.
-_WRITTEN: list[DataFrame] = []
+#: Tables that the ``finished`` run of this thread has written and not yet deleted, in order.
+_WRITTEN: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
 
 
 def owned(df: DataFrame, path: str, table_name: str | None = None) -> DataFrame:
-    """``df``, which reads what we wrote to ``path``, known to ``discard`` and ``finished``."""
+    """``df``, which reads what we wrote to ``path``, known to ``discard`` and to the ``finished`` run that wrote it."""
     df.written_to, df.table_name = path, table_name
-    _WRITTEN.append(df)
+    held = _WRITTEN.get()
+    if held is not None:
+        held.append(df)
     return df
 
 
+@contextmanager
+def emptied_on_failure(spark: SparkSession, path: str, table_name: str | None = None) -> Iterator[None]:
+    """What a failed write has left is deleted."""
+    try:
+        yield
+    except BaseException:
+        if table_name:
+            spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        delete_folder(spark, path)
+        raise
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -58,7 +74,8 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     columnar table to prune.
     """
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+    with emptied_on_failure(df.sparkSession, path):
+        df.write.option("compression", codec).parquet(path)
     return owned(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
@@ -70,7 +87,8 @@ def bucketed(df: DataFrame, key: str, n_bytes: int, bucket_bytes: int = 64 << 20
     """
     spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"tidemark_{uuid.uuid4().hex}"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes))
-    df.repartition(n, key).write.format("parquet").option("compression", codec).option("path", path).bucketBy(n, key).saveAsTable(name)
+    with emptied_on_failure(spark, path, name):
+        df.repartition(n, key).write.format("parquet").option("compression", codec).option("path", path).bucketBy(n, key).saveAsTable(name)
     return owned(spark.table(name), path, name)
 
 
@@ -96,18 +114,27 @@ def discard(*tables: DataFrame) -> None:
         if df.table_name:
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
         delete_folder(df.sparkSession, df.written_to)
-        _WRITTEN[:] = [held for held in _WRITTEN if held.written_to != df.written_to]
+        held = _WRITTEN.get()
+        if held is not None:
+            held[:] = [other for other in held if other.written_to != df.written_to]
     gc.collect()
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def finished(make: Callable[[], DataFrame]) -> DataFrame:
-    """The written result of ``make``, and nothing else of what it wrote on the way."""
-    before = {df.written_to for df in _WRITTEN}
-    out = materialize(make())
-    discard(*[df for df in _WRITTEN if df.written_to not in before and df is not out])
-    return out
+    """The written result of ``make``, and nothing else of what it wrote on the way, even where it fails.
+
+    Each run knows its own tables only, so queries of several threads don't meet.
+    """
+    outer = _WRITTEN.set([])
+    out = None
+    try:
+        out = materialize(make())
+    finally:
+        discard(*[df for df in _WRITTEN.get() if df is not out])
+        _WRITTEN.reset(outer)
+    return owned(out, out.written_to)
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
