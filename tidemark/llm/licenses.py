@@ -212,19 +212,22 @@ def brute_sql(templates: Sequence[tuple[str, str, str]] = TEMPLATES, phrases: Se
     """DuckDB SQL that holds every block of every document against every template, for ``summarise(scan(documents))``."""
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     made = ", ".join(f"('{t.name}', '{t.label}', {listed(t.words)}, {t.need}, {t.stride})" for t in prepared(templates, threshold))
-    said = ", ".join(f"('{label}', {listed(split_words(p))})" for p, label in phrases)
+    said = [(split_words(p), label) for p, label in phrases]
+    ahead = "".join(f", lead(w, {i}) OVER (PARTITION BY k ORDER BY word) AS w{i}" for i in range(1, max(len(p) for p, _ in said)))
+    places = " UNION ALL ".join(
+        f"SELECT k, '{label}' AS label, word FROM ahead WHERE w = '{p[0]}'" + "".join(f" AND w{i} = '{w}'" for i, w in enumerate(p) if i) for p, label in said
+    )
     return rf"""
         WITH templates(name, label, tokens, need, stride) AS (VALUES {made}),
-        phrases(label, said) AS (VALUES {said}),
         d AS (SELECT row_number() OVER () AS k, doc_id,
                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{SEPARATORS}]+') AS words FROM documents),
-        placed AS (SELECT k, words, unnest(generate_series(0, len(words) - 1)) AS word FROM d),
-        place AS (SELECT k, label, word FROM placed, phrases WHERE words[word + 1] = said[1] AND words[word + 1 : word + len(said)] = said),
+        word AS (SELECT k, unnest(words) AS w, unnest(generate_series(0, len(words) - 1)) AS word FROM d),
+        ahead AS (SELECT *{ahead} FROM word),
+        place AS ({places}),
         base AS (SELECT k, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM place GROUP BY k),
-        block AS (SELECT k, stride, words[b + 1 : b + 2 * stride] AS held
-            FROM (SELECT k, words, stride, unnest(generate_series(0, len(words) - 1, stride)) AS b FROM d, (SELECT DISTINCT stride FROM templates) s) u),
-        meets AS (SELECT k, label, len(list_intersect(held, tokens)) / len(tokens) AS share
-            FROM block JOIN templates USING (stride) WHERE len(list_intersect(held, tokens)) >= need),
+        token AS (SELECT name, label, need, stride, len(tokens) AS size, unnest(tokens) AS w FROM templates),
+        held AS (SELECT k, name, label, need, size, word.w, unnest([word // stride, word // stride - 1]) AS block FROM word JOIN token ON token.w = word.w),
+        meets AS (SELECT k, label, count(DISTINCT w) / size AS share FROM held WHERE block >= 0 GROUP BY k, name, label, need, size, block HAVING count(DISTINCT w) >= need),
         every AS (SELECT k, label FROM place UNION SELECT k, label FROM meets),
         label AS (SELECT k, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY k),
         best AS (SELECT k, max(share) AS share FROM meets GROUP BY k)
