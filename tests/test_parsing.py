@@ -41,6 +41,33 @@ def test_header_maps_and_plans():
     assert [(c.header, c.metric, c.transform, c.scale) for c in clean.columns] == [("a", "weight_kg", "none", None), ("b", None, "none", None), ("d", "date", "none", None)]
 
 
+def test_proposals_are_made_fit():
+    new = ingest.NewMetric("x" * 99, "u" * 30, "nonsense", "yes", "median", 9.7)
+    assert ingest.checked_metric(new, "h") == ingest.NewMetric("x" * 60, "u" * 16, "custom", None, "mean", 4)
+    assert ingest.checked_metric(ingest.NewMetric("", None, "body", True, "sum", float("nan")), "h") == ingest.NewMetric("h", None, "body", True, "sum", 2)
+    C = ingest.ColumnPlan
+    sets = ingest.ImportPlan("sets", (C("a", "reps"), C("b", "reps", confidence="sure"), C("c", "mood", new_metric=new), C("d", "date", reasoning="r" * 300)), ("w" * 300,) * 9)
+    clean = ingest.sanitise(sets, ["a", "b", "c", "d", "e"], {"mood"}, {})
+    assert [(c.header, c.metric, c.confidence) for c in clean.columns] == [("a", "reps", "high"), ("b", None, "medium"), ("c", None, "high"), ("d", "date", "high"), ("e", None, "low")]
+    assert len(clean.columns[3].reasoning) == 200 and [len(w) for w in clean.warnings] == [220] * 6
+    metrics = ingest.ImportPlan("other", (C("a", "cups", new_metric=new), C("b", "tea"), C("c", "9lives", new_metric=new), C("d", " weight_kg ")))
+    clean = ingest.sanitise(metrics, ["a", "b", "c", "d", "e", "f"], {"weight_kg"}, {"e": 0.7, "f": 0.7})
+    assert clean.kind == "metrics" and [c.metric for c in clean.columns] == ["cups", None, None, "weight_kg", "date", None]
+    assert ingest.new_definitions(clean) == [("cups", "x" * 60, "u" * 16, "custom", None, "mean", 4, True)]
+    assert [c.metric for c in ingest.sanitise(metrics, ["a", "b"], set(), {}).columns] == ["cups", None]
+
+
+def test_implausible_columns_lower_the_confidence(spark):
+    rows = spark.createDataFrame([(i, str(150 + i), str(400 + i), "7") for i in range(9)], "k long, w string, s string, ok string")
+    C = ingest.ColumnPlan
+    plan = ingest.ImportPlan("metrics", (C("w", "weight_kg", "kg_to_lb" if "kg_to_lb" in ingest.TRANSFORMS else "none"), C("s", "sleep_hours", reasoning="by name"), C("ok", "sleep_hours")), tuple(f"w{i}" for i in range(9)))
+    checked = ingest.checked_plan(rows, plan, "k")
+    by_header = {c.header: c for c in checked.columns}
+    assert by_header["s"].confidence == "low" and by_header["s"].reasoning.startswith("by name; about 404") and by_header["ok"].confidence == "high"
+    assert len(checked.warnings) <= 10 and checked.warnings[:9] == plan.warnings and checked.warnings[9].endswith(("would fit", "check the unit"))
+    assert ingest.checked_plan(rows, ingest.ImportPlan("sets", plan.columns), "k").columns == plan.columns
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text('﻿day ; "a note"\r\n2024-01-01;"says ""hi""; ok"\r\n ; \r\n2024-01-02;"two\nlines"\r\n')
     rows = files.read_csv(spark, str(tmp_path / "x.csv"))

@@ -193,17 +193,11 @@ LIFTS: dict[str, tuple[str, dict[str, list[float]]]] = {
     "deadlift": (r"(?i)deadlift", {"male": [1.00, 1.40, 2.00, 2.65, 3.25], "female": [0.70, 1.05, 1.55, 2.05, 2.55]}),
 }
 
-# The metrics of the snapshot section, and the candidate inputs of the driver section.
+# The metrics of the snapshot section.
 KEY_SNAPSHOT_METRICS = [
     "weight_kg", "body_fat_pct", "lean_mass_kg", "resting_hr", "hrv_ms", "sleep_hours",
     "readiness", "steps", "active_zone_min", "ctl", "tsb", "deep_work_hours", "focus_score", "vo2max",
 ]
-DRIVER_CANDIDATES = [
-    "sleep_hours", "sleep_efficiency", "deep_sleep_min", "rem_sleep_min", "sleep_start_hour",
-    "hrv_ms", "resting_hr", "steps", "active_zone_min", "training_load", "workout_min",
-    "calories_in", "protein_g", "alcohol_units", "water_l", "tsb",
-    "meditation_min", "screen_time_h", "stress", "energy",
-]
 
 
 def is_derived_pair(a: str, b: str) -> bool:

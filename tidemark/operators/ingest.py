@@ -10,9 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.parse import parse_date, parse_duration, parse_number
-from tidemark.functions.vocab import ALIASES, CANDIDATES, PLAUSIBLE_RANGES, TRANSFORMS, WORKOUT_ALIASES
+from tidemark.functions.vocab import ALIASES, CANDIDATES, CORE_METRICS, PLAUSIBLE_RANGES, TRANSFORMS, WORKOUT_ALIASES
 
 SAMPLE = 200
+WARNINGS, BAD_DATES, SAMPLES = 10, 5, 3
+# Lengths that a plan's texts are cut to, its confidences, and the aggregates and precision of a new metric.
+REASON_LENGTH, WARNING_LENGTH, PLAN_WARNINGS, LABEL_LENGTH, UNIT_LENGTH = 200, 220, 6, 60, 16
+CONFIDENCES, AGGREGATES, MOST_PRECISE = ("high", "medium", "low"), ("mean", "sum", "last", "max", "min"), 4
+NEW_KEY = r"[a-z][a-z0-9_]{1,48}"
+
+
+@dataclass(frozen=True)
+class NewMetric:
+    """The dictionary entry of a metric that an import brings along."""
+
+    label: str
+    unit: str | None = None
+    category: str = "custom"
+    higher_is_better: bool | None = None
+    agg: str = "mean"
+    precision: int = 2
 
 
 @dataclass(frozen=True)
@@ -24,6 +41,9 @@ class ColumnPlan:
     transform: str = "none"
     scale: float | None = None
     confidence: str = "high"
+    reasoning: str = ""
+    #: What a key that is not known yet is to be; only with it a new key is taken.
+    new_metric: NewMetric | None = None
 
 
 @dataclass(frozen=True)
@@ -50,12 +70,18 @@ def auto_map(headers: list[str], kind: str = "metrics") -> dict[str, str]:
 
 
 def profile(rows: DataFrame, headers: list[str], order: str) -> DataFrame:
-    """(header, filled, numeric_ratio, date_ratio) over the first ``SAMPLE`` rows by ``order``."""
-    first = rows.orderBy(order).limit(SAMPLE).select(*[F.col(h).cast("string").alias(h) for h in headers])
-    cells = first.unpivot([], headers, "header", "cell").where(F.trim("cell") != "")
+    """(header, filled, numeric_ratio, date_ratio, samples) over the first ``SAMPLE`` rows by ``order``.
+
+    ``samples`` are the first three cells that are not blank.
+    """
+    first = rows.orderBy(order).limit(SAMPLE).select(F.col(order).alias("_order"), *[F.col(f"`{h}`").cast("string").alias(h) for h in headers])
+    cells = first.unpivot(["_order"], [F.col(f"`{h}`") for h in headers], "header", "cell").where(F.trim("cell") != "")
     cell = F.col("cell")
     number = parse_number(cell).isNotNull() | parse_duration(cell).isNotNull()
-    return cells.groupBy("header").agg(F.count("*").alias("filled"), F.avg(number.cast("double")).alias("numeric_ratio"), F.avg(parse_date(cell).isNotNull().cast("double")).alias("date_ratio"))
+    samples = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_order", "cell"))), 1, SAMPLES), lambda s: s["cell"])
+    return cells.groupBy("header").agg(
+        F.count("*").alias("filled"), F.avg(number.cast("double")).alias("numeric_ratio"), F.avg(parse_date(cell).isNotNull().cast("double")).alias("date_ratio"), samples.alias("samples")
+    )
 
 
 def rules_plan(headers: list[str], date_ratios: dict[str, float], kind: str = "metrics") -> ImportPlan:
@@ -68,28 +94,60 @@ def rules_plan(headers: list[str], date_ratios: dict[str, float], kind: str = "m
     return ImportPlan(kind, tuple(ColumnPlan(h, mapped.get(h)) for h in headers))
 
 
+def field_names(kind: str) -> set[str] | None:
+    """The fields of sessions and sets, one column each; metrics have an open vocabulary."""
+    return {"workouts": {"date", "type", "name", *WORKOUT_NUMBERS}, "sets": {"date", "session_name", "exercise", "notes", *SET_NUMBERS}}.get(kind)
+
+
+def checked_metric(new: NewMetric, header: str) -> NewMetric:
+    """A new metric's entry with every value in bounds."""
+    label, unit = str(new.label or header)[:LABEL_LENGTH], str(new.unit)[:UNIT_LENGTH] if new.unit else None
+    whole = isinstance(new.precision, (int, float)) and new.precision == new.precision
+    return NewMetric(
+        label, unit, new.category if new.category in {c for _, _, _, c, *_ in CORE_METRICS} else "custom", new.higher_is_better if isinstance(new.higher_is_better, bool) else None,
+        new.agg if new.agg in AGGREGATES else "mean", int(min(MOST_PRECISE, max(0, new.precision))) if whole else 2,
+    )
+
+
+def checked_column(c: ColumnPlan, fields: set[str] | None, known: set[str], used: set[str]) -> ColumnPlan:
+    """A proposed column with a key, a conversion and a factor that exist."""
+    metric, new = c.metric.strip() if isinstance(c.metric, str) and c.metric != "-" else None, None
+    if metric and fields is not None:
+        metric = metric if metric in fields and metric not in used else None
+    elif metric == "date":
+        metric = None if "date" in used else metric
+    elif metric and metric not in known:
+        new = checked_metric(c.new_metric, c.header) if c.new_metric and re.fullmatch(NEW_KEY, metric) else None
+        metric = metric if new else None
+    usable = isinstance(c.scale, (int, float)) and c.scale == c.scale and abs(c.scale) not in (0.0, float("inf"))
+    return replace(
+        c, metric=metric or None, transform=c.transform if c.transform in TRANSFORMS else "none", scale=c.scale if usable else None,
+        confidence=c.confidence if c.confidence in CONFIDENCES else "medium", reasoning=str(c.reasoning or "")[:REASON_LENGTH], new_metric=new,
+    )
+
+
 def sanitise(plan: ImportPlan, headers: list[str], known: set[str], date_ratios: dict[str, float]) -> ImportPlan:
-    """A proposed plan without unknown columns, metrics, conversions or repeated fields, and with a date column."""
+    """A proposed plan as one that can be carried out: a column for each header, and a date column.
+
+    Unknown columns, keys, conversions and factors go. Sessions and sets take each field
+    once, the first column that claims it; a metric that is not known is taken only with
+    a new entry and a well-formed key. Without a date column the first that is date-like
+    in more than four cells of five becomes it, else the most date-like.
+    """
+    kind = plan.kind if plan.kind in ("workouts", "sets") else "metrics"
+    proposed = {c.header: c for c in plan.columns}
     used: set[str] = set()
     columns = []
-    for c in plan.columns:
-        metric = c.metric
-        if c.header not in headers or c.header in {x.header for x in columns}:
-            continue
-        if metric is not None and metric != "date" and metric not in known and not re.fullmatch(r"[a-z][a-z0-9_]{1,48}", metric):
-            metric = None
-        if metric is not None and metric in used and (plan.kind != "metrics" or metric == "date"):
-            metric = None
-        used |= {metric} - {None}
-        ok = c.scale is not None and c.scale == c.scale and abs(c.scale) not in (0.0, float("inf"))
-        columns.append(replace(c, metric=metric, transform=c.transform if c.transform in TRANSFORMS else "none", scale=c.scale if ok else None))
+    for header in headers:
+        c = checked_column(proposed[header], field_names(kind), known, used) if header in proposed else ColumnPlan(header, None, confidence="low", reasoning="not classified")
+        used |= {c.metric} - {None}
+        columns.append(c)
     if "date" not in used and headers:
-        best = max(headers, key=lambda h: (date_ratios.get(h, 0.0) > 0.8, date_ratios.get(h, 0.0)))
-        if date_ratios.get(best, 0.0) > 0:
-            columns = [replace(c, metric="date") if c.header == best else c for c in columns]
-            if best not in {c.header for c in columns}:
-                columns.append(ColumnPlan(best, "date"))
-    return ImportPlan(plan.kind, tuple(columns), plan.warnings)
+        ratio = lambda h: date_ratios.get(h, 0.0)
+        best = next((h for h in headers if ratio(h) > 0.8), max(headers, key=ratio))
+        if ratio(best) > 0:
+            columns = [ColumnPlan(best, "date", reasoning="the most date-like column") if c.header == best else c for c in columns]
+    return ImportPlan(kind, tuple(columns), tuple(str(w)[:WARNING_LENGTH] for w in plan.warnings[:PLAN_WARNINGS]))
 
 
 def cell_value(column: ColumnPlan, raw: Column, is_duration: bool = False) -> Column:
@@ -111,6 +169,20 @@ def to_long(rows: DataFrame, plan: ImportPlan, keep: tuple[str, ...] = ()) -> Da
     return long.select(*keep, "date", "c.metric_key", "c.value", F.lit("csv").alias("source")).where("date IS NOT NULL AND value IS NOT NULL")
 
 
+def bad_dates(rows: DataFrame, plan: ImportPlan, order: str) -> DataFrame:
+    """(place, cell): the first five cells of the date column, by ``order``, that are no date."""
+    date = next(c for c in plan.columns if c.metric == "date")
+    cell = F.col(f"`{date.header}`").cast("string")
+    bad = rows.where(parse_date(F.coalesce(cell, F.lit(""))).isNull()).select(F.col(order).alias("place"), F.coalesce(cell, F.lit("(empty)")).alias("cell"))
+    return bad.orderBy("place").limit(BAD_DATES)
+
+
+def new_definitions(plan: ImportPlan) -> list[tuple]:
+    """Dictionary entries (as ``store.definitions`` has them) of the metrics that a plan brings along."""
+    made = {c.metric: c.new_metric for c in plan.columns if c.metric and c.new_metric}
+    return [(k, m.label, m.unit, m.category, m.higher_is_better, m.agg, m.precision, True) for k, m in made.items()]
+
+
 def _fields(rows: DataFrame, plan: ImportPlan, texts: tuple[str, ...], order: str) -> DataFrame:
     """One column for each mapped field: dates parsed, ``texts`` trimmed, the rest numbers."""
     def field(c: ColumnPlan) -> Column:
@@ -172,6 +244,25 @@ def implausible(rows: DataFrame, plan: ImportPlan, order: str) -> DataFrame:
     return out.groupBy("header", "metric_key", "median").agg(F.min_by(F.when(fits, F.col("candidate")), F.when(fits, F.col("place"))).alias("suggested"))
 
 
+def checked_plan(rows: DataFrame, plan: ImportPlan, order: str) -> ImportPlan:
+    """The plan with low confidence, and a warning, where a column's values are out of range.
+
+    A row a mapped column reaches the driver. At most ten warnings, the plan's own first.
+    """
+    if plan.kind != "metrics" or not any(c.metric in PLAUSIBLE_RANGES for c in plan.columns):
+        return plan
+    found = {r["header"]: r for r in implausible(rows, plan, order).collect()}
+    columns, warnings = [], list(plan.warnings)
+    for c in plan.columns:
+        if c.header in found and c.metric in PLAUSIBLE_RANGES:
+            low, high = PLAUSIBLE_RANGES[c.metric]
+            about, other = f"{found[c.header]['median']:.4g}", found[c.header]["suggested"]
+            warnings.append(f"{c.header}: as {c.metric} about {about}, expected {low:g} to {high:g}; " + (f"{other} would fit" if other else "check the unit"))
+            c = replace(c, confidence="low", reasoning=f"{c.reasoning}; about {about} is not within {low:g} to {high:g}".removeprefix("; "))
+        columns.append(c)
+    return replace(plan, columns=tuple(columns), warnings=tuple(warnings[:WARNINGS]))
+
+
 def fingerprint(fields: list[Column]) -> Column:
     """32-bit FNV-1a of joined fields, as an integer."""
     text = F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])

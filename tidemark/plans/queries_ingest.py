@@ -73,7 +73,21 @@ PROFILE_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "day", "o_orde
 )
 def a3(spark, sf):
     rows = V.table(spark, sf, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return N.profile(rows, PROFILE_COLUMNS, "o_orderkey")
+    return N.profile(rows, PROFILE_COLUMNS, "o_orderkey").drop("samples")
+
+
+@register(
+    "a3_samples",
+    """WITH f AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer), t AS (SELECT k, CASE WHEN k % 3 = 0 THEN ' ' ELSE c_name END AS a, CASE WHEN k % 2 = 0 THEN NULL ELSE c_mktsegment END AS b FROM f WHERE k <= 200)
+    SELECT 'a' AS header, (SELECT string_agg(a, '|' ORDER BY k) FROM (SELECT * FROM t WHERE trim(a) <> '' ORDER BY k LIMIT 3) x) AS samples UNION ALL SELECT 'b', (SELECT string_agg(b, '|' ORDER BY k) FROM (SELECT * FROM t WHERE b IS NOT NULL ORDER BY k LIMIT 3) x)""",
+)
+def a3_samples(spark, sf):
+    """The first three cells of each column that are not blank."""
+    from pyspark.sql import Window
+
+    numbered = V.table(spark, sf, "customer").withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_custkey")))
+    rows = numbered.select("k", F.when(F.col("k") % 3 == 0, " ").otherwise(F.col("c_name")).alias("a"), F.when(F.col("k") % 2 == 1, F.col("c_mktsegment")).alias("b"))
+    return N.profile(rows, ["a", "b"], "k").select("header", F.array_join("samples", "|").alias("samples"))
 
 
 PLAN = N.ImportPlan("metrics", (N.ColumnPlan("Day", "date"), N.ColumnPlan("Weight (lb)", "weight_kg", "lb_to_kg"), N.ColumnPlan("Slept", "sleep_hours", "min_to_h"), N.ColumnPlan("Steps", "steps"), N.ColumnPlan("Name", None)))
@@ -97,6 +111,64 @@ def a9(spark, sf):
     return rounded(N.to_long(export(spark, sf), PLAN, ("c_custkey",)), "value")
 
 
+@register(
+    "a9_bad_dates",
+    "SELECT c_custkey AS place, CASE WHEN c_custkey % 20 = 0 THEN '(empty)' ELSE 'day ' || c_custkey END AS cell FROM customer WHERE c_custkey % 10 = 0 ORDER BY c_custkey LIMIT 5",
+)
+def a9_bad(spark, sf):
+    """The first cells of the date column that are no date."""
+    k = F.col("c_custkey")
+    rows = V.table(spark, sf, "customer").select(k, F.when(k % 20 == 0, None).when(k % 10 == 0, F.concat(F.lit("day "), k)).otherwise("2024-02-01").alias("Day"))
+    return N.bad_dates(rows, N.ImportPlan("metrics", (N.ColumnPlan("Day", "date"),)), "c_custkey")
+
+
+def exported(spark, sf, sep):
+    """An export in a file with a separator, and what is read of it, in file order."""
+    path, k = scratch(spark, "export"), F.col("c_custkey")
+    V.table(spark, sf, "customer").select(
+        F.expr("CASE WHEN c_custkey % 10 = 0 THEN 'soon' ELSE date_format(date_add(DATE '2024-01-01', CAST(c_custkey % 300 AS INT)), 'dd.MM.yyyy') END").alias("Recorded"), (60 + k % 40).cast("string").alias("Body Weight"),
+        F.concat((6 + k % 3).cast("string"), F.lit(":30")).alias("Sleep Duration"), (5000 + k % 7000).cast("string").alias("My Total Steps"), F.col("c_name").alias("Remarks"), k.cast("string").alias("Row"), (k % 9).cast("string").alias("Espressos"),
+    ).write.option("header", True).option("sep", sep).csv(path)
+    return files.read_csv(spark, path)
+
+
+@register(
+    "a5_import_by_rules",
+    """WITH d AS (SELECT c_custkey, DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS date FROM customer WHERE c_custkey % 10 <> 0)
+    SELECT CAST(c_custkey AS VARCHAR) AS Row, date, 'weight_kg' AS metric_key, CAST(60 + c_custkey % 40 AS DOUBLE) AS value, 'csv' AS source FROM d UNION ALL SELECT CAST(c_custkey AS VARCHAR), date, 'sleep_hours', CAST(390 + c_custkey % 3 * 60 AS DOUBLE), 'csv' FROM d
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), date, 'steps', CAST(5000 + c_custkey % 7000 AS DOUBLE), 'csv' FROM d""",
+)
+def a5(spark, sf):
+    """A file to long rows with nothing given: separator, columns and date column are found.
+
+    Durations stay minutes: that hours were expected is a warning of the plan, whose conversion the user chooses.
+    """
+    rows = exported(spark, sf, "|")
+    numbered = rows.withColumn("_order", F.col("Row").cast("long"))
+    ratios = {r["header"]: r["date_ratio"] for r in N.profile(numbered, rows.columns, "_order").collect()}
+    plan = N.checked_plan(numbered, N.rules_plan(rows.columns, ratios), "_order")
+    return rounded(N.to_long(rows, plan, ("Row",)), "value")
+
+
+@register(
+    "a7_import_of_a_proposal",
+    """WITH d AS (SELECT c_custkey, DATE '2024-01-01' + CAST(c_custkey % 300 AS INTEGER) AS date FROM customer WHERE c_custkey % 10 <> 0)
+    SELECT CAST(c_custkey AS VARCHAR) AS Row, date, 'weight_kg' AS metric_key, CAST(60 + c_custkey % 40 AS DOUBLE) AS value, 'csv' AS source FROM d UNION ALL SELECT CAST(c_custkey AS VARCHAR), date, 'espressos', CAST(c_custkey % 9 AS DOUBLE), 'csv' FROM d""",
+)
+def a7(spark, sf):
+    """Long rows of a proposed plan with unknown keys, conversions and columns, a new metric, and no date column."""
+    rows = exported(spark, sf, ";")
+    numbered = rows.withColumn("_order", F.col("Row").cast("long"))
+    ratios = {r["header"]: r["date_ratio"] for r in N.profile(numbered, rows.columns, "_order").collect()}
+    new = N.NewMetric("Espressos", "cups", "no such", "yes", "median", 9)
+    wild = (
+        N.ColumnPlan("Body Weight", "weight_kg", "magic", float("nan")), N.ColumnPlan("My Total Steps", "paces"), N.ColumnPlan("Sleep Duration", "BAD KEY", new_metric=new),
+        N.ColumnPlan("Espressos", "espressos", new_metric=new), N.ColumnPlan("Not there", "mood"), N.ColumnPlan("Remarks", "-"),
+    )
+    plan = N.sanitise(N.ImportPlan("metrics", wild), rows.columns, {k for k, *_ in vocab.CORE_METRICS}, ratios)
+    return N.to_long(rows, plan, ("Row",))
+
+
 @register(
     "a8_plausibility",
     with_sql(RANGE_SQL)

@@ -230,6 +230,20 @@ def o3(spark, sf):
     return V.table(spark, sf, "customer").select(k, G.merge_json(old, new).alias("prefs"))
 
 
+@register(
+    "o3_json_merge_of_types",
+    """SELECT c_custkey, '{"age":' || (c_custkey % 70) || ',"goals":' || CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '[1,"two",false]' END || ',"on":' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END
+      || ',"scale":2.5,"units":{"mass":"' || CASE WHEN c_custkey % 3 = 0 THEN 'lb' ELSE 'kg' END || '"}}' AS prefs FROM customer""",
+)
+def o3_types(spark, sf):
+    """Numbers, booleans, nulls, arrays and objects over others; some patches are no objects."""
+    k = F.col("c_custkey")
+    old = F.concat(F.lit('{"units":{"mass":"kg"},"age":'), (k % 70).cast("string"), F.lit(',"on":false,"goals":[1,"two",false],"scale":2.5}'))
+    changes = [F.when(k % 2 == 0, '"on":true'), F.when(k % 3 == 0, '"units":{"mass":"lb"}'), F.when(k % 4 == 0, '"goals":null')]
+    new = F.when((k % 2 != 0) & (k % 3 != 0), F.when(k % 5 == 0, "[1]").when(k % 5 == 1, "not json")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *changes), F.lit("}")))
+    return V.table(spark, sf, "customer").select(k, G.merge_json(old, new).alias("prefs"))
+
+
 @register("f4_goal_order", with_sql(GOAL_ROWS) + "SELECT user_id, goal_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY status = 'active' DESC, start_date DESC, goal_id) AS INTEGER) AS place FROM goals")
 def f4(spark, sf):
     return G.goal_order(goal_rows(spark, sf)).select("user_id", "goal_id", "place")
