@@ -15,6 +15,7 @@ from tidemark.plans import views as V
 from tidemark.plans.queries_series import rounded
 from tidemark.plans.views import STORE_SQL, scratch, with_sql
 from tidemark.registry import register
+from tidemark.sources.log import LogSource
 from tidemark.sources.pages import KINDS, ROLLED_UP, WINDOW_DAYS, PagedSource, value_key
 from tidemark.sources.versioned import VersionedStore
 
@@ -161,3 +162,17 @@ def l1_folders(spark, sf):
             writes.setdefault(key, set()).add(version.split("-")[0])
     seen = spark.createDataFrame([(k, len(v)) for k, v in writes.items()], "metric_key string, writes int")
     return store.read().groupBy("metric_key").agg(F.count("*").alias("n")).join(seen, "metric_key")
+
+
+@register(
+    "a31_log_of_batches",
+    "SELECT user_id, event_id % 4 AS batch, count(*) AS n, max(event_type) AS last FROM events GROUP BY 1, 2",
+)
+def a31(spark, sf):
+    """Log rows in four batches, two of which are delivered again."""
+    LogSource.register(spark)
+    path, rows = scratch(spark, "log"), V.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    for batch in (0, 1, 1, 2, 3, 0):
+        rows.where(F.col("event_id") % 4 == batch).write.format("tidemark_log").options(path=path, batch=f"run {batch}").mode("append").save()
+    log = spark.read.format("tidemark_log").schema(rows.schema).options(path=path).load()
+    return log.groupBy("user_id", (F.col("event_id") % 4).alias("batch")).agg(F.count("*").alias("n"), F.max("event_type").alias("last"))

@@ -163,9 +163,9 @@ class PageReader(DataSourceReader):
         n = min(self.concurrency or len(every), len(every))
         return [Requests(every[i::n]) for i in range(n)]
 
-    def read(self, partition: Requests) -> Iterator[tuple]:
+    def read(self, partition: Requests | None) -> Iterator[tuple]:
         transport = Landed(self.root)
-        for request in partition.requests:
+        for request in partition.requests if partition is not None else []:
             for user in transport.users(request):
                 yield from documents(transport, user, request)
 
