@@ -19,7 +19,7 @@ the benchmark, and nothing is broadcast. Shared q-grams are counted ``LIMIT`` at
 texts and items share more (a template line of all items), texts and then items are
 halved. Whole texts are searched, ``GROUP`` characters together, a longer one by itself.
 
-Null and empty texts are clean. Items shorter than Q characters are looked for
+Null and empty texts are clean. Items shorter than 2 Q characters are looked for
 exactly, between word boundaries; empty items match nothing. Items that repeat an id are
 found under it if any of them is. Repeated rows are searched alike; an empty table gives no
 rows, an empty benchmark leaves every document clean; extra columns pass, but columns

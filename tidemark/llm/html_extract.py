@@ -17,6 +17,9 @@ the threshold, all its lines with weight are kept. The threshold is ``share`` of
 largest sum and at most ``most``, so that one very long block does not raise it. A line of
 links between two kept lines is kept as well.
 
+On pages with an article the added weight passes the threshold by itself, so there the
+tags decide and the windows change little or nothing; they decide on pages without one.
+
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by two line feeds. Nulls, empty pages and pages without text give
 the empty string. Broken markup (open tags at the end of a page or of a parent, stray
