@@ -1,8 +1,8 @@
 """Audit of how far the sources of a language diverge in their words, in plain relations.
 
-Regexp matches (what a split by the other characters leaves) are exploded and counted by (lang, source, term) in one pre-aggregated
-exchange; a term's first match in each document is flagged before, so that the same sums
-give document frequencies. A language keeps the terms in at least ``min_docs`` of its
+Regexp matches (what a split by the other characters leaves) are exploded and counted by
+(lang, source, term) in one pre-aggregated exchange; equal matches of a document leave it
+as one row with their number, so the same groups give document frequencies. A language keeps the terms in at least ``min_docs`` of its
 documents. Each (lang, source) group is crossed with its language's kept terms, which
 makes zeros dense, and the cells meet themselves on (lang, term): one pass gives the
 squared difference of every two sources, summed over all kept terms. All arithmetic is
@@ -44,13 +44,17 @@ def divergence(p: str, q: str) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, df) of all documents."""
+    """(lang, source, term, count, df) of all documents.
+
+    Equal terms of a document stand together in its sorted terms, so they leave it as one row.
+    """
     lower = ascii_lower(text_or_empty("text"))
-    terms = docs.select(
-        text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.sort_array(runs_between(lower, SEPARATORS)).alias("terms")
-    )
-    flagged = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == t), 0).otherwise(1).alias("first")))
-    return terms.select("lang", "source", F.inline(flagged)).groupBy("lang", "source", "term").agg(F.count("*").alias("count"), F.sum("first").alias("df"))
+    terms = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), F.sort_array(runs_between(lower, SEPARATORS)).alias("terms"))
+    begins = F.array_compact(F.transform("terms", lambda t, i: F.when((i == 0) | (F.get("terms", i - 1) != t), i)))
+    runs = terms.select("lang", "source", "terms", begins.alias("begins"))
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("terms")))
+    counted = F.zip_with("begins", ends, lambda a, z: F.struct(F.get("terms", a).alias("term"), (z - a).alias("n")))
+    return runs.select("lang", "source", F.inline(counted)).groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.count("*").alias("df"))
 
 
 def kept_counts(docs: DataFrame, min_docs: int) -> DataFrame:
@@ -70,19 +74,31 @@ def group_totals(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return groups.join(of_group.drop("heads"), ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0, ["n", "lang_n", "v"])
 
 
+def salted(kept: DataFrame, groups: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Kept terms with a salt, and every group once a salt."""
+    terms = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)))
+    return terms, groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+
+
 def dense_cells(kept: DataFrame, groups: DataFrame, salts: int) -> DataFrame:
-    """(lang, term, source, count, p, q): every group with every kept term of its language, q the language's share."""
-    terms = kept.where("head").select("lang", "term", "lang_count", F.pmod(F.xxhash64("term"), F.lit(salts)).alias("salt"))
-    sides = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    zeros = terms.join(sides, ["lang", "salt"]).select("lang", "term", "source", F.lit(0).cast("long").alias("count"), "lang_count", "n", "lang_n", "v")
+    """(lang, term, source, p): every group with every kept term of its language."""
+    terms, sides = salted(kept.where("head").select("lang", "term"), groups.select("lang", "source", "n", "v"), salts)
+    zeros = terms.join(sides, ["lang", "salt"]).select("lang", "term", "source", F.lit(0).cast("long").alias("count"), "n", "v")
     counted = kept.select("lang", "term", "source", "count")
     cells = (
         zeros.unionByName(counted, allowMissingColumns=True)
         .repartition("lang", "term")
         .groupBy("lang", "term", "source")
-        .agg(F.sum("count").alias("count"), *[F.max(c).alias(c) for c in ("lang_count", "n", "lang_n", "v")])
+        .agg(F.sum("count").alias("count"), F.max("n").alias("n"), F.max("v").alias("v"))
     )
-    return cells.select("lang", "term", "source", "count", scaled_share("count", "n", "v").alias("p"), scaled_share("lang_count", "lang_n", "v").alias("q"))
+    return cells.select("lang", "term", "source", scaled_share("count", "n", "v").alias("p"))
+
+
+def terms_over(kept: DataFrame, groups: DataFrame, salts: int) -> DataFrame:
+    """(lang, source, item, value): the terms that a group has, and has more than its language; only counted cells are met."""
+    terms, sides = salted(kept.select("lang", "source", "term", "count", "lang_count"), groups, salts)
+    shares = terms.join(sides, ["lang", "source", "salt"]).select("lang", "source", "term", scaled_share("count", "n", "v").alias("p"), scaled_share("lang_count", "lang_n", "v").alias("q"))
+    return shares.where("p > q").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
 
 
 def pair_values(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -106,8 +122,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     docs = docs.select("text", "lang", "source")
     kept = materialize(kept_counts(docs, min_docs))
     groups = materialize(group_totals(docs, kept))
-    cells = dense_cells(kept, groups, salts)
-    over = cells.where("count > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
+    cells, over = dense_cells(kept, groups, salts), terms_over(kept, groups, salts)
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_values(cells, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_value).alias("rank"))
     terms = over.select("lang", "source", F.lit("term").alias("part"), "item", "value", F.row_number().over(by_value).alias("rank")).where(F.col("rank") <= top)
