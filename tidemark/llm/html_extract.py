@@ -1,24 +1,25 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped to lines, one for each block of the page in page order. Where a
-container ends there is an empty line, and at the edges of an article a whole window of
-them. Every line has a weight:
-
-* the length of its text;
-* nothing where the markup says that it is not main text: navigation, headers, footers,
-  sidebars, notices, adverts, forms, reader comments, lines of controls only, and outside
-  of articles lines of links only and lists of short names between bars or dots;
-* ``most`` more inside an article (``<article>``, ``<main>``, ``role=main``), and a tenth
-  outside of the articles of a page that has one.
-
-The weights are summed over sliding windows of ``window`` lines, the same way on every
-page. Between two dives (windows without weight) lies a surge; if one of its sums exceeds
-the threshold, all its lines with weight are kept. The threshold is ``share`` of the
-largest sum and at most ``most``, so that one very long block does not raise it. A line of
-links between two kept lines is kept as well.
-
-On pages with an article the added weight passes the threshold by itself, so there the
-tags decide and the windows change little or nothing; they decide on pages without one.
+Markup is stripped to lines, one for each block of the page in page order. Outside of
+articles there is an empty line where a container ends; the outermost article
+(``<article>``, ``<main>``, ``role=main``) has a whole window of them at both edges. A
+line weighs the length of its text, less nine tenths of what is in links. Markup adds
+nothing to a weight, inside an article or outside, but lowers some:
+
+* to ``MARKED`` of it what it names navigation, header, footer, sidebar, notice, advert,
+  form or reader comments, and lines of controls only;
+* to a tenth what lies outside of the articles of a page that has one;
+* to nothing, outside of articles, lines of links only and lists of short names between
+  bars or dots.
+
+The weights are summed over sliding windows of ``window`` lines. Between two dives
+(windows without weight) lies a surge; if one of its sums exceeds the threshold, all its
+lines with weight are kept, and what does not reach it goes. The threshold is ``share``
+of the largest sum and at most ``most``, so that one very long block does not raise it.
+Marked lines have windows of their own, since an advert amid an article should neither
+profit from the text around it nor cut it in two; their threshold is ``most`` itself, so
+a marked block is main text only if it holds ``most / MARKED`` characters in a window. A
+line of links between two kept lines is kept as well.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by two line feeds. Nulls, empty pages and pages without text give
@@ -76,6 +77,8 @@ WORD = re.compile(r"[^a-z0-9]+")
 SIZE = re.compile(r"\d+x\d+|[a-z]?\d+")
 BARS = re.compile(r"\s*[|·•»/]\s+")
 SPACE = re.compile(r"\s+")
+#: What is left of the weight of a line that its markup names as other than main text.
+MARKED = 0.02
 #: End tags that browsers supply: a start tag of the first closes an open element of the second.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -101,8 +104,9 @@ class Line(NamedTuple):
     """A block's text and what the markup says of it."""
 
     text: str
+    linked: float = 0  # share of the text in links
     links: bool = False  # links only
-    outside: bool = True
+    outside: bool = True  # marked as other than main text
     article: bool = False
 
 
@@ -120,22 +124,21 @@ def lines(page: str, window: int, classes: bool = True) -> list[Line]:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 only_controls = 2 * pressed > len(text) and not words
-                out.append(Line(text, 2 * linked > len(text) and not words, outside or only_controls, article))
+                out.append(Line(text, min(1, linked / len(text)), 2 * linked > len(text) and not words, outside or only_controls, article))
             parts.clear()
         linked, pressed, words = 0, 0, False
 
     def close(k: int) -> None:
         """Close the open elements from ``k`` on."""
         nonlocal outside, article, links, controls
-        for name, *_ in stack[k:]:
-            links -= name == "a"
-            controls -= name in CONTROLS
-            if name in ARTICLE:
-                out.extend([Line("")] * window)
-            elif name in CONTAINERS:
-                out.append(Line(""))
+        held = article
+        names = [name for name, *_ in stack[k:]]
+        links -= names.count("a")
+        controls -= sum(name in CONTROLS for name in names)
         del stack[k:]
         outside, article = stack[-1][1:] if stack else (False, False)
+        if not article:
+            out.extend([Line("")] * (window if held else sum(name in CONTAINERS for name in names)))
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -170,7 +173,7 @@ def lines(page: str, window: int, classes: bool = True) -> list[Line]:
             elif name in BLOCKS and any(x[0] == "p" for x in stack[-3:]):
                 close(max(i for i, x in enumerate(stack) if x[0] == "p"))
             begins = name in ARTICLE or bool(MAIN_ROLE.search(m[4]))
-            if begins:
+            if begins and not article:
                 out.extend([Line("")] * window)
             off = outside or name in OUTSIDE or (name not in ("html", "body", "article", "main") and classes and bool(m[4]) and marked(m[4]))
             stack.append((name, off, article or begins))
@@ -189,18 +192,19 @@ def names_between_bars(text: str) -> bool:
     return len(names) > 2 and all(len(n.split()) <= 3 for n in names)
 
 
-def weights(rows: list[Line], most: int) -> list[float]:
+def weights(rows: list[Line]) -> list[float]:
     """What each line counts in its windows."""
     has_article = any(r.article and not r.outside for r in rows)
 
     def weight(r: Line) -> float:
-        if r.outside or not r.text:
-            return 0
-        if r.article:
-            return len(r.text) + most
-        if r.links or names_between_bars(r.text):
-            return 0
-        return len(r.text) * (0.1 if has_article else 1)
+        w = len(r.text) * (1 - 0.9 * r.linked)
+        if r.outside:
+            return w * MARKED
+        if not r.article:
+            if r.links or names_between_bars(r.text):
+                return 0
+            return w * 0.1 if has_article else w
+        return w
 
     return [weight(r) for r in rows]
 
@@ -210,20 +214,31 @@ def window_sums(weight: list[float], window: int) -> list[float]:
     return [sum(weight[max(0, i - window + 1) : i + 1]) for i in range(len(weight))]
 
 
+def surges(weight: list[float], sums: list[float], level: float) -> Iterator[int]:
+    """The lines with weight of every stretch between two dives that has a window above ``level``."""
+    begin = 0
+    for i, s in enumerate([*sums, 0]):
+        if s <= 0:  # a dive
+            if max(sums[begin:i], default=0) > level:
+                yield from (k for k in range(begin, i) if weight[k] > 0)
+            begin = i + 1
+
+
 def main_blocks(page: str, window: int = 3, share: float = 0.2, most: int = 80) -> list[str]:
     """The blocks between surge and dive points."""
     rows = lines(page, window)
     if all(r.outside for r in rows):  # a wrapper's class names what it holds, not what it is
         rows = lines(page, window, classes=False)
-    weight = weights(rows, most)
-    sums = window_sums(weight, window)
-    level = min(share * max(sums, default=0), most)
-    kept, begin = [False] * len(rows), 0
-    for i, s in enumerate([*sums, 0]):
-        if s <= 0:  # a dive
-            if max(sums[begin:i], default=0) > level:
-                kept[begin:i] = [w > 0 for w in weight[begin:i]]
-            begin = i + 1
+    weight = weights(rows)
+    # Marked lines stand apart; they leave empty lines outside of articles.
+    plain = [i for i, r in enumerate(rows) if not (r.outside and r.article)]
+    kept = [False] * len(rows)
+    for places, marked_ones in ((plain, False), (range(len(rows)), True)):
+        own = [weight[i] if rows[i].outside == marked_ones else 0 for i in places]
+        sums = window_sums(own, window)
+        level = most if marked_ones else min(share * max(sums, default=0), most)
+        for k in surges(own, sums, level):
+            kept[places[k]] = True
     main = list(kept)
     for i in range(1, len(rows) - 1):
         if rows[i].links and not rows[i].outside and main[i - 1] and main[i + 1]:
