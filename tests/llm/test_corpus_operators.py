@@ -216,7 +216,7 @@ def test_splitters_against_sorted_keys(spark):
     """Each splitter is the edge nearest to its target among the cells that the passes reach."""
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     rows = common.materialize(sharding.keyed(docs, 16))
-    keys, passes = sharding.splitters(rows, 16, 0.001, 0.02)
+    keys, passes = sharding.splitters(rows, 16, 0.001)
     held = sorted((r["kh"], r["kd"], r["kt"], r["size"]) for r in rows.collect())
     total, below, edges = sum(r[3] for r in held), 0, []
     for r in held:
@@ -232,17 +232,33 @@ def test_splitters_against_sorted_keys(spark):
     assert keys == sorted(keys) and 1 <= passes <= sharding.DIGITS
 
 
-def test_groups_at_the_edge_of_together(spark):
-    """A group just under ``together`` of a shard is whole, one well above it is divided where it meets a splitter."""
-    rows = awkward(spark, [(i, "x" * 84 if i < 40 else f"{i:04d}" + "y" * 80, "en", "a") for i in range(4000)])
-    held = sharding.shard_documents(rows, shards=4, together=0.05).groupBy("text_crc32").agg(F.countDistinct("shard").alias("n"), F.count("*").alias("rows"))
-    assert held.where("rows = 40").first()["n"] == 1
+def test_groups_at_the_edge_of_the_largest_row(spark):
+    """A group of twice the bytes of the largest row is whole, wherever it lies; one byte more and it may be divided."""
+    copies = [(100 * g + i, f"{g:03d}" + "x" * 81, "en", "a") for g in range(60) for i in range(40)]
+    for largest, most in ((2000, 1), (1999, 2)):  # a group has 40 * 100 bytes
+        rows = awkward(spark, [*copies, (9999, "y" * (largest - 16), "en", "a")])
+        got = sharding.shard_documents(rows, shards=37).collect()
+        sizes, held = check_shards(got, 37), {}
+        for r in got:
+            held.setdefault(r["text_crc32"], set()).add(r["shard"])
+        assert max(len(s) for s in held.values()) == most
+        mean = sum(sizes.values()) / 37
+        # Each of a shard's two splitters is off by at most half a group.
+        assert all(abs(n - mean) <= 2 * (largest + 0.001 * mean) for n in sizes.values())
     big = awkward(spark, [(i, "x" * 84 if i < 3000 else f"{i:04d}" + "y" * 80, "en", "a") for i in range(4000)])
-    got = sharding.shard_documents(big, shards=4).collect()
-    sizes = check_shards(got, 4)
+    sizes = check_shards(sharding.shard_documents(big, shards=4).collect(), 4)
     assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values())
 
 
+def test_given_groups_are_whole(spark):
+    """Every group of equal texts of the given documents lies in one shard; shards stay within a largest row of each other."""
+    for folder in (DATA, "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        got = queries.op4_histogram_shards(spark, folder)
+        groups = got.groupBy("text_crc32", "size").agg(F.countDistinct("shard").alias("n"), (F.count("*") * F.max("size")).alias("bytes"))
+        largest = got.agg(F.max("size")).first()[0]
+        assert groups.where((F.col("n") > 1) & (F.col("bytes") <= 2 * largest)).count() == 0
+
+
 def brute_classes(texts):
     ids = sorted(texts)
     sets, parent = {k: shingle_counts(texts[k]) for k in ids}, {k: k for k in ids}

@@ -15,11 +15,12 @@ are exchanged once, each to a partition of that shard, where they are sorted and
 numbered from the counts of the partitions. A shard of many rows has several
 partitions, so no task grows with the table.
 
-Law ``bytes``: the shards' sizes are near equal (within ``tolerance`` of a shard at each
-splitter, and the largest row or undivided group); counts of rows may differ. Groups:
-copies of one text stay in one shard as long as together they hold at most ``together``
-of a shard's bytes; a larger group that meets a splitter is divided between the shards
-on both sides of it, as the law asks. A null text has no bytes, a null ``doc_id`` is a key
+Law ``bytes``: the shards' sizes are near equal (within ``tolerance`` of a shard and the
+largest row at each splitter); counts of rows may differ. Groups: copies of one text
+stay in one shard unless that costs more balance than the largest row: a splitter moves to
+the nearer edge of a group, by half of it at most, so groups of at most twice the bytes of
+the largest row, or of ``tolerance`` of a shard, are whole. A larger one is divided between
+the shards on both sides where it meets a splitter, as the law asks. A null text has no bytes, a null ``doc_id`` is a key
 like any other, rows that repeat another whole row stand beside it or are divided like
 other copies, a very long text is one row of its size, an empty table has no rows. Extra
 columns are not carried.
@@ -83,7 +84,7 @@ def keyed(docs: DataFrame, overhead: int) -> DataFrame:
     )
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float, together: float) -> tuple[list[tuple[int, ...]], int]:
+def splitters(rows: DataFrame, shards: int, tolerance: float) -> tuple[list[tuple[int, ...]], int]:
     """The key at which each of shards 1.. begins, and the number of passes.
 
     The driver sees at most ``shards`` cells of ``RADIX`` sums a pass.
@@ -91,7 +92,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, together: float) -
     passes = 0
     done: dict[int, tuple[int, ...]] = {}
     open_cells: dict[tuple[int, ...], tuple[int, list[int]]] = {(): (0, list(range(1, shards)))}
-    total = None
+    total, largest = None, 0
     for level in range(DIGITS):
         cells = sorted(open_cells)
         if not cells:
@@ -104,14 +105,14 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, together: float) -
             rows.select(cell.alias("cell"), digit(level).cast("int").alias("digit"), "size")
             .where("cell IS NOT NULL")
             .groupBy("cell", "digit")
-            .agg(F.sum("size").alias("bytes"))
+            .agg(F.sum("size").alias("bytes"), F.max("size").alias("largest"))
             .collect()
         )
         table: dict[int, dict[int, int]] = {}
         for r in sums:
             table.setdefault(r["cell"], {})[r["digit"]] = r["bytes"]
         if total is None:
-            total = sum(table.get(0, {}).values())
+            total, largest = sum(table.get(0, {}).values()), max((r["largest"] for r in sums), default=0)
         target = [total * s // shards for s in range(shards)]
         narrower: dict[tuple[int, ...], tuple[int, list[int]]] = {}
         for i, prefix in enumerate(cells):
@@ -119,8 +120,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, together: float) -
             for d in sorted(table.get(i, {})):
                 here = table[i][d]
                 inside = [s for s in wanted if below <= target[s] < below + here]
-                share = here * shards / total
-                whole = share <= tolerance or level == DIGITS - 1 or (level == TEXT_DIGITS - 1 and share <= together)
+                whole = here * shards <= tolerance * total or level == DIGITS - 1 or (level == TEXT_DIGITS - 1 and here <= 2 * largest)
                 for s in inside:
                     if whole:
                         # Begin the shard at the nearer of its two edges.
@@ -153,11 +153,11 @@ def shard_of(keys: list[tuple[int, ...]]) -> Column:
     return shard.cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, together: float = 0.02, overhead: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.001, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     spark = docs.sparkSession
     rows = materialize(keyed(docs, overhead))
-    keys, _ = splitters(rows, shards, tolerance, together)
+    keys, _ = splitters(rows, shards, tolerance)
     order = [name for name, _ in PARTS]
     # Equal keys of a shard share a partition, so the order of slots is that of the key within each.
     ways = 1 + rows.count() // (shards * PARTITION_ROWS)
