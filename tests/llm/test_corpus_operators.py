@@ -565,3 +565,10 @@ def test_warc_against_sql(spark):
     want = sorted(con.sql(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({sql}) t").fetchall())
     got = sorted(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in queries.op10_warc_round_trip(spark, DATA).collect())
     assert got == want
+
+
+def test_plan_of_fingerprints_is_small(spark):
+    """No plan holds the bitmap, and no row carries it."""
+    queried = imatch.edited_fingerprints(common.table(spark, DATA, "documents"))._jdf.queryExecution()
+    plans = [queried.analyzed().toString(), queried.optimizedPlan().toString(), queried.executedPlan().toString()]
+    assert all(len(p) < 100_000 for p in plans) and "AS _lexicon" not in plans[1]

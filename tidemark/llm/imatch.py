@@ -18,8 +18,9 @@ Document frequencies are exact: one pre-aggregated exchange of (term hash, count
 the terms in the band are kept, as a bitmap of ``BITS_PER_TERM`` bits a term, sized from
 their number. A term of the band is in at least the share ``low`` of all texts, so there
 are at most 1 / ``low`` times as many as a text has distinct terms on average, however
-large the corpus. So a text meets the lexicon where it lies: no (document, term) pair is
-joined. A term outside the band passes for one inside with probability 1 in
+large the corpus. The bitmap is one value, a scalar subquery that Spark runs once and hands
+to the tasks, so a text meets the lexicon where it lies: no (document, term) pair is joined,
+and no plan holds the bitmap. A term outside the band passes for one inside with probability 1 in
 ``BITS_PER_TERM``, the same in every text. Only built-in expressions run.
 
 A text with no term in the band is fingerprinted by all of its terms; null and empty
@@ -30,14 +31,12 @@ are not carried, whatever their names.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, global_rank, materialize, text_or_empty
 
-BITS_PER_TERM = 16
+BITS_PER_TERM = 32
 SUBSETS, LEVELS = 32, 4
 ABSENT = "---"
 #: The part of an empty subset, and xxhash64 of an empty array (its seed).
@@ -61,7 +60,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> tuple[Column, int]:
-    """The bitmap of the terms whose document frequency is in the band, as a constant, and its bits.
+    """The bitmap of the terms whose document frequency is in the band, as a scalar subquery, and its bits.
 
     In the band: in at least two documents, in at least ``low`` and at most ``high`` of all.
     """
@@ -71,11 +70,18 @@ def lexicon(docs: DataFrame, low: float, high: float) -> tuple[Column, int]:
     place = F.col("term").bitwiseAND((1 << bits) - 1)
     words = banded.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits"))
     # One row for each word of the bitmap, whose size is bounded by the band.
-    bitmap = [0] * (1 << bits - 6)
-    for r in words.collect():
-        bitmap[r["word"]] = r["bits"]
-    discard(banded)
-    return F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>"), bits
+    every = docs.sparkSession.range(1 << bits - 6, numPartitions=1).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(F.transform(in_order, lambda w: w["bits"]).alias("bitmap")).scalar(), bits
+
+
+def beside_lexicon(rows: DataFrame, bitmap: tuple[Column, int], times: int = 1) -> tuple[DataFrame, list[tuple[Column, int]]]:
+    """``rows`` with the bitmap as ``times`` columns, as a function of lambdas may not hold a subquery itself.
+
+    Use each column once in a ``select``: Spark then puts the subquery in its place and no row carries it.
+    """
+    names = [f"_lexicon{i}" for i in range(times)]
+    return rows.select("*", *[bitmap[0].alias(name) for name in names]), [(F.col(name), bitmap[1]) for name in names]
 
 
 def banded_terms(text: Column, bitmap: tuple[Column, int]) -> Column:
@@ -136,7 +142,8 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, low: float = 0.0002, high: float = 0.03) -> DataFrame:
     """doc_id, n_chars and fingerprint (with its ``parts``) of every text."""
     bitmap = lexicon(docs, low, high)
-    hashed = docs.select("doc_id", F.length(text_or_empty("text")).cast("long").alias("n_chars"), parts(text_or_empty("text"), bitmap).alias("parts"))
+    texts, (held,) = beside_lexicon(docs.select("doc_id", text_or_empty("text").alias("text")), bitmap)
+    hashed = texts.select("doc_id", F.length("text").cast("long").alias("n_chars"), parts(F.col("text"), held).alias("parts"))
     return hashed.withColumn("fingerprint", fingerprint(F.col("parts")))
 
 
@@ -160,7 +167,8 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
     after = ranked.select(F.col("doc_id").alias("cur"), F.floor(F.col("n") / 4).cast("int").alias("need"), F.pmod(F.col("rank") + 1, F.lit(max(n, 1))).alias("rank"))
     wanted = after.join(ranked.select("rank", "doc_id"), "rank").select("doc_id", "cur", "need")
 
-    made = texts.join(wanted, "doc_id").select("doc_id", "cur", F.left("text", F.col("need")).alias("head"), F.xxhash64("text").alias("hash"), parts(F.col("text"), bitmap).alias("parts"))
+    followed, (held,) = beside_lexicon(texts.join(wanted, "doc_id"), bitmap)
+    made = followed.select("doc_id", "cur", F.left("text", F.col("need")).alias("head"), F.xxhash64("text").alias("hash"), parts(F.col("text"), held).alias("parts"))
     no_next = F.lit(None).cast("struct<head:string,parts:array<smallint>>")
     no_own = F.lit(None).cast("struct<hash:bigint,parts:array<smallint>>")
     to_both = F.array(
@@ -172,11 +180,16 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
     size = F.length("text")
     need = F.floor(size / 4).cast("int")
     edited = F.concat(F.left("text", size - need), F.left("next.head", need))
+    def of_edit(text: Column, lexicon: tuple[Column, int]) -> Column:
+        return bind(text, lambda e: F.struct(F.sha2(F.encode(e, "UTF-8"), 256).alias("sha256"), parts(e, lexicon).alias("parts")))
+
     # Only rows that share an id with another text have no parts of their own yet.
-    own = F.when(F.col("own.hash") == F.xxhash64("text"), F.col("own.parts")).otherwise(parts(F.col("text"), bitmap))
-    with_next = texts.join(given, "doc_id").select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), own.alias("a"), F.col("next.parts").alias("c"))
-    alone = docs.where("doc_id IS NULL").select("doc_id", size_of(text_or_empty("text")), text_or_empty("text").alias("edited"), parts(text_or_empty("text"), bitmap).alias("a"), F.lit(None).cast("array<smallint>").alias("c"))
-    both = with_next.union(alone).select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "a", parts(F.col("edited"), bitmap).alias("b"), "c")
+    owned, (held, held_edit) = beside_lexicon(texts.join(given, "doc_id"), bitmap, 2)
+    own = F.when(F.col("own.hash") == F.xxhash64("text"), F.col("own.parts")).otherwise(parts(F.col("text"), held))
+    with_next = owned.select("doc_id", size.cast("long").alias("n_chars"), of_edit(edited, held_edit).alias("edit"), own.alias("a"), F.col("next.parts").alias("c"))
+    without_id, (held, held_edit) = beside_lexicon(docs.where("doc_id IS NULL").select("doc_id", text_or_empty("text").alias("text")), bitmap, 2)
+    alone = without_id.select("doc_id", size.cast("long").alias("n_chars"), of_edit(F.col("text"), held_edit).alias("edit"), parts(F.col("text"), held).alias("a"), F.lit(None).cast("array<smallint>").alias("c"))
+    both = with_next.union(alone).select("doc_id", "n_chars", F.col("edit.sha256").alias("edited_sha256"), "a", F.col("edit.parts").alias("b"), "c")
     return both.select(
         "doc_id",
         "n_chars",
@@ -186,7 +199,3 @@ def edited_fingerprints(docs: DataFrame, low: float = 0.0002, high: float = 0.03
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
         F.coalesce(likeness(F.col("a"), F.col("c")), F.lit(0.0)).alias("near_next"),
     )
-
-
-def size_of(text: Column) -> Column:
-    return F.length(text).cast("long").alias("n_chars")
