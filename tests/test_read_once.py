@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse as P
 from tidemark.operators import goals as G
+from tidemark.operators import ingest as N
 
 NUMBERS = [
     "12", "-0.50", "+7", "170.0 lb", "170.0lb", "3 reps", "9%", "5 h", "5h", "15 Min", "90sec", "5e", "5 E", "5e3", "-2E-2", "1.234", "1,234", "12.", ".5", "1.2.3", "12/05/2024", "2024-05-12", "-1-2-3", "7 e", "1234567890123456789",
@@ -43,3 +45,23 @@ def test_merge_parses_each_text_once(spark):
     merged = rows.select(G.merge_json(F.col("o"), F.col("n")).alias("m"))
     assert [r.m for r in merged.collect()] == ['{"a":{"x":[1]},"b":null,"c":"z"}', "{}", '{"a":1}']
     assert optimised(merged).count("variant_get") == 2
+
+
+@pytest.mark.parametrize(
+    ("day", "date"),
+    [
+        ('"2024-01-05"', "2024-01-05"), ("2024-01-05T07:00:00Z", "2024-01-05"), ('{"date":{"year":2024,"month":1,"day":5}}', "2024-01-05"), ('{"civilTime":{"date":{"year":"2024","month":"01","day":"05"}}}', "2024-01-05"),
+        ('{"year":2024,"month":2,"day":30}', None), ('{"year":2024,"month":1}', None), ('{"year":12345,"month":1,"day":1}', None), ('{"year":987,"month":1,"day":1}', "0987-01-01"), ('{"year":2024,"month":-1,"day":1}', None),
+        ('{"date":{"year":2024,"month":13,"day":1},"year":2023,"month":4,"day":6}', "2023-04-06"), ('"2024-02-30"', None), ("{", None), (None, None),
+    ],
+)
+def test_civil_dates(spark, day, date):
+    assert spark.createDataFrame([(day,)], "d string").select(N.civil_date(F.col("d")).cast("string")).first()[0] == date
+
+
+def test_documents_are_read_once(spark):
+    docs = spark.createDataFrame([(1, '{"year":2024,"month":1,"day":5}', '{"activeMinutesRollupByActivityLevel":[{"activityLevel":"LIGHT","activeMinutesSum":"4"},{"activityLevel":"VIGOROUS","activeMinutesSum":3}]}'), (2, "no", "{}")], "seq long, day string, body string")
+    points = N.api_points(docs, "active-minutes")
+    assert sorted((r.metric_key, r.value) for r in points.collect()) == [("active_minutes", 7.0), ("moderate_vigorous_min", 3.0)]
+    plan = optimised(points)
+    assert plan.count("$.year") == 1 and plan.count("$.activeMinutesRollupByActivityLevel") == 1

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.parse import parse_date, parse_duration, parse_number
+from tidemark.functions.parse import bind, parse_date, parse_duration, parse_number
 from tidemark.functions.vocab import ALIASES, CANDIDATES, CORE_METRICS, PLAUSIBLE_RANGES, TRANSFORMS, WORKOUT_ALIASES
 
 SAMPLE = 200
@@ -281,10 +281,12 @@ def occurrence_ids(rows: DataFrame, fields: list[str], order: str) -> DataFrame:
 def civil_date(document: Column) -> Column:
     """A day from a string, a {year, month, day} object, or one nested below ``date`` or ``civilTime.date``."""
     def parts(path: str) -> Column:
-        y, m, d = (F.get_json_object(document, f"$.{path}{p}").try_cast("int") for p in ("year", "month", "day"))
-        return F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+        number = lambda part: F.get_json_object(document, f"$.{path}{part}").try_cast("int")
+        text = lambda y: F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), number("month"), F.lit("-"), number("day"))
+        # A cast, because a parser's exception for each object that is elsewhere costs more than all the rest.
+        return bind(number("year"), lambda y: F.when(y.between(0, 9999), text(y).try_cast("date")))
 
-    plain = F.when(document.rlike(r'^"?\d{4}-\d{2}-\d{2}'), F.try_to_date(F.regexp_extract(document, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"))
+    plain = F.when(document.rlike(r'^"?\d{4}-\d{2}-\d{2}'), F.regexp_extract(document, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date"))
     return F.coalesce(plain, parts("date."), parts("civilTime.date."), parts(""))
 
 
@@ -325,17 +327,26 @@ def extracted(kind: str, body: Column) -> Column:
         zones = F.filter(F.array(*map(number, ZONES)), lambda z: z.isNotNull())
         return F.array(pair("active_zone_min", F.when(F.size(zones) > 0, F.aggregate(zones, F.lit(0.0), lambda a, z: a + z))))
     if kind == "active-minutes":
-        rows = F.from_json(F.get_json_object(body, "$.activeMinutesRollupByActivityLevel"), LEVELS)
+        levels = F.from_json(F.get_json_object(body, "$.activeMinutesRollupByActivityLevel"), LEVELS)
         total = lambda r: F.aggregate(F.transform(r, lambda x: F.coalesce(api_number(x["activeMinutesSum"]), F.lit(0.0))), F.lit(0.0), lambda a, m: a + m)
-        brisk = total(F.filter(rows, lambda x: x["activityLevel"] != "LIGHT"))
-        return F.array(pair("active_minutes", F.when(F.size(rows) > 0, total(rows))), pair("moderate_vigorous_min", F.when(brisk > 0, brisk)))
+
+        def minutes(rows: Column) -> Column:
+            positive = bind(total(F.filter(rows, lambda x: x["activityLevel"] != "LIGHT")), lambda brisk: F.when(brisk > 0, brisk))
+            return F.array(pair("active_minutes", F.when(F.size(rows) > 0, total(rows))), pair("moderate_vigorous_min", positive))
+
+        return bind(levels, minutes)
     return F.array(*[pair(key, F.coalesce(*map(number, names)) * factor) for names, key, factor in FIELDS[kind]])
 
 
+def dated(day: Column, pairs: Column) -> Column:
+    """The pairs as rows (date, metric_key, value), read once: a condition on these rows stays above, where one on columns would read each document again."""
+    return F.explode_outer(bind(civil_date(day), lambda d: F.when(d.isNotNull(), F.transform(pairs, lambda p: F.struct(d.alias("date"), p["metric_key"].alias("metric_key"), p["value"].alias("value"))))))
+
+
 def api_points(documents: DataFrame, kind: str) -> DataFrame:
     """(date, metric_key, value) from JSON documents (seq, day, body) of one kind; the last of a day wins."""
-    rows = documents.select("seq", civil_date(F.col("day")).alias("date"), F.explode(extracted(kind, F.col("body"))).alias("f"))
-    rows = rows.select("seq", "date", "f.*").where("date IS NOT NULL AND value IS NOT NULL")
+    rows = documents.select("seq", dated(F.col("day"), extracted(kind, F.col("body"))).alias("f"))
+    rows = rows.select("seq", "f.*").where("date IS NOT NULL AND value IS NOT NULL")
     return rows.groupBy("date", "metric_key").agg(F.max_by("value", "seq").alias("value"))
 
 
