@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import parse as P
 from tidemark.operators import goals as G
 from tidemark.operators import ingest as N
+from tidemark.plans import sync
 
 NUMBERS = [
     "12", "-0.50", "+7", "170.0 lb", "170.0lb", "3 reps", "9%", "5 h", "5h", "15 Min", "90sec", "5e", "5 E", "5e3", "-2E-2", "1.234", "1,234", "12.", ".5", "1.2.3", "12/05/2024", "2024-05-12", "-1-2-3", "7 e", "1234567890123456789",
@@ -65,3 +66,7 @@ def test_documents_are_read_once(spark):
     assert sorted((r.metric_key, r.value) for r in points.collect()) == [("active_minutes", 7.0), ("moderate_vigorous_min", 3.0)]
     plan = optimised(points)
     assert plan.count("$.year") == 1 and plan.count("$.activeMinutesRollupByActivityLevel") == 1
+    pages = spark.createDataFrame([(1, "steps", "2024-01-01", 0, 0, None, '{"year":2024,"month":1,"day":5}', '{"countSum":"4"}', None)], "user_id long, kind string, window string, page int, place int, name string, day string, body string, message string")
+    points = sync.document_points(pages, "2024-01-01", "2024-01-31")
+    assert [(r.metric_key, r.value) for r in points.collect()] == [("steps", 4.0)]
+    assert optimised(points).count("$.year") == 1

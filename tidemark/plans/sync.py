@@ -39,10 +39,9 @@ def document_points(documents: DataFrame, start: str, end: str) -> DataFrame:
     pairs = F.when(F.lit(False), N.extracted(kinds[0], F.col("body")))
     for kind in kinds:
         pairs = pairs.when(F.col("kind") == kind, N.extracted(kind, F.col("body")))
-    dated = documents.where(F.col("kind").isin(kinds)).withColumn("date", N.civil_date(F.col("day")))
-    inside = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) | ~F.col("kind").isin(*LISTED)
-    rows = dated.where(F.col("date").isNotNull() & inside).select("user_id", "kind", "date", F.struct("window", "page", "place").alias("order"), F.explode(pairs).alias("f"))
-    return rows.where("f.value IS NOT NULL").groupBy("user_id", "kind", "date", F.col("f.metric_key").alias("metric_key")).agg(F.max_by("f.value", "order").alias("value"))
+    rows = documents.where(F.col("kind").isin(kinds)).select("user_id", "kind", F.struct("window", "page", "place").alias("order"), N.dated(F.col("day"), pairs).alias("f"))
+    inside = F.col("f.date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) | ~F.col("kind").isin(*LISTED)
+    return rows.where(F.col("f.date").isNotNull() & F.col("f.value").isNotNull() & inside).groupBy("user_id", "kind", F.col("f.date").alias("date"), F.col("f.metric_key").alias("metric_key")).agg(F.max_by("f.value", "order").alias("value"))
 
 
 def stage_minutes(night, kind: str):
