@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import parse as P
 from tidemark.operators import goals as G
 from tidemark.operators import ingest as N
-from tidemark.plans import sync
+from tidemark.plans import derive, sync
+from tidemark.plans import views as V
 
 NUMBERS = [
     "12", "-0.50", "+7", "170.0 lb", "170.0lb", "3 reps", "9%", "5 h", "5h", "15 Min", "90sec", "5e", "5 E", "5e3", "-2E-2", "1.234", "1,234", "12.", ".5", "1.2.3", "12/05/2024", "2024-05-12", "-1-2-3", "7 e", "1234567890123456789",
@@ -70,3 +71,10 @@ def test_documents_are_read_once(spark):
     points = sync.document_points(pages, "2024-01-01", "2024-01-31")
     assert [(r.metric_key, r.value) for r in points.collect()] == [("steps", 4.0)]
     assert optimised(points).count("$.year") == 1
+
+
+def test_changes_and_parts_do_not_go_to_every_task(spark, tmp_path):
+    spark.range(3).selectExpr("id AS user_id", "'sets' AS metric_key", "DATE '2024-01-01' AS first_day").write.parquet(f"{tmp_path}/changes")
+    plan = physical(derive.affected(spark.read.parquet(f"{tmp_path}/changes")))
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert "BroadcastHashJoin" not in physical(V.sets(spark, "/root/testdata/sf0.001"))

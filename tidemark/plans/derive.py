@@ -103,7 +103,8 @@ def affected(changes: DataFrame) -> DataFrame:
     rows = [(k, part, (k, part) in WHOLE) for k in sorted(inputs) for part, gives in PARTS.items() if dependents(k) & set(gives)]
     reach = changes.sparkSession.createDataFrame(rows, "metric_key string, part string, whole boolean")
     day = F.when(F.col("whole"), F.lit(EVER)).otherwise(F.col("first_day"))
-    return changes.join(reach, "metric_key").groupBy("user_id", "part").agg(F.min(day).alias("first_day"))
+    # A row for each input and part goes to the tasks; a row for each change would else be what does.
+    return changes.join(F.broadcast(reach), "metric_key").groupBy("user_id", "part").agg(F.min(day).alias("first_day"))
 
 
 def recompute_affected(resolved: DataFrame, workouts: DataFrame, sets: DataFrame, derived: DataFrame, changes: DataFrame, ages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

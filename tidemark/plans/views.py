@@ -119,10 +119,10 @@ SETS_SQL = """sets AS (
 
 
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strength sets from line items and part types."""
+    """Strength sets from line items and part types; the parts grow with the data, so both sides are exchanged."""
     return (
         table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+        .join(table(spark, sf_dir, "part").hint("shuffle_hash"), F.col("p_partkey") == F.col("l_partkey"))
         .select(
             (F.col("l_suppkey") % 5).alias("user_id"),
             F.to_date("l_shipdate").alias("date"),
