@@ -76,5 +76,5 @@ def test_documents_are_read_once(spark):
 def test_changes_and_parts_do_not_go_to_every_task(spark, tmp_path):
     spark.range(3).selectExpr("id AS user_id", "'sets' AS metric_key", "DATE '2024-01-01' AS first_day").write.parquet(f"{tmp_path}/changes")
     plan = physical(derive.affected(spark.read.parquet(f"{tmp_path}/changes")))
-    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert "Broadcast" not in plan
     assert "BroadcastHashJoin" not in physical(V.sets(spark, "/root/testdata/sf0.001"))

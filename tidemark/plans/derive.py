@@ -100,11 +100,12 @@ def dependents(key: str) -> set[str]:
 def affected(changes: DataFrame) -> DataFrame:
     """(user_id, part, first_day) from changes (user_id, metric_key, first_day)."""
     inputs = {k for of in DERIVED_FROM.values() for k in of} | set(SESSIONS)
-    rows = [(k, part, (k, part) in WHOLE) for k in sorted(inputs) for part, gives in PARTS.items() if dependents(k) & set(gives)]
-    reach = changes.sparkSession.createDataFrame(rows, "metric_key string, part string, whole boolean")
-    day = F.when(F.col("whole"), F.lit(EVER)).otherwise(F.col("first_day"))
-    # A row for each input and part goes to the tasks; a row for each change would else be what does.
-    return changes.join(F.broadcast(reach), "metric_key").groupBy("user_id", "part").agg(F.min(day).alias("first_day"))
+    # Fixed values in the expression: no join, so nothing that a driver has to send.
+    reach = [(k, [F.struct(F.lit(part).alias("part"), F.lit((k, part) in WHOLE).alias("whole")) for part, gives in PARTS.items() if dependents(k) & set(gives)]) for k in sorted(inputs)]
+    parts = F.create_map(*[c for k, found in reach if found for c in (F.lit(k), F.array(*found))])
+    hit = changes.select("user_id", "first_day", F.explode(F.try_element_at(parts, F.col("metric_key"))).alias("r"))
+    day = F.when(F.col("r.whole"), F.lit(EVER)).otherwise(F.col("first_day"))
+    return hit.groupBy("user_id", F.col("r.part").alias("part")).agg(F.min(day).alias("first_day"))
 
 
 def recompute_affected(resolved: DataFrame, workouts: DataFrame, sets: DataFrame, derived: DataFrame, changes: DataFrame, ages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
