@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +48,9 @@ def filesystem(uri: str):
 _WRITTEN: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
 
 
-def owned(df: DataFrame, path: str, table_name: str | None = None) -> DataFrame:
+def owned(df: DataFrame, path: str) -> DataFrame:
     """``df``, which reads what we wrote to ``path``, known to ``discard`` and to the ``finished`` run that wrote it."""
-    df.written_to, df.table_name = path, table_name
+    df.written_to = path
     held = _WRITTEN.get()
     if held is not None:
         held.append(df)
@@ -67,6 +69,34 @@ def emptied_on_failure(spark: SparkSession, path: str, table_name: str | None =
         raise
 
 
+#: Spark's setting by which a query's shuffle files go as soon as it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: By session: writes under way, and the setting as it was before them.
+_CLEANING: dict[int, list] = {}
+_LOCK = Lock()
+
+
+@contextmanager
+def shuffles_end_with_write(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write within go when it is over: later steps read what is written.
+
+    Otherwise they stay on the executors' disks until the driver happens to collect its
+    garbage. The session's own setting comes back with the last of the writes at one time.
+    """
+    with _LOCK:
+        held = _CLEANING.setdefault(id(spark), [0, spark.conf.get(CLEANUP)])
+        held[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(CLEANUP, held[1])
+                del _CLEANING[id(spark)]
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -74,7 +104,7 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     columnar table to prune.
     """
     path = shared_dir(df.sparkSession)
-    with emptied_on_failure(df.sparkSession, path):
+    with emptied_on_failure(df.sparkSession, path), shuffles_end_with_write(df.sparkSession):
         df.write.option("compression", codec).parquet(path)
     return owned(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
@@ -87,9 +117,12 @@ def bucketed(df: DataFrame, key: str, n_bytes: int, bucket_bytes: int = 64 << 20
     """
     spark, path, name = df.sparkSession, shared_dir(df.sparkSession), f"tidemark_{uuid.uuid4().hex}"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes))
-    with emptied_on_failure(spark, path, name):
+    with emptied_on_failure(spark, path, name), shuffles_end_with_write(spark):
         df.repartition(n, key).write.format("parquet").option("compression", codec).option("path", path).bucketBy(n, key).saveAsTable(name)
-    return owned(spark.table(name), path, name)
+    out = spark.table(name)
+    # The frame knows files and buckets; the catalogue needs no entry that a run cut short would leave.
+    spark.sql(f"DROP TABLE {name}")
+    return owned(out, path)
 
 
 def by_bucket(big: DataFrame, slim: DataFrame, key: str, how: str) -> DataFrame:
@@ -104,19 +137,19 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` or ``bucketed`` wrote and that nothing reads any more.
-
-    The driver's garbage is collected as well, upon which Spark's cleaner drops the
-    shuffle files of the steps that are over.
-    """
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` or ``bucketed`` wrote and that nothing reads any more."""
     for df in tables:
-        if df.table_name:
-            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
         delete_folder(df.sparkSession, df.written_to)
         held = _WRITTEN.get()
         if held is not None:
             held[:] = [other for other in held if other.written_to != df.written_to]
+
+
+def discard(*tables: DataFrame) -> None:
+    """``forget`` tables and collect the driver's garbage, upon which Spark's cleaner drops the
+    shuffle files of the steps that are over and were no writes of ours."""
+    forget(*tables)
     gc.collect()
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
@@ -137,6 +170,28 @@ def finished(make: Callable[[], DataFrame]) -> DataFrame:
     return owned(out, out.written_to)
 
 
+def only_result(step: Callable) -> Callable:
+    """A step that leaves no written tables but those it returns; what it returns must read no others of its own."""
+
+    @wraps(step)
+    def run(*args, **named):
+        outer = _WRITTEN.get()
+        held = _WRITTEN.set([])
+        kept: set[str] = set()
+        try:
+            out = step(*args, **named)
+            kept = {df.written_to for df in (out if isinstance(out, tuple) else (out,))}
+            return out
+        finally:
+            forget(*[df for df in _WRITTEN.get() if df.written_to not in kept])
+            left = _WRITTEN.get()
+            _WRITTEN.reset(held)
+            if outer is not None:
+                outer.extend(left)
+
+    return run
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     """The text, a null read as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

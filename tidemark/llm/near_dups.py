@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import dart_minhash as dart
-from tidemark.llm.common import bucketed, by_bucket, materialize, text_or_empty
-from tidemark.llm.components import components
+from tidemark.llm.common import bucketed, by_bucket, forget, materialize, only_result, text_or_empty
+from tidemark.llm.components import components, merged
 
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 256
@@ -81,15 +81,30 @@ def by_id(docs: DataFrame) -> DataFrame:
     return bucketed(named, "doc_id", named.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of distinct texts that stand in one bucket."""
-    members = signed.select("doc_id", F.explode("keys").alias("key"))
+@only_result
+def members_of(texts: DataFrame, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy_of) of every id, and (doc_id, keys, sketch) of every distinct text."""
+    signed = signature_table(texts, shingle, bands, rows)
+    # Written, so that both sides of the join are plain exchanges and Spark can split the rows of one digest.
+    firsts = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of")))
+    members = materialize(signed.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "copy_of").distinct())
+    distinct = signed.join(members.where("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi")
+    return members, materialize(distinct.select("doc_id", "keys", "sketch"))
+
+
+@only_result
+def judged_pairs(distinct: DataFrame, doubt: float) -> DataFrame:
+    """(a, b, agree) of the distinct pairs, a < b, of distinct texts that stand in one bucket and agree on ``doubt`` of their sketches."""
+    members = distinct.select("doc_id", F.explode("keys").alias("key"))
     shared, own = F.xxhash64("doc_id"), F.xxhash64("doc_id", "key")
     buckets = members.groupBy("key").agg(F.min(F.struct(shared.alias("o"), "doc_id")).alias("one"), F.min(F.struct(own.alias("o"), "doc_id")).alias("two"), F.max("doc_id").alias("most"), F.min("doc_id").alias("least"))
     # Written for the same reason: one key may be in a third of all texts.
     buckets = materialize(buckets.where("least < most").select("key", F.array_distinct(F.array("one.doc_id", "two.doc_id")).alias("by")))
     pairs = members.join(buckets, "key").select("doc_id", F.explode("by").alias("with")).where("doc_id <> with")
-    return pairs.select(F.least("doc_id", "with").alias("a"), F.greatest("doc_id", "with").alias("b")).distinct()
+    pairs = pairs.select(F.least("doc_id", "with").alias("a"), F.greatest("doc_id", "with").alias("b")).distinct()
+    x = distinct.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
+    y = distinct.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", agreement(F.col("x"), F.col("y")).alias("agree")).where(F.col("agree") >= doubt))
 
 
 def agreement(a, b):
@@ -144,6 +159,7 @@ def long_sketches(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return by_bucket(texts, ids, "doc_id", "left_semi").select("doc_id", text_or_empty("text").alias("text")).mapInArrow(sign, "doc_id long, long binary, grams array<long>")
 
 
+@only_result
 def links_across(distinct: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of links between components that share a bucket: enough of them to join all that a pair of one bucket joins.
 
@@ -155,9 +171,12 @@ def links_across(distinct: DataFrame, labels: DataFrame, texts: DataFrame, shing
     # Two members are a pair that was judged.
     mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
     mixed = materialize(mixed.where("n > 2 AND least < most").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    if mixed.isEmpty():
+        return materialize(mixed.select(F.col("key").alias("a"), F.col("key").alias("b")))
     placed = materialize(members.join(mixed, "key").select("doc_id", "label", "key", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks").cast("int").alias("block")))
     sketches = materialize(long_sketches(texts, placed.select("doc_id").distinct(), shingle))
     dealt = materialize(placed.join(sketches, "doc_id").groupBy("key", "block").agg(F.collect_list(F.struct("doc_id", "label", "long", "grams")).alias("held")))
+    forget(placed, sketches)
     other = dealt.select("key", F.col("block").alias("block_b"), F.col("held").alias("held_b"))
     met = dealt.join(other, "key").where("block <= block_b").select("held", "held_b")
     # A pair 3 standard deviations below ``similarity`` is not looked at. (A byte also agrees by chance, once in 256.)
@@ -203,24 +222,28 @@ def links_across(distinct: DataFrame, labels: DataFrame, texts: DataFrame, shing
             ends = np.array(links, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], ["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    return materialize(met.mapInArrow(compare, "a long, b long").distinct())
+
 
+@only_result
+def proved(labels: DataFrame, pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``labels`` after those of the pairs that are similar enough."""
+    return merged(labels, verified(pairs, texts, shingle, similarity))
 
-def joined(judged: DataFrame, links: DataFrame, texts: DataFrame, shingle: int, similarity: float, sure: float) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) after the judged pairs that join components are decided."""
-    links = materialize(links.union(judged.where(F.col("agree") >= sure).select("a", "b")))
-    labels = components(links)
+
+@only_result
+def joined(judged: DataFrame, texts: DataFrame, shingle: int, similarity: float, sure: float) -> DataFrame:
+    """(node, label, ...) after the judged pairs that join components are decided."""
+    labels = components(judged.where(F.col("agree") >= sure))
     open_pairs = materialize(apart(judged.where(F.col("agree") < sure), labels))
+    if open_pairs.isEmpty():
+        return labels
     ends = open_pairs.select(F.col("a").alias("node"), "agree", "a", "b").union(open_pairs.select(F.col("b").alias("node"), "agree", "a", "b"))
     best = ends.groupBy("node").agg(F.max(F.struct("agree", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("p")).select((-F.col("p.na")).alias("a"), (-F.col("p.nb")).alias("b")).distinct()
     best = materialize(best)
-    links = materialize(links.union(verified(best, texts, shingle, similarity)))
-    labels = components(links)
+    labels = proved(labels, best, texts, shingle, similarity)
     rest = materialize(apart(open_pairs, labels).select("a", "b").join(best, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = materialize(links.union(verified(rest, texts, shingle, similarity)))
-        labels = components(links)
-    return links, labels
+    return labels if rest.isEmpty() else proved(labels, rest, texts, shingle, similarity)
 
 
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
@@ -232,23 +255,14 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 
 def classes(texts: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, sure: float = 0.93, doubt: float = 0.65) -> DataFrame:
     """(doc_id, copy_of, class_id) of every id of a table in buckets by id."""
-    signed = signature_table(texts, shingle, bands, rows)
-    # Written, so that both sides of the join are plain exchanges and Spark can split the rows of one digest.
-    firsts = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of")))
-    members = materialize(signed.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "copy_of").distinct())
-    distinct = signed.join(members.where("doc_id = copy_of").select("doc_id"), "doc_id", "left_semi")
-    distinct = materialize(distinct.select("doc_id", "keys", "sketch"))
-
-    pairs = candidate_pairs(distinct)
-    x = distinct.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
-    y = distinct.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-    judged = pairs.join(x, "a").join(y, "b").select("a", "b", agreement(F.col("x"), F.col("y")).alias("agree")).where(F.col("agree") >= doubt)
-    judged = materialize(judged)
-
-    links, labels = joined(judged, judged.select("a", "b").limit(0), texts, shingle, similarity, sure)
-    across = materialize(links_across(distinct, labels, texts, shingle, similarity))
+    members, distinct = members_of(texts, shingle, bands, rows)
+    judged = judged_pairs(distinct, doubt)
+    labels = joined(judged, texts, shingle, similarity, sure)
+    forget(judged)
+    across = links_across(distinct, labels, texts, shingle, similarity)
+    forget(distinct)
     if not across.isEmpty():
-        labels = components(links.union(across))
+        labels = merged(labels, across)
     return members.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("label", "copy_of").alias("class_id"))
 
 
